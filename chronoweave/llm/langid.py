@@ -5,7 +5,7 @@ reads the bytes forwards and one backwards, and a softmax labels every byte from
 is the mean over all its labelled bytes, of the whole text. Since a piece's sums depend on its bytes only, a worker
 keeps them in a bounded cache, and the network runs over pieces that are new to it.
 
-Training: up to `per_lang` documents of each language, smallest hashes of the id first, from folds 1-4; their whole
+Training: up to `per_lang` documents of each language, chosen by hashes of the id, from folds 1-4; their whole
 texts are counted into pieces on the executors and up to `pieces` of each language, most frequent first, reach the
 driver: bounds that do not grow with the data. Backpropagation through time with Adam, seeded.
 
@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold, ship
+from .common import fold, materialise, ship
 
 LONGEST = 32
 CACHE_PIECES = 400_000
+BROADCAST_ROWS = 500_000
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -178,10 +179,14 @@ _scorers: dict[str, _Scorer] = {}
 
 def train(docs: DataFrame, per_lang: int = 500, pieces: int = 4000, hidden: int = 10) -> Model:
     d = docs.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).filter("__id is not null and __lang is not null").filter(fold("__id") != 0)
+    # A hash thins each language to about twice per_lang documents before they are ranked, so none meets whole in a task.
+    n = d.groupBy("__lang").count().withColumn("__share", 2.0 * per_lang / F.col("count"))
+    d = d.join(n, "__lang").filter(F.pmod(F.xxhash64("__id", F.lit(2)), F.lit(1_000_003)) < F.col("__share") * 1_000_003)
     w = W.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")
     chosen = d.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= per_lang).select("__id", "__lang").distinct()
-    # per_lang ids of each language: too few to be more than a broadcast, and Spark checks that size itself.
-    texts = docs.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), F.col("text").alias("__t")).join(chosen, ["__id", "__lang"], "left_semi")
+    chosen = materialise(chosen, "chosen")
+    few = chosen.count() <= BROADCAST_ROWS  # per_lang of each language; with very many languages it is shuffled instead
+    texts = docs.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), F.col("text").alias("__t")).join(F.broadcast(chosen) if few else chosen, ["__id", "__lang"], "left_semi")
     words = texts.select("__lang", F.explode(F.split("__t", r"[\x20\x09-\x0D]+")).alias("__p")).filter("__p <> ''")
     counts = words.groupBy("__lang", "__p").count()
     top = W.partitionBy("__lang").orderBy(F.desc("count"), F.xxhash64("__p"), "__p")
