@@ -22,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, worker_state
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: White space beside a space: there, cutting at single spaces could differ from the pattern.
 _UNEVEN = regex.compile(r" \s|\s | $")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def _byte_chars() -> dict[str, int]:
@@ -230,24 +230,13 @@ class Encoder:
         return b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(raw: bytes, name: str) -> Encoder:
-    """The worker's encoder, kept over tasks with its cache."""
-    if name not in _encoders:
-        _encoders.clear()
-        _encoders[name] = Encoder(Vocabulary(raw))
-    return _encoders[name]
-
-
 def _vocabulary(spark: SparkSession, path: str):
     with open(path, "rb") as f:
         raw = f.read()
     return spark.sparkContext.broadcast(raw), hashlib.sha256(raw).hexdigest()
 
 
-def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, batch_chars: int = 4_000_000) -> DataFrame:
+def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, batch_chars: int = 3_000_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with_ids adds ids (binary, little-endian u4) and
     decoded (string). batch_chars bounds how much text is cut at a time."""
     shared, name = _vocabulary(docs.sparkSession, vocabulary)
@@ -255,7 +244,7 @@ def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids
 
     def run(batch):
-        enc = encoder(shared.value, name)
+        enc = worker_state(f"bpe-{name}", lambda: Encoder(Vocabulary(shared.value)))
         out: dict = {"doc_id": batch.column(0), "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
         texts, part, size = batch.column(1), [], 0
         for i in range(len(texts) + 1):

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one block of a bucket that is too large for one task.
 BLOCK = 2048
+#: Rows of one Arrow batch: with texts of 100,000 characters, 100 MB.
+BATCH_ROWS = 1000
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -67,7 +69,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a session, so that their Python can import it."""
+    """Sends this package to the executors, once a session, so that their Python can import it. Arrow batches of texts
+    are bounded: where the session has Spark's default of 10,000 rows a batch, it becomes BATCH_ROWS."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = f"zip-{spark.sparkContext.applicationId}"
     if app in _shipped:
         return
@@ -80,6 +85,19 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(os.fspath(to))
 
 
+_worker: dict[str, object] = {}
+
+
+def worker_state(key: str, make):
+    """What a Python worker keeps over tasks, such as a model with its cache: one operator's at a time, so that a
+    pipeline's stages do not add up in a worker that Spark reuses."""
+    if key not in _worker:
+        _worker.clear()
+        pa.default_memory_pool().release_unused()
+        _worker[key] = make()
+    return _worker[key]
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow of a function that turns a RecordBatch into a dict of columns (or None)."""
     ship(df.sparkSession)

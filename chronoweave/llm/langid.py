@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold, materialise, ship
+from .common import fold, materialise, ship, worker_state
 
 LONGEST = 32
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 BROADCAST_ROWS = 500_000
 _LETTER = regex.compile(r"\p{L}")
 
@@ -174,9 +174,6 @@ class _Scorer:
         return out
 
 
-_scorers: dict[str, _Scorer] = {}
-
-
 def train(docs: DataFrame, per_lang: int = 500, pieces: int = 4000, hidden: int = 10) -> Model:
     d = docs.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).filter("__id is not null and __lang is not null").filter(fold("__id") != 0)
     # A hash thins each language to about twice per_lang documents before they are ranked, so none meets whole in a task.
@@ -201,7 +198,7 @@ def train(docs: DataFrame, per_lang: int = 500, pieces: int = 4000, hidden: int
     return Model(labels, BiGRU(len(labels), hidden).fit([a[0] for a in x], y, weight))
 
 
-def with_language(docs: DataFrame, model: Model, text_col: str = "text", batch_chars: int = 4_000_000) -> DataFrame:
+def with_language(docs: DataFrame, model: Model, text_col: str = "text", batch_chars: int = 3_000_000) -> DataFrame:
     """docs with __lang and __score of every row."""
     ship(docs.sparkSession)
     raw = pickle.dumps((model.labels, model.net.w if model.net else None, model.net.hidden if model.net else 0))
@@ -209,7 +206,7 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", batch_c
 
     @F.pandas_udf("lang string, score double")
     def label(texts: pd.Series) -> pd.DataFrame:
-        scorer, part, size, got = _scorer(name, shared), [], 0, []
+        scorer, part, size, got = worker_state(f"langid-{name}", lambda: _load(shared.value)), [], 0, []
         for t in texts:
             part.append(t if isinstance(t, str) else None)
             size += len(part[-1] or "")
@@ -222,16 +219,12 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", batch_c
     return got.withColumns({"__lang": F.col("__l.lang"), "__score": F.col("__l.score")}).drop("__l")
 
 
-def _scorer(name: str, shared) -> _Scorer:
-    """The worker's scorer, kept over tasks with its cache."""
-    if name not in _scorers:
-        _scorers.clear()
-        labels, w, hidden = pickle.loads(shared.value)
-        net = BiGRU(len(labels), hidden) if w is not None else None
-        if net:
-            net.w = w
-        _scorers[name] = _Scorer(Model(labels, net))
-    return _scorers[name]
+def _load(raw: bytes) -> _Scorer:
+    labels, w, hidden = pickle.loads(raw)
+    net = BiGRU(len(labels), hidden) if w is not None else None
+    if net:
+        net.w = w
+    return _Scorer(Model(labels, net))
 
 
 def language_id(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,6 +14,7 @@ apply. Rows are scored one by one, so repeats, ties and extra columns change not
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 
 import numpy as np
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialise, ship
+from .common import fold, materialise, ship, worker_state
 from .quality import labelled
 
 SEED = "idiot moron stupid scum loser trash worthless pathetic disgusting clown bastard imbecile cretin vermin filth dumb jerk idiota estúpido imbécil basura asqueroso inútil idiote stupide imbécile ordure débile blöd dumm dummkopf abschaum trottel wertlos ekelhaft".split()
@@ -215,12 +216,13 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 8_000, lexicon: in
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, clauses (how many match) of every row."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((model.learned, model.curve)))
+    raw = pickle.dumps((model.learned, model.curve))
+    shared, name = docs.sparkSession.sparkContext.broadcast(raw), hashlib.sha256(raw).hexdigest()
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         learned, curve = pickle.loads(shared.value)
-        s = Scorer(Lexicon(learned))
+        s = worker_state(f"toxicity-{name}", lambda: Scorer(Lexicon(learned)))
         x = np.array([[1.0, *s.features(t if isinstance(t, str) else None)] for t in texts]).reshape(-1, 4)
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ curve, -30, 30))))
 
