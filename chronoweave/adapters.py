@@ -49,6 +49,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **views)
 
 
+def history_of(spark: SparkSession, ids: DataFrame) -> DataFrame:
+    """The history of ids that are at hand already."""
+    return spark.sql(_bind(HISTORY, "ids"), ids=ids)
+
+
 def _bind(text: str, name: str) -> str:
     import re
 

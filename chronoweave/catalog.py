@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from .functions import ids as fid
 from .functions import temporal as ft
 from .operators import graph, harmonize, prep, qa, search, summary
 from .plans import convert as plan
+from .session import cut
 from .sources import store
 from .streaming import releases as streams
 
@@ -81,9 +83,10 @@ class T:
     def __getattr__(self, name: str) -> DataFrame:
         return adapters.table(self.spark, self.sf, name)
 
-    @property
+    @cached_property
     def edges(self) -> DataFrame:
-        return graph.history_edges(self.ids, self.history)
+        ids = cut(self.ids, "ids")
+        return cut(graph.history_edges(ids, adapters.history_of(self.spark, ids)), "edges")
 
     @property
     def ranges(self) -> DataFrame:
@@ -130,7 +133,7 @@ query("low_priority_filter", "SELECT graph_id, name_db FROM (SELECT *, max(CASE
 query("versioned_names", "SELECT DISTINCT concat(stable_id, '.', CAST(version AS string)) AS node, stable_id AS id, CAST(version AS string) AS v FROM ids", "ids")(on(lambda t: t.ids.select(fid.versioned(F.col("stable_id"), F.col("version")).alias("node")).distinct().select("node", fid.split_id(F.col("node"))[0].alias("id"), fid.split_id(F.col("node"))[1].alias("v"))))
 
 # -- joins
-query("relation_left_joins", "SELECT DISTINCT concat('T', CAST(l.l_orderkey AS string)) AS transcript, coalesce(concat('G', CAST(o.o_custkey AS string)), '') AS gene, coalesce(c.c_name, '') AS translation FROM lineitem l LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') o ON l.l_orderkey = o.o_orderkey LEFT JOIN customer c ON c.c_custkey = l.l_orderkey")(
+query("relation_left_joins", "SELECT DISTINCT concat('T', CAST(l.l_orderkey AS string)) AS transcript, coalesce('G' || CAST(o.o_custkey AS string), '') AS gene, coalesce(c.c_name, '') AS translation FROM lineitem l LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') o ON l.l_orderkey = o.o_orderkey LEFT JOIN customer c ON c.c_custkey = l.l_orderkey")(
     on(lambda t: prep.relation(t.lineitem.select(F.col("l_orderkey").alias("gene_id"), F.col("l_orderkey").alias("transcript_id"), F.concat(F.lit("T"), F.col("l_orderkey").cast("string")).alias("transcript")).distinct(),
                                t.orders.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("gene_id"), F.concat(F.lit("G"), F.col("o_custkey").cast("string")).alias("gene")),
                                t.customer.select(F.col("c_custkey").alias("transcript_id"), F.col("c_name").alias("translation"))).select("transcript", "gene", "translation")))
@@ -217,7 +220,7 @@ query("prune_history", "SELECT * FROM edges WHERE src LIKE '%.Void' OR src LIKE
 
 # -- search
 query("name_resolution", "SELECT q AS query, CASE WHEN k % 4 <> 3 THEN n END AS node, CASE WHEN k % 4 <> 3 THEN n <> q END AS was_modified FROM (SELECT k, concat('part-', CAST(k AS string), '_x') AS n, CASE k % 4 WHEN 0 THEN concat('part-', CAST(k AS string), '_x') WHEN 1 THEN concat('PART-', CAST(k AS string), '_X') WHEN 2 THEN concat('part_', CAST(k AS string), '-x.2') ELSE concat('none', CAST(k AS string)) END AS q FROM (SELECT p_partkey AS k FROM part))")(
-    on(lambda t: search.resolve(t.part.select(F.col("p_partkey").alias("k"), (k := F.col("p_partkey").cast("string"))).select(F.when(F.col("k") % 4 == 0, F.concat(F.lit("part-"), "p_partkey", F.lit("_x"))).when(F.col("k") % 4 == 1, F.concat(F.lit("PART-"), "p_partkey", F.lit("_X"))).when(F.col("k") % 4 == 2, F.concat(F.lit("part_"), "p_partkey", F.lit("-x.2"))).otherwise(F.concat(F.lit("none"), "p_partkey"))), t.part.select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string"), F.lit("_x"))))))
+    on(lambda t: search.resolve(t.part.select(F.col("p_partkey").alias("k"), (k := F.col("p_partkey").cast("string"))).select(F.when(F.col("k") % 4 == 0, F.concat(F.lit("part-"), "p_partkey", F.lit("_x"))).when(F.col("k") % 4 == 1, F.concat(F.lit("PART-"), "p_partkey", F.lit("_X"))).when(F.col("k") % 4 == 2, F.concat(F.lit("part_"), "p_partkey", F.lit("-x.2"))).otherwise(F.concat(F.lit("none"), "p_partkey")).alias("query")), t.part.select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string"), F.lit("_x")).alias("name")))))
 
 
 def _walks(t: T, start: int, to: int) -> DataFrame:
@@ -231,11 +234,11 @@ def _walk_sql(start: int, to: int, steps: int, back: bool) -> str:
     """Unrolled, as window functions may not stand in a recursion."""
     src, dst, at, until = ("dst", "src", "new_release", "old_release") if back else ("src", "dst", "old_release", "new_release")
     ok = f"e.{at} <= s.rel AND e.kind NOT IN ('loop', 'open')" if back else f"(e.{at} >= s.rel OR e.{until} IS NULL) AND e.kind <> 'loop'"
-    done = f"at <= {to}" if back else f"(at >= {to} OR until IS NULL)"
+    done = f"hop <= {to}" if back else f"(hop >= {to} OR until IS NULL)"
     text = f", s0 AS (SELECT stable_id AS q, {V} AS node, release AS rel, '' AS path, 0 AS steps, 0.0::double AS sw, 0 AS nw FROM ids WHERE release = {start})"
     for i in range(steps):
-        text += f""", x{i} AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY q, node, rel, path, mv ORDER BY at {'DESC' if back else ''}) AS rk FROM (SELECT s.*, e.{dst} AS far, e.{at} AS at, e.{until} AS until, e.weight, split_part(e.{dst}, '.', 1) = split_part(s.node, '.', 1) AND e.{dst} <> s.node AS mv FROM s{i} s JOIN edges e ON e.{src} = s.node WHERE {ok})) WHERE NOT mv OR rk = 1),
-s{i + 1} AS (SELECT DISTINCT q, far AS node, until AS rel, concat(path, CASE WHEN path <> '' THEN ';' ELSE '' END, node, '>', far, '@', CAST(at AS string)) AS path, steps + 1 AS steps, sw + coalesce(weight, 0) AS sw, nw + CAST(weight IS NOT NULL AS int) AS nw FROM x{i} WHERE NOT {done} AND far <> node AND far NOT LIKE '%.Void' AND far NOT LIKE '%.Retired')"""
+        text += f""", x{i} AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY q, node, rel, path, mv ORDER BY hop {'DESC' if back else ''}) AS rk FROM (SELECT s.*, e.{dst} AS far, e.{at} AS hop, e.{until} AS until, e.weight, split_part(e.{dst}, '.', 1) = split_part(s.node, '.', 1) AND e.{dst} <> s.node AS mv FROM s{i} s JOIN edges e ON e.{src} = s.node WHERE {ok})) WHERE NOT mv OR rk = 1),
+s{i + 1} AS (SELECT DISTINCT q, far AS node, until AS rel, concat(path, CASE WHEN path <> '' THEN ';' ELSE '' END, node, '>', far, '@', CAST(hop AS string)) AS path, steps + 1 AS steps, sw + coalesce(weight, 0) AS sw, nw + CAST(weight IS NOT NULL AS int) AS nw FROM x{i} WHERE NOT {done} AND far <> node AND far NOT LIKE '%.Void' AND far NOT LIKE '%.Retired')"""
     every = " UNION ALL ".join(f"SELECT * FROM x{i}" for i in range(steps))
     return text + f", paths AS (SELECT DISTINCT q AS query_id, node AS target, path, steps, CASE WHEN nw > 0 THEN sw / nw END AS score FROM ({every}) WHERE {done})"
 

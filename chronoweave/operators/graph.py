@@ -42,30 +42,48 @@ def _sentinel(which: str):
     return F.concat("stable_id", F.lit(f".{which}"))
 
 
-def version_edges(ids: DataFrame, events: DataFrame | None = None) -> DataFrame:
-    """id.v -> id.w where adjacent releases differ; the weight is that of the one event of this step, if any."""
-    d = _steps(ids).filter("p_idx = idx - 1 and p_version <> version")
-    out = _edges(d, versioned(F.col("stable_id"), F.col("p_version")), F.col("node"), F.col("prev"), F.col("release"), "version")
-    if events is None:
-        return out
+#: Kinds of edges between one row of ids and its neighbours in time: condition, source, target, releases.
+_KINDS = {
+    "version": ("p_idx = idx - 1 and p_version <> version", lambda: versioned(F.col("stable_id"), F.col("p_version")), lambda: F.col("node"), "prev", "release"),
+    "birth": ("p_idx is null", lambda: _sentinel("Void"), lambda: F.col("node"), "coalesce(prev, release)", "release"),
+    "rebirth": ("p_idx < idx - 1", lambda: _sentinel("Retired"), lambda: F.col("node"), "prev", "release"),
+    "retirement": ("next is not null and (n_idx is null or n_idx > idx + 1)", lambda: F.col("node"), lambda: _sentinel("Retired"), "release", "next"),
+}
+
+
+def step_edges(ids: DataFrame, *kinds: str) -> DataFrame:
+    """Edges of the given kinds (all, if none is named) from one pass over ids: one shuffle and one sort by id."""
+    def edge(k: str):
+        when, src, dst, old, new = _KINDS[k]
+        return F.when(F.expr(when), F.struct(src().alias("src"), dst().alias("dst"), F.expr(old).cast("int").alias("old_release"), F.expr(new).cast("int").alias("new_release"), F.lit(None).cast("double").alias("weight"), F.lit(k).alias("kind")))
+
+    found = F.array_compact(F.array(*[edge(k) for k in kinds or _KINDS]))
+    return _steps(ids).select(F.explode(found).alias("e")).select("e.*")
+
+
+def weighted(edges: DataFrame, events: DataFrame) -> DataFrame:
+    """Version edges with the weight of the one event of their step, if any; other edges as they are."""
     e = prep.drop_all_copies(events.filter("old_id = new_id"), ["old_id", "old_release", "new_release", "new_version"])
-    e = e.select(versioned(F.col("old_id"), F.col("old_version")).alias("src"), versioned(F.col("new_id"), F.col("new_version")).alias("dst"), "old_release", "new_release", F.col("score").alias("s"))
-    return out.join(e, ["src", "dst", "old_release", "new_release"], "left").withColumn("weight", F.col("s")).select(*EDGE)
+    e = e.select(versioned(F.col("old_id"), F.col("old_version")).alias("src"), versioned(F.col("new_id"), F.col("new_version")).alias("dst"), "old_release", "new_release", F.lit("version").alias("kind"), F.col("score").alias("s"))
+    return edges.join(e, ["src", "dst", "old_release", "new_release", "kind"], "left").withColumn("weight", F.coalesce("weight", "s")).select(*EDGE)
+
+
+def version_edges(ids: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """id.v -> id.w where adjacent releases differ."""
+    d = step_edges(ids, "version")
+    return d if events is None else weighted(d, events)
 
 
 def birth_edges(ids: DataFrame) -> DataFrame:
-    d = _steps(ids).filter("p_idx is null")
-    return _edges(d, _sentinel("Void"), F.col("node"), F.coalesce("prev", "release"), F.col("release"), "birth")
+    return step_edges(ids, "birth")
 
 
 def rebirth_edges(ids: DataFrame) -> DataFrame:
-    d = _steps(ids).filter("p_idx < idx - 1")
-    return _edges(d, _sentinel("Retired"), F.col("node"), F.col("prev"), F.col("release"), "rebirth")
+    return step_edges(ids, "rebirth")
 
 
 def retirement_edges(ids: DataFrame) -> DataFrame:
-    d = _steps(ids).filter("next is not null and (n_idx is null or n_idx > idx + 1)")
-    return _edges(d, F.col("node"), _sentinel("Retired"), F.col("release"), F.col("next"), "retirement")
+    return step_edges(ids, "retirement")
 
 
 def latest_runs(ids: DataFrame) -> DataFrame:
@@ -96,14 +114,12 @@ def open_loops(ids: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def history_edges(ids: DataFrame, events: DataFrame, first: int = 0) -> DataFrame:
-    """All seven kinds; nodes that no release's ids have are problems and lose their edges."""
-    parts = [branch_edges(events, first), lossy_loops(events), version_edges(ids, events), birth_edges(ids), rebirth_edges(ids), retirement_edges(ids), open_loops(ids, events)]
-    e = parts[0]
-    for p in parts[1:]:
-        e = e.unionByName(p)
-    bad = problem_nodes(e, ids)
-    e = e.distinct()
-    return e.join(bad.withColumnRenamed("node", "src"), "src", "left_anti").join(bad.withColumnRenamed("node", "dst"), "dst", "left_anti").select(*EDGE)
+    """All seven kinds; nodes that no release's ids have are problems and lose their edges. Steps between releases name
+    known nodes only, so just what events name is tested."""
+    e = branch_edges(events, first).unionByName(lossy_loops(events)).distinct()
+    known = ids.select(versioned(F.col("stable_id"), F.col("version")).alias("src")).distinct()
+    e = e.join(known, "src", "left_semi").join(known.withColumnRenamed("src", "dst"), "dst", "left_semi").select(*EDGE)
+    return e.unionByName(weighted(step_edges(ids), events)).unionByName(open_loops(ids, events)).distinct()
 
 
 def problem_nodes(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import versioned
 from ..functions.temporal import closed, contains, to_points
+from ..session import cut
 
 
 def invariants(ids: DataFrame, history: DataFrame, ranges: DataFrame) -> DataFrame:
     """(name, violations)."""
     node = versioned(F.col("stable_id"), F.col("version"))
     last = ids.agg(F.max("release")).first()[0] or 0
-    have = ids.select(node.alias("node"), "release").distinct()
+    have = cut(ids.select(node.alias("node"), "release").distinct(), "have")
+    ranges = cut(ranges, "ranges")
     said = to_points(ranges, ["node"], last)
     a, b = ranges, ranges.select("node", F.col("seq").alias("q2"), F.col("start").alias("s2"))
     checks = {

@@ -17,14 +17,14 @@ MAX_STEPS = 64
 def resolve(queries: DataFrame, names: DataFrame, most: int = 5) -> DataFrame:
     """(query, node, was_modified): exact, lower case, without suffix, - and _ variants (with these again), then all of
     it behind the synonym prefix. The first hit wins; queries without one have node NULL."""
-    q = queries.select(F.col(queries.columns[0]).alias("query")).distinct()
+    q = queries.toDF("query").distinct()
     base = separator_variants(q, "query", most).withColumnRenamed("variant", "v")
     base = base.select("query", (F.col("variant_no") + 1).alias("no"), "v").unionByName(q.select("query", F.lit(0).alias("no"), F.col("query").alias("v")))
     cut_ = without_suffix(F.col("v"))
     forms = F.array(*[F.struct((F.col("no") * 10 + i).alias("ord"), x.alias("c"), F.lit(low).alias("low")) for i, (x, low) in enumerate([(F.col("v"), False), (F.col("v"), True), (cut_, False), (cut_, True)])])
     c = base.select("query", F.explode(forms).alias("f")).select("query", "f.*").filter("c is not null")
     c = c.unionByName(c.select("query", (F.col("ord") + 1_000_000).alias("ord"), F.concat(F.lit(SYNONYM), "c").alias("c"), "low"))
-    n = names.select(F.col(names.columns[0]).alias("node")).distinct()
+    n = names.toDF("node").distinct()
     exact = c.filter("not low").join(n, F.col("c") == F.col("node")).select("query", "ord", "node")
     low = c.filter("low").join(n, F.lower("c") == F.lower("node")).select("query", "ord", "node")
     best = first_hit(exact.unionByName(low), "query", ["ord", "node"])

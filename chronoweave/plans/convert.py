@@ -64,12 +64,12 @@ def convert(t: Tables, queries: DataFrame, db: str | None = None) -> DataFrame:
     without a node or a path has a row with a NULL target and its status."""
     base = queries.select("query_id", "from_release", "to_release")
     gene = t.nodes.select("node").join(base, F.col("node") == F.col("query_id")).select("query_id", "from_release", "to_release", "node")
-    names = search.resolve(base.join(gene.select("query_id"), "query_id", "left_anti"), t.connections.select("src").distinct())
+    names = search.resolve(base.join(gene.select("query_id"), "query_id", "left_anti").select("query_id"), t.connections.select("src").distinct())
     known = names.filter("node is not null").withColumnsRenamed({"query": "query_id", "node": "name"}).join(base, "query_id")
-    ext = from_external(t, known.select(F.col("name").alias("query_id"), "from_release", "to_release").distinct())
-    ext = known.join(ext, (known["name"] == ext["query_id"]) & (known["from_release"] == ext["from_release"]) & (known["to_release"] == ext["to_release"])).select(known["query_id"], known["from_release"], known["to_release"], "node", "stage")
+    ext = from_external(t, known.select(F.col("name").alias("query_id"), "from_release", "to_release").distinct()).withColumnRenamed("query_id", "name")
+    ext = known.join(ext, ["name", "from_release", "to_release"]).select("query_id", "from_release", "to_release", "node", "stage")
     start = cut(gene.withColumn("stage", F.lit(0)).unionByName(ext), "start").withColumn("key", F.concat_ws("|", "query_id", "node", F.col("from_release").cast("string"), F.col("to_release").cast("string")))
-    went = to_gene(t, start.select(F.col("key").alias("query_id"), "node", F.when(F.col("stage") == 0, F.col("from_release")).otherwise(F.col("from_release")).alias("from_release"), "to_release"))
+    went = to_gene(t, start.select(F.col("key").alias("query_id"), "node", "from_release", "to_release"))
     got = start.join(went.select(F.col("query_id").alias("key"), "target", "steps", "score"), "key").select("query_id", "node", "to_release", "target", "steps", "score").distinct()
     final = to_database(t, got.select("query_id", "node", "target", "to_release"), db) if db else got.select("query_id", "node", "target", F.col("target").alias("final"), F.lit(0).alias("confidence"))
     out = base.select("query_id").distinct().join(final, "query_id", "left")
