@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -46,6 +47,20 @@ def cleanup(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def own_names(fn):
+    """For a function of docs that returns docs' columns, and perhaps more behind them: while it runs, columns that it is
+    not asked to use have other names, so that none clashes with its inner ones."""
+
+    @wraps(fn)
+    def run(docs: DataFrame, *args, **kw) -> DataFrame:
+        used = {"doc_id", "text", "lang", "source", "n_chars", *(x for x in (*args, *kw.values()) if isinstance(x, str))}
+        inner = [c if c in used else f"extra_{i}" for i, c in enumerate(docs.columns)]
+        out = fn(docs.toDF(*inner), *args, **kw)
+        return out.toDF(*docs.columns, *out.columns[len(inner) :])
+
+    return run
+
+
 def _at_exit(app: str) -> None:
     spark = SparkSession.getActiveSession()
     try:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold, materialise, ship, worker_state
+from .common import fold, materialise, own_names, ship, worker_state
 
 LONGEST = 32
 CACHE_PIECES = 250_000
@@ -198,6 +198,7 @@ def train(docs: DataFrame, per_lang: int = 500, pieces: int = 4000, hidden: int
     return Model(labels, BiGRU(len(labels), hidden).fit([a[0] for a in x], y, weight))
 
 
+@own_names
 def with_language(docs: DataFrame, model: Model, text_col: str = "text", batch_chars: int = 3_000_000) -> DataFrame:
     """docs with __lang and __score of every row."""
     ship(docs.sparkSession)
@@ -229,10 +230,11 @@ def _load(raw: bytes) -> _Scorer:
 
 def language_id(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
-    d = with_language(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), model, "__t")
-    return d.select(F.col("__id").alias("doc_id"), (fold("__id") == 0).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    d = with_language(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
+    return d.select("doc_id", (fold("doc_id") == 0).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
+@own_names
 def stage(docs: DataFrame, least: float = 0.35) -> DataFrame:
     """The pipeline's form: a document without letters, or whose language is unclear (score under `least`), goes."""
     scored = with_language(docs, train(docs))

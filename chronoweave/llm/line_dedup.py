@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, materialise, row_key
+from .common import KEY, materialise, own_names, row_key
 
 
 def _line_array(text: Column) -> Column:
@@ -30,6 +30,7 @@ def windows(docs: DataFrame, width: int = 3) -> DataFrame:
     return at.filter(F.coalesce(*h).isNotNull()).select(*KEY, "__p", F.struct(F.xxhash64(*h).alias("a"), F.xxhash64(F.lit(1), *h).alias("b")).alias("__w"))
 
 
+@own_names
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """All rows and columns of docs, with text_col deduplicated, and __n_lines, __removed (sorted line numbers)."""
     d = docs.withColumn("__t", F.col(text_col)).withColumns(dict(zip(KEY, row_key(id_col, text_col), strict=True)))
@@ -43,7 +44,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = later.groupBy(*KEY).agg(F.array_sort(F.array_distinct(cover)).alias("__removed"))
     out = d.join(gone, KEY, "left")
     lines = _line_array(F.col("__t"))
-    # A map of the removed lines' numbers would be quicker for long texts than array_contains; a bitmap of booleans is.
     kept = F.array_compact(F.zip_with(lines, F.col("__mask"), lambda x, m: F.when(F.coalesce(m, F.lit(False)), None).otherwise(x)))
     # __removed is sorted: cut the array at each run's ends instead of testing each line against all numbers.
     mask = F.flatten(F.transform(F.sequence(F.lit(0), F.size("__removed") - 1), lambda i: F.concat(
@@ -56,6 +56,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(*docs.columns, "__n_lines", "__removed")
 
 
+@own_names
 def stage(docs: DataFrame) -> DataFrame:
     """The pipeline's form: same columns; a document of which every line was removed is a copy and goes."""
     out = line_dedup(docs).filter(F.size("__removed") < F.greatest("__n_lines", F.lit(1)))

@@ -13,19 +13,24 @@ the first half goes left, so a node's source counts are multivariate hypergeomet
 own exactly. Leaves are output shards; inside them rows are shuffled by hash.
 
 Nulls: a null text has no words and is drawn with its block; a null source is a source; a null doc_id hashes like an
-empty one. Rows of one doc_id and source share a block and so are drawn alike. Empty tables give empty mixes. Only block sums, at most `blocks` rows a source,
-meet in windows; a hot source is many blocks and never one task.
+empty one. Rows of one doc_id and source share a block and so are drawn alike. Empty tables give empty mixes. Only
+block sums, at most `blocks` rows a source, meet in windows; a hot source is many blocks and never one task.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, own_names
 
 BLOCKS, ROUNDS, SEED = 4096, 8, "mix"
+#: Words of one output task, about 50 MB of text, and the tree's least and greatest depth. A shard of a mix that is too
+#: large for 2^12 shards of so many words is dealt by hash to several tasks.
+TASK_WORDS, LEVELS = 8_000_000, (7, 12)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -61,7 +66,7 @@ def targets(sums: DataFrame) -> DataFrame:
 
 
 def quotas(rows: DataFrame) -> DataFrame:
-    """(__sn, __sv, __blk, __source_size, __target, __draws) of every block of rows that measured() made."""
+    """(__sn, __sv, __blk, __bsize, __source_size, __target, __draws) of every block of rows that measured() made."""
     block = materialise(rows.groupBy("__sn", "__sv", "__blk").agg(F.sum("__size").alias("__bsize")), "blocks")
     per_source = block.groupBy("__sn", "__sv").agg(F.sum("__bsize").alias("__size"))
     t = targets(per_source).withColumnRenamed("__size", "__source_size")
@@ -78,7 +83,7 @@ def quotas(rows: DataFrame) -> DataFrame:
         b = b.withColumn("__left", F.col("__left") - F.sum(F.when(F.col("__new"), F.col("__bsize")).otherwise(F.lit(0))).over(source))
         b = b.withColumn("__more", F.col("__more") | F.col("__new"))
     draws = (F.col("__draws") + F.col("__more").cast("long")).alias("__draws")
-    return b.select("__sn", "__sv", "__blk", "__source_size", "__target", draws)
+    return b.select("__sn", "__sv", "__blk", "__bsize", "__source_size", "__target", draws)
 
 
 def split_tree(drawn: DataFrame, levels: int) -> DataFrame:
@@ -92,17 +97,23 @@ def split_tree(drawn: DataFrame, levels: int) -> DataFrame:
     return d
 
 
-def mix(docs: DataFrame, levels: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = BLOCKS) -> DataFrame:
-    """docs' rows as the mix takes them, repeats as further rows, with __shard and __draw; 2^levels output shards,
-    each in one task's output and shuffled there."""
+@own_names
+def mix(docs: DataFrame, levels: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = BLOCKS) -> DataFrame:
+    """docs' rows as the mix takes them, repeats as further rows, with __shard and __draw; 2^levels output shards, each
+    shuffled in the tasks that write it. Without levels these follow the size of the mix."""
     cols = ["__sn", "__sv", "__blk"]
     m = measured(docs, id_col, text_col, source_col, blocks)
-    q = quotas(m).filter("__draws > 0")
+    q = materialise(quotas(m).filter("__draws > 0"), "quotas")
+    words = q.agg(F.sum(F.col("__bsize") * F.col("__draws"))).first()[0] or 0
+    if levels is None:
+        levels = min(max(LEVELS[0], math.ceil(math.log2(max(1, words / TASK_WORDS)))), LEVELS[1])
+    tasks = math.ceil(words / (TASK_WORDS << levels)) or 1
     draws = split_tree(q, levels).groupBy(*cols).agg(F.collect_list(F.struct("__shard", "__draw")).alias("__at"))  # two at most
     draws = materialise(draws, "draws")
     out = m.join(draws, cols).withColumn("__at", F.explode("__at")).select(*docs.columns, F.col("__at.__shard").alias("__shard"), F.col("__at.__draw").alias("__draw"))
     order = _number(_tag(SEED, "o", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("__draw")))
-    return out.repartition("__shard").sortWithinPartitions("__shard", order)
+    by = ["__shard"] if tasks == 1 else ["__shard", order % tasks]
+    return out.repartition(*by).sortWithinPartitions("__shard", order)
 
 
 def taken(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
@@ -114,6 +125,7 @@ def taken(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     return m.join(q, cols).select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__draws")).alias("taken"))
 
 
+@own_names
 def stage(docs: DataFrame) -> DataFrame:
     """The pipeline's form: the mix's rows, repeats as rows of their own, in the columns of docs."""
     return mix(docs).select(*docs.columns)

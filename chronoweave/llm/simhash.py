@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, components, hash_blocks, local_forest, map_batches, materialise, row_key, ship
+from .common import KEY, components, hash_blocks, local_forest, map_batches, materialise, own_names, row_key, ship
 
 RADIUS = 3
 
@@ -163,6 +163,7 @@ def simhash_dedup(docs: DataFrame, words: int = 3, radius: int = RADIUS, id_col:
     return out.withColumn("component", F.when(~F.col("__kn"), F.col("component")))
 
 
+@own_names
 def stage(docs: DataFrame) -> DataFrame:
     """The pipeline's form: five-word shingles; of each group the document with the smallest id stays, once.
     Documents without any word link with each other, by their fingerprint of zero."""
