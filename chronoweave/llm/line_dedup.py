@@ -10,6 +10,8 @@ rows equal in doc_id only are ordered by a hash of their text. Other columns pas
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +26,11 @@ def windows(docs: DataFrame, width: int = 3) -> DataFrame:
     """(key columns, __p, __w): each window's first line and two 64-bit hashes of its lines."""
     d = docs.filter(F.length("__t") - F.length(F.replace("__t", F.lit("\n"), F.lit(""))) >= width - 1)
     lines = d.select(*KEY, _line_array(F.col("__t")).alias("__l"))
-    lines = lines.select(*KEY, F.transform("__l", lambda x: F.when(F.trim(x) != "", F.xxhash64(x))).alias("__l"))
+    # A line's hash with its lowest bit set where it is not blank: xxhash64 passes over nulls, so these can't stand for blanks.
+    lines = lines.select(*KEY, F.transform("__l", lambda x: F.when(F.trim(x) != "", F.xxhash64(x).bitwiseOR(F.lit(1))).otherwise(F.xxhash64(x).bitwiseAND(F.lit(-2)))).alias("__l"))
     h = [F.col("__l")[F.col("__p") + i] for i in range(width)]
     at = lines.select(*KEY, "__l", F.explode(F.sequence(F.lit(0), F.size("__l") - width)).alias("__p"))
-    return at.filter(F.coalesce(*h).isNotNull()).select(*KEY, "__p", F.struct(F.xxhash64(*h).alias("a"), F.xxhash64(F.lit(1), *h).alias("b")).alias("__w"))
+    return at.filter(reduce(lambda a, b: a.bitwiseOR(b), h).bitwiseAND(F.lit(1)) == 1).select(*KEY, "__p", F.struct(F.xxhash64(*h).alias("a"), F.xxhash64(F.lit(1), *h).alias("b")).alias("__w"))
 
 
 @own_names
