@@ -300,7 +300,7 @@ def _ladder(spark: SparkSession, sf: str) -> DataFrame:
 query("final_hop", "SELECT DISTINCT i.node AS query_id, i.node, i.node AS target, coalesce(a.src, b.src, i.node) AS final, CASE WHEN a.src IS NOT NULL THEN 0 WHEN b.src IS NOT NULL THEN 1 END AS confidence FROM (SELECT " + V + " AS node FROM ids WHERE release = 12) i LEFT JOIN (SELECT DISTINCT dst, src FROM conn WHERE db = 'Brand#11' AND release = 12) a ON a.dst = i.node LEFT JOIN (SELECT DISTINCT dst, src FROM conn WHERE db = 'Brand#11') b ON b.dst = i.node AND a.src IS NULL", "conn", "ids")(
     on(lambda t: plan.to_database(plan.Tables(None, t.conn, None, None), t.ids.filter("release = 12").select((n := fid.versioned(F.col("stable_id"), F.col("version"))).alias("query_id"), n.alias("node"), n.alias("target"), F.lit(12).alias("to_release")), "Brand#11")))
 query("conversion_bins")(lambda spark, sf: plan.bins(_convert_external(spark, sf)))
-query("travel_metrics")(lambda spark, sf: qa.travel(_convert_gene(spark, sf), T(spark, sf).ids.select(fid.versioned(F.col("stable_id"), F.col("version")))))
+query("travel_metrics")(lambda spark, sf: qa.travel(_convert_gene(spark, sf), T(spark, sf).ids.select(fid.versioned(F.col("stable_id"), F.col("version")).alias("node"))))
 query("assembly_jump_fold", "SELECT o_orderkey, 0 AS jumps FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 1 FROM orders WHERE o_orderkey % 2 = 1")(
     on(lambda t: t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(1)), F.array(F.lit(2)))).otherwise(F.array(F.array(F.lit(1)), F.array(F.lit(2)), F.array(F.lit(2)))).alias("s")).select("o_orderkey", search.jump_fold("s")["jumps"].alias("jumps"))))
 query("global_choice", "SELECT query_id, target FROM (SELECT *, max(own) OVER (PARTITION BY query_id) AS a FROM (SELECT *, CASE WHEN target = 'N1' THEN 1 ELSE 0 END AS own FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY c) AS r FROM (SELECT DISTINCT o_custkey AS query_id, concat('N', CAST(o_orderkey % 3 AS string)) AS target, min(o_orderkey % 2) OVER (PARTITION BY o_custkey, o_orderkey % 3) AS c FROM orders)) WHERE r = 1)) WHERE own = 1 OR a = 0")(

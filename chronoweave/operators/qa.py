@@ -40,7 +40,7 @@ def path_density(queries: DataFrame, paths: DataFrame) -> DataFrame:
 
 def travel(converted: DataFrame, truth: DataFrame) -> DataFrame:
     """Counts over queries: lost, one_to_one, one_to_many, and inaccurate: a target that truth (id) does not have."""
-    t = truth.select(F.col(truth.columns[0]).alias("target")).distinct().withColumn("known", F.lit(True))
+    t = truth.toDF("target").distinct().withColumn("known", F.lit(True))
     per = converted.join(t, "target", "left").groupBy("query_id").agg(F.count_distinct("target").alias("n"), F.max(F.col("target").isNotNull() & F.col("known").isNull()).alias("bad"))
     c = lambda x: F.coalesce(F.sum(x.cast("long")), F.lit(0))
     return per.agg(F.count("*").alias("queries"), c(F.col("n") == 0).alias("lost"), c(F.col("n") == 1).alias("one_to_one"), c(F.col("n") > 1).alias("one_to_many"), c(F.col("bad")).alias("inaccurate"))
