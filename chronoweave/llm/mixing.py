@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, own_names
+from .common import KEY, materialise, own_names, row_key
 
 BLOCKS, ROUNDS, SEED = 4096, 8, "mix"
 #: Words of one output task, about 50 MB of text, and the tree's least and greatest depth. A shard of a mix that is too
@@ -125,6 +125,22 @@ def taken(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     return m.join(q, cols).select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__draws")).alias("taken"))
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """What taken() foretells, counted in the shards: mix() deals all rows, the shards are written and read again, and
+    the words of a row's copies in them are its taken; 0 where there is none. The shards hold each row's key and words
+    in place of its text, which the result does not need. Rows equal in id, source and text share theirs."""
+    key = [*KEY, "__sn", "__sv"]
+    d = measured(docs.select("doc_id", "text", "source")).withColumns(dict(zip(KEY, row_key("doc_id", "text"), strict=True))).drop("__blk")
+    rows = materialise(d.select("doc_id", *key, "__size"), "sizes")
+    shards = materialise(mix(d).select("__shard", "__draw", *key, "__size"), "shards")
+    drawn = materialise(shards.groupBy(*key).agg(F.sum("__size").alias("__drawn")), "drawn")
+    t = targets(rows.groupBy("__sn", "__sv").agg(F.sum("__size").alias("__size"))).withColumnRenamed("__size", "__source_size")
+    per = materialise(rows.groupBy(*key).agg(F.count("*").alias("__n")).join(drawn, key, "left"), "per_row")
+    out = rows.join(per, key).join(t, ["__sn", "__sv"])
+    share = F.coalesce(F.expr("__drawn div __n"), F.lit(0)).cast("long")
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), share.alias("taken"))
+
+
 @own_names
 def stage(docs: DataFrame) -> DataFrame:
     """The pipeline's form: the mix's rows, repeats as rows of their own, in the columns of docs."""
