@@ -3,11 +3,13 @@
 Texts are cut as byte-level BPE does (by the public pattern, around special tokens). Words that a worker has not seen
 are encoded together: greedy longest match proposes tokens; a vectorised test of all adjacent pairs asks whether
 merging the two tokens' bytes from scratch would give these two tokens again (a sequence is the exact encoding if and
-only if every adjacent pair passes); only words with a failing pair go through exact merging. Known words come from a
-bounded cache. The vocabulary file is read once on the driver and broadcast: its size does not depend on the data.
+only if every adjacent pair passes); only words with a failing pair go through exact merging, all of a batch together. Known
+words come from a cache of two generations bounded in bytes: what a batch uses moves to the young one, so common words
+never leave. The vocabulary file is read once on the driver and broadcast: its size does not depend on the data.
 
-A null or empty text has no tokens and decodes to the empty text. Rows are independent, so repeated ids, ties and
-extra columns change nothing.
+A null or empty text has no tokens and decodes to the empty text; an empty table gives an empty one. A text is cut whole,
+however long; texts are taken together up to `batch_chars` characters, a longer one alone. Rows are independent, so
+repeated rows and ids, ties and extra columns, whatever their names, change nothing.
 """
 
 from __future__ import annotations
@@ -27,7 +29,11 @@ from .common import map_batches, worker_state
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: White space beside a space: there, cutting at single spaces could differ from the pattern.
 _UNEVEN = regex.compile(r" \s|\s | $")
-CACHE_WORDS = 150_000
+_RARE_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+#: Bytes of one generation of known words, and what an entry takes beside its characters and ids.
+CACHE_BYTES, ENTRY_BYTES = 70_000_000, 190
+#: Words of at most so many bytes are merged together in arrays.
+SHORT = 64
 
 
 def _byte_chars() -> dict[str, int]:
@@ -62,18 +68,30 @@ class Vocabulary:
         keys = left[256:] * self.size + right[256:]
         order = np.argsort(keys, kind="stable")
         self.pair_keys, self.pair_ranks = keys[order], order + 256
-        self.longest: dict[bytes, int] = {}
+        # Tokens as a tree: byte -> (its tree, the token that ends there or None).
+        self.tree: dict = {}
         for t in tokens:
-            self.longest[t[:2]] = max(self.longest.get(t[:2], 0), len(t))
+            node = self.tree
+            for i, byte in enumerate(t):
+                found = node.get(byte)
+                ends = self.rank[t] if i + 1 == len(t) else found and found[1]
+                node[byte] = found = ({} if found is None else found[0], ends)
+                node = found[0]
+        # The rank of each pair of bytes that some merge joins first; size where none does.
+        self.byte_pairs = np.full(256 * 256, self.size, np.int64)
+        low = (left[256:] < 256) & (right[256:] < 256)
+        self.byte_pairs[left[256:][low] * 256 + right[256:][low]] = np.flatnonzero(low) + 256
 
     def greedy(self, word: bytes) -> list[int]:
-        rank, longest, out, at, n = self.rank, self.longest, [], 0, len(word)
+        tree, out, at, n = self.tree, [], 0, len(word)
         while at < n:
-            end = min(n, at + longest.get(word[at : at + 2], 1))
-            while (r := rank.get(word[at:end])) is None:
-                end -= 1
-            out.append(r)
-            at = end
+            node, i = tree, at
+            while i < n and (found := node.get(word[i])):
+                node, rank = found
+                i += 1
+                if rank is not None:
+                    last, at = rank, i
+            out.append(last)
         return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -141,6 +159,44 @@ class Vocabulary:
                 heapq.heappush(heap, (m, p, parts[p], r))
         return [x for x, a in zip(parts, alive, strict=True) if a]
 
+    def _pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank that merging a and b gives, size where nothing does."""
+        key = a * self.size + b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], self.size)
+
+    def exact_together(self, words: list[bytes]) -> list[np.ndarray]:
+        """exact() of words of one length of at least two bytes: each round merges every word's least pair, leftmost
+        first. The tokens of a word are a linked list over its bytes' places."""
+        n, width = len(words), len(words[0])
+        parts = np.frombuffer(b"".join(words), np.uint8).reshape(n, width).astype(np.int64)
+        ranks = np.full((n, width), self.size, np.int64)  # of the pair that begins at each place
+        ranks[:, :-1] = self.byte_pairs[parts[:, :-1] * 256 + parts[:, 1:]]
+        after = np.tile(np.arange(1, width + 1), (n, 1))
+        before = np.tile(np.arange(-1, width - 1), (n, 1))
+        on = np.arange(n)
+        while len(on):
+            own = ranks[on]
+            i = own.argmin(axis=1)
+            r = own[np.arange(len(on)), i]
+            go = r < self.size
+            on, i, r = on[go], i[go], r[go]
+            j = after[on, i]
+            k = after[on, j]
+            parts[on, i], parts[on, j], after[on, i], ranks[on, j] = r, -1, k, self.size
+            has = k < width
+            ranks[on[~has], i[~has]] = self.size
+            before[on[has], k[has]] = i[has]
+            p = before[on, i]
+            had = p >= 0
+            a = np.concatenate([r[has], parts[on[had], p[had]]])
+            b = np.concatenate([parts[on[has], k[has]], r[had]])
+            new = self._pair_ranks(a, b)
+            ranks[on[has], i[has]] = new[: has.sum()]
+            ranks[on[had], p[had]] = new[has.sum() :]
+        keep = parts >= 0
+        return np.split(parts[keep], np.cumsum(keep.sum(axis=1))[:-1])
+
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Each word's ids as little-endian unsigned 32-bit integers."""
         proposed = [self.greedy(w) for w in words]
@@ -155,18 +211,48 @@ class Vocabulary:
         ids = self.id_of[flat].astype("<u4").tobytes()
         ends = (np.cumsum(sizes) * 4).tolist()
         out = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        by_size: dict[int, list[int]] = {}
         for i in np.flatnonzero(failing).tolist():
-            out[i] = self.id_of[self.exact(words[i])].astype("<u4").tobytes()
+            by_size.setdefault(len(words[i]), []).append(i)
+        for size, own in by_size.items():
+            several = size <= SHORT and len(own) > 8
+            merged = self.exact_together([words[i] for i in own]) if several else [np.array(self.exact(words[i])) for i in own]
+            for i, ranks in zip(own, merged, strict=True):
+                out[i] = self.id_of[ranks].astype("<u4").tobytes()
         return out
 
 
+class Cache:
+    """Ids of words in two generations. A batch's words are brought to the young one, which becomes the old one, and the
+    old one is forgotten, before the batch in which it would outgrow its bytes."""
+
+    def __init__(self, most: int):
+        self.most, self.size, self.young, self.old = most, 0, {}, {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """Makes room, brings known words to the young generation and returns the others."""
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+        new = words - self.young.keys()
+        known = new & self.old.keys()
+        self.add((w, self.old[w]) for w in known)
+        return list(new - known)
+
+    def add(self, found) -> None:
+        for word, ids in found:
+            self.young[word] = ids
+            self.size += len(word) + len(ids) + ENTRY_BYTES
+
+
 class Encoder:
-    def __init__(self, vocab: Vocabulary):
+    def __init__(self, vocab: Vocabulary, cache_bytes: int = CACHE_BYTES):
         self.v = vocab
-        self.spaced: dict[str, bytes] = {}  # pieces that follow a single space, which is theirs
-        self.plain: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}  # the pattern's words, which pieces that differ in punctuation share
-        self.table = [vocab.bytes_of.get(i, b"") for i in range(max(vocab.bytes_of) + 1)]
+        self.spaced = Cache(cache_bytes)  # pieces that follow a single space, which is theirs
+        self.plain = Cache(cache_bytes // 4)
+        table = [vocab.bytes_of.get(i, b"") for i in range(max(vocab.bytes_of) + 1)]
+        self.sizes = np.fromiter(map(len, table), np.int64, len(table))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.blob = np.frombuffer(b"".join(table), np.uint8)
         self.split = regex.compile("|".join(map(regex.escape, sorted(vocab.special, key=len, reverse=True)))) if vocab.special else None
 
     def _segments(self, text: str):
@@ -181,10 +267,32 @@ class Encoder:
 
     def _pieces(self, text: str) -> tuple[list[str], list[tuple[bool, str]]]:
         """Either pieces between single spaces (the first is plain), or the pattern's words where white space is uneven."""
-        if not _UNEVEN.search(text):
+        if not self._uneven(text):
             return text.split(" "), []
         return [], [(w[0] == " " and len(w) > 1 and not w.isspace(), w) for w in PATTERN.findall(text)]
 
+    @staticmethod
+    def _uneven(text: str) -> bool:
+        if any(c in text for c in _RARE_SPACE):
+            return _UNEVEN.search(text) is not None
+        return "  " in text or " \n" in text or "\n " in text or text[-1] == " "
+
+    def _learn(self, spaced: set[str], plain: set[str]) -> None:
+        """Brings pieces to the caches. A piece of several words is joined from these words' ids."""
+        new = [(cache, cache.missing(pieces), lead) for cache, pieces, lead in ((self.spaced, spaced, " "), (self.plain, plain, ""))]
+        cut = [[ws if len(ws := PATTERN.findall(lead + p)) > 1 else ws[0] for p in ps] for _, ps, lead in new]
+        unseen = {w for own in cut for ws in own if type(ws) is list for w in ws}
+        words: dict[str, bytes] = {}
+        for w in unseen:
+            known = self.spaced.young.get(w[1:]) if w[0] == " " and len(w) > 1 and not w.isspace() else self.plain.young.get(w)
+            if known is not None:
+                words[w] = known
+        unseen.update(w for own in cut for w in own if type(w) is str)
+        todo = list(unseen - words.keys())
+        words.update(zip(todo, self.v.encode_words([w.encode() for w in todo]) if todo else [], strict=True))
+        for (cache, ps, _), own in zip(new, cut, strict=True):
+            cache.add((p, words[ws] if type(ws) is str else b"".join([words[w] for w in ws])) for p, ws in zip(ps, own, strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         plan, spaced, plain = [], set(), set()
         for text in texts:
@@ -201,17 +309,8 @@ class Encoder:
                         (spaced if after else plain).add(w[1:] if after else w)
                     own.append((cut, words))
             plan.append(own)
-        for cache, new, lead in ((self.spaced, spaced, " "), (self.plain, plain, "")):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            new = list(new - cache.keys())
-            words = [PATTERN.findall(lead + p) for p in new]
-            if len(ids := self.words) > CACHE_WORDS:
-                ids.clear()
-            unseen = list(set(chain.from_iterable(words)) - ids.keys())
-            ids.update(zip(unseen, self.v.encode_words([w.encode() for w in unseen]) if unseen else [], strict=True))
-            cache.update((p, ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])) for p, ws in zip(new, words, strict=True))
-        out = []
+        self._learn(spaced, plain)
+        out, after_space, alone = [], self.spaced.young.__getitem__, self.plain.young.__getitem__
         for own in plan:
             parts: list[bytes] = []
             for s in own:
@@ -220,14 +319,28 @@ class Encoder:
                     continue
                 cut, words = s
                 if cut:
-                    parts.append(self.plain[cut[0]])
-                    parts += map(self.spaced.__getitem__, cut[1:])
-                parts += [self.spaced[w[1:]] if after else self.plain[w] for after, w in words]
+                    parts.append(alone(cut[0]))
+                    parts += map(after_space, cut[1:])
+                parts += [after_space(w[1:]) if after else alone(w) for after, w in words]
             out.append(b"".join(parts))
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def decode(self, encoded: list[bytes], most: int = 1_000_000) -> list[str]:
+        """The texts of ids, gathered from the tokens' bytes; texts are taken together up to `most` ids."""
+        out, low = [], 0
+        while low < len(encoded):
+            high, n = low, 0
+            while high < len(encoded) and (high == low or n + len(encoded[high]) // 4 <= most):
+                n, high = n + len(encoded[high]) // 4, high + 1
+            ids = np.frombuffer(b"".join(encoded[low:high]), "<u4")
+            sizes = self.sizes[ids]
+            ends = np.cumsum(sizes)
+            at = np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+            raw, ends = self.blob[at].tobytes(), np.concatenate([[0], ends])
+            cuts = ends[np.cumsum([0, *(len(e) // 4 for e in encoded[low:high])])].tolist()
+            out += [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
+            low = high
+        return out
 
 
 def _vocabulary(spark: SparkSession, path: str):
@@ -249,8 +362,8 @@ def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         texts, part, size = batch.column(1), [], 0
         for i in range(len(texts) + 1):
             if i == len(texts) or size > batch_chars:
-                for ids in enc.encode(part):
-                    decoded = enc.decode(np.frombuffer(ids, "<u4"))
+                encoded = enc.encode(part)
+                for ids, decoded in zip(encoded, enc.decode(encoded), strict=True):
                     out["n_tokens"].append(len(ids) // 4)
                     out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())

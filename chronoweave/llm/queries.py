@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +12,12 @@ from .common import read
 
 
 def vocabulary_path() -> str:
-    """Where this machine's public tokenizers lie; spark.chronoweave.vocabulary overrides it."""
+    """Where the installed public tokenizers hold the vocabulary; spark.chronoweave.vocabulary names another file."""
     try:
         import public_tokenizers
-
-        return public_tokenizers.path("byte_bpe_50k.json")
-    except ImportError:
-        return str(Path("/opt/tokenizers/byte_bpe_50k.json"))
+    except ImportError as e:
+        raise FileNotFoundError("no public_tokenizers here: name a vocabulary file in spark.chronoweave.vocabulary") from e
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -156,6 +157,21 @@ def test_bpe_like_the_library(spark):
         assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), text
         assert got[i].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.bpe(table(spark, []), vocabulary_path()).count() == 0
+    twice = bpe.bpe(table(spark, ["some words", "some words", None, None], [7, 7, None, None]), vocabulary_path()).collect()
+    assert [(r.doc_id, r.n_tokens) for r in twice] == [(7, 2), (7, 2), (None, 0), (None, 0)]
+
+
+def test_bpe_with_a_cache_that_forgets_and_words_merged_together():
+    v = bpe.Vocabulary(Path(vocabulary_path()).read_bytes())
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdeinrst é") for _ in range(rng.randint(1, 20))).encode() for _ in range(3000)]
+    want = {w: v.id_of[v.exact(w)].astype("<u4").tobytes() for w in words}
+    assert v.encode_words(words) == [want[w] for w in words]
+    small, large = bpe.Encoder(v, cache_bytes=20_000), bpe.Encoder(v)
+    texts = [" ".join(f"{rng.choice('abc')}{rng.randint(0, 2000)}, x" for _ in range(40)) + "end. \n y" * (i % 3) for i in range(300)]
+    got = [ids for i in range(0, 300, 20) for ids in small.encode(texts[i : i + 20])]
+    assert got == large.encode(texts) and len(small.spaced.young) < len(large.spaced.young)
+    assert small.decode(got, most=500) == texts == large.decode(got)
 
 
 # -- licenses
