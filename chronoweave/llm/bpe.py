@@ -280,7 +280,7 @@ class Encoder:
     def _learn(self, spaced: set[str], plain: set[str]) -> None:
         """Brings pieces to the caches. A piece of several words is joined from these words' ids."""
         new = [(cache, cache.missing(pieces), lead) for cache, pieces, lead in ((self.spaced, spaced, " "), (self.plain, plain, ""))]
-        cut = [[ws if len(ws := PATTERN.findall(lead + p)) > 1 else ws[0] for p in ps] for _, ps, lead in new]
+        cut = [[ws[0] if len(ws := PATTERN.findall(lead + p)) == 1 else ws for p in ps] for _, ps, lead in new]
         unseen = {w for own in cut for ws in own if type(ws) is list for w in ws}
         words: dict[str, bytes] = {}
         for w in unseen:
