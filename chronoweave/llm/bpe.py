@@ -31,7 +31,7 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 _UNEVEN = regex.compile(r" \s|\s | $")
 _RARE_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 #: Bytes of one generation of known words, and what an entry takes beside its characters and ids.
-CACHE_BYTES, ENTRY_BYTES = 70_000_000, 190
+CACHE_BYTES, ENTRY_BYTES = 50_000_000, 190
 #: Words of at most so many bytes are merged together in arrays.
 SHORT = 64
 
@@ -325,7 +325,7 @@ class Encoder:
             out.append(b"".join(parts))
         return out
 
-    def decode(self, encoded: list[bytes], most: int = 1_000_000) -> list[str]:
+    def decode(self, encoded: list[bytes], most: int = 200_000) -> list[str]:
         """The texts of ids, gathered from the tokens' bytes; texts are taken together up to `most` ids."""
         out, low = [], 0
         while low < len(encoded):
