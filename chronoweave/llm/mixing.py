@@ -3,18 +3,24 @@
 DataFrame functions only. Sources in order of code point, null last, weigh 3, 1, 2, repeating, and share 150 % of all
 words; a target stops at twice its source's words, and the excess goes to the others by weight until none is above.
 In one formula: target = least(2 x words, level x weight), the level being found by prefix sums over the sources in
-order of words per weight.
+order of words per weight. Prefix sums over any number of sources are taken in ranges (running()), not in one task.
 
 Each document falls by a hash of its id into one of `blocks` blocks of its source. A source gives all its blocks once
 or twice where its target asks for it, and for the rest a permuted prefix of blocks that fits, then in further rounds
 the next blocks that still fit; the miss is less than the smallest block left, a few thousandths of a source or less
-once it has thousands of documents. All drawn blocks then go down a binary tree: at each node they are permuted and
-the first half goes left, so a node's source counts are multivariate hypergeometric and its children's add up to its
-own exactly. Leaves are output shards; inside them rows are shuffled by hash.
-
-Nulls: a null text has no words and is drawn with its block; a null source is a source; a null doc_id hashes like an
-empty one. Rows of one doc_id and source share a block and so are drawn alike. Empty tables give empty mixes. Only
-block sums, at most `blocks` rows a source, meet in windows; a hot source is many blocks and never one task.
+once it has thousands of documents.
+
+A source's quota is how many blocks are drawn of it. The tree splits these counts: all quotas' draws, told apart by
+source and number only, are put into one uniform order, and each node halves its stretch of it, down to 2^levels
+leaves. Given a node's counts by source, its left child's are thus multivariate hypergeometric, and children add up to
+their parent. Then each source's drawn blocks, permuted on their own, are dealt to the leaves in disjoint runs as long
+as the leaves' counts. Leaves are output shards; inside them rows are shuffled by hash.
+
+Nulls: a null text has no words and is drawn with its block; a null source is a source; a row with a null doc_id falls
+by its text's hash. Rows of one doc_id and source share a block and so are drawn alike, as do rows without an id that
+have one text and source. Empty tables give empty mixes. Very long texts count whole. Other columns pass through
+whatever their names. Only block sums, at most `blocks` rows a source, meet in a source's windows, so a hot source is
+many blocks and never one task.
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ BLOCKS, ROUNDS, SEED = 4096, 8, "mix"
 #: large for 2^12 shards of so many words is dealt by hash to several tasks.
 TASK_WORDS, LEVELS = 8_000_000, (7, 12)
 WORD = r"[^\x20\x09-\x0D]+"
+#: Ranges in which prefix sums over sources and draws are taken.
+RANGES = 8
 
 
 def _number(x: Column) -> Column:
@@ -42,27 +50,46 @@ def _tag(*parts) -> Column:
     return F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
 
 
+def _ident(id_col: str, text_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+
+
+def running(df: DataFrame, order: list[str], sums: dict[str, str], ranges: int = RANGES) -> DataFrame:
+    """df with __rank, a row's place in `order` (which must tell all rows apart), and for each of sums (name: column) the
+    column's sum over all rows before it. Rows are dealt in ranges of the order; each range sums its own, and one row a
+    range gives what lies before it."""
+    part = F.spark_partition_id().alias("__part")
+    d = materialise(df.repartitionByRange(ranges, *order).select("*", part), "ranges")  # written, so a range keeps its number
+    own = d.groupBy("__part").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__of_{name}") for name, c in sums.items()])
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    zero = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    base = own.select("__part", zero("__n", before).alias("__base"), *[zero(f"__of_{name}", before).alias(f"__of_{name}") for name in sums])
+    within = W.partitionBy("__part").orderBy(*order)
+    upto = within.rowsBetween(W.unboundedPreceding, -1)
+    d = d.join(F.broadcast(base), "__part")
+    new = {"__rank": F.col("__base") + F.row_number().over(within)} | {name: F.col(f"__of_{name}") + zero(c, upto) for name, c in sums.items()}
+    return d.withColumns(new).drop("__part", "__base", *[f"__of_{name}" for name in sums])
+
+
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = BLOCKS) -> DataFrame:
     """docs with __size (words), __sn and __sv (the source, never null) and __blk (its block)."""
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    ident = _ident(id_col, text_col)
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     return docs.withColumns({"__sn": F.col(source_col).isNull(), "__sv": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__size": size, "__blk": _number(_tag(SEED, ident)) % blocks})
 
 
 def targets(sums: DataFrame) -> DataFrame:
     """Of (__sn, __sv, __size) by source: adds __target."""
-    everything = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    s = sums.withColumn("__rank", F.row_number().over(W.orderBy("__sn", "__sv")))
-    s = s.withColumn("__weight", F.element_at(F.array(F.lit(3), F.lit(1), F.lit(2)), ((F.col("__rank") - 1) % 3 + 1).cast("int")))
-    s = s.withColumns({"__cap": F.col("__size") * 2, "__all": F.sum("__size").over(everything), "__weights": F.sum("__weight").over(everything)})
-    by = W.orderBy(F.col("__cap").cast("double") / F.col("__weight"), "__rank")
-    before = by.rowsBetween(W.unboundedPreceding, -1)
-    level = (F.col("__all") * 1.5 - F.coalesce(F.sum("__cap").over(before), F.lit(0))) / (F.col("__weights") - F.coalesce(F.sum("__weight").over(before), F.lit(0)))
-    s = s.withColumn("__level", level)
-    open_ = F.when(F.col("__cap") > F.col("__level") * F.col("__weight"), F.col("__level"))
-    s = s.withColumn("__level", F.first(open_, ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    s = running(sums, ["__sn", "__sv"], {})
+    s = s.withColumn("__weight", F.element_at(F.array(F.lit(3), F.lit(1), F.lit(2)), ((F.col("__rank") - 1) % 3 + 1).cast("int")).cast("long"))
+    s = s.withColumn("__cap", F.col("__size") * 2).withColumn("__per", F.col("__cap").cast("double") / F.col("__weight"))
+    s = materialise(running(s.withColumnRenamed("__rank", "__no"), ["__per", "__no"], {"__caps": "__cap", "__before": "__weight"}), "levels")
+    everything = F.broadcast(s.agg(F.sum("__size").alias("__all"), F.sum("__weight").alias("__weights")))  # one row
+    level = (F.col("__all").cast("double") * 1.5 - F.col("__caps").cast("double")) / (F.col("__weights") - F.col("__before"))
+    open_ = s.crossJoin(everything).withColumn("__level", level).filter(F.col("__cap") > F.col("__level") * F.col("__weight"))
+    found = F.broadcast(open_.agg(F.min_by("__level", "__rank").alias("__level")))  # one row, null where no source is open
     cap = F.col("__cap").cast("double")
-    return s.withColumn("__target", F.coalesce(F.least(cap, F.col("__level") * F.col("__weight")), cap)).select("__sn", "__sv", "__size", "__target")
+    return s.crossJoin(found).select("__sn", "__sv", "__size", F.coalesce(F.least(cap, F.col("__level") * F.col("__weight")), cap).alias("__target"))
 
 
 def quotas(rows: DataFrame) -> DataFrame:
@@ -86,15 +113,29 @@ def quotas(rows: DataFrame) -> DataFrame:
     return b.select("__sn", "__sv", "__blk", "__bsize", "__source_size", "__target", draws)
 
 
+def split_counts(quota: DataFrame, levels: int) -> DataFrame:
+    """Of (__sn, __sv, __q: draws) by source: the leaves' counts (__sn, __sv, __shard, __c), __shard in 0 .. 2^levels - 1.
+    A node of a higher level has the counts of the leaves with its number as their first bits."""
+    d = quota.select("__sn", "__sv", F.explode(F.sequence(F.lit(1), F.col("__q"))).alias("__no"))
+    d = d.withColumn("__key", _number(_tag(SEED, "t", F.col("__sn"), F.col("__sv"), F.col("__no"))))
+    d = running(d, ["__key", "__sn", "__sv", "__no"], {})
+    every = F.broadcast(quota.agg(F.sum("__q").alias("__every")))  # one row
+    # The floor of place x leaves / draws: halving a stretch at the floor of its middle, again and again.
+    leaf = F.expr(f"(__rank - 1) * {1 << levels} div __every").cast("int")
+    return d.crossJoin(every).groupBy("__sn", "__sv", leaf.alias("__shard")).agg(F.count("*").alias("__c"))
+
+
 def split_tree(drawn: DataFrame, levels: int) -> DataFrame:
-    """One row for each draw of a block, with its __shard (0 .. 2^levels - 1)."""
-    d = drawn.select("__sn", "__sv", "__blk", F.explode(F.sequence(F.lit(1), F.col("__draws"))).alias("__draw")).withColumn("__shard", F.lit(0))
-    for level in range(levels):
-        node = W.partitionBy("__shard")
-        place = F.row_number().over(node.orderBy(_number(_tag(SEED, "t", level, F.col("__sv"), F.col("__blk"), F.col("__draw"))), "__sn", "__sv", "__blk", "__draw"))
-        size = F.count("*").over(node)
-        d = d.withColumn("__shard", F.col("__shard") * 2 + (place > F.floor(size / 2)).cast("int"))
-    return d
+    """One row for each draw of a block (__sn, __sv, __blk, __draw), with its __shard."""
+    source = W.partitionBy("__sn", "__sv")
+    counts = split_counts(drawn.groupBy("__sn", "__sv").agg(F.sum("__draws").alias("__q")), levels)
+    last = F.sum("__c").over(source.orderBy("__shard").rowsBetween(W.unboundedPreceding, 0))
+    counts = counts.withColumn("__last", last)
+    places = counts.select("__sn", "__sv", "__shard", F.explode(F.sequence(F.col("__last") - F.col("__c") + 1, F.col("__last"))).alias("__place"))
+    d = drawn.select("__sn", "__sv", "__blk", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__draws"))).alias("__draw"))
+    key = _number(_tag(SEED, "d", F.col("__sv"), F.col("__blk"), F.col("__draw")))
+    d = d.withColumn("__place", F.row_number().over(source.orderBy(key, "__blk", "__draw")).cast("long"))
+    return d.join(places, ["__sn", "__sv", "__place"]).select("__sn", "__sv", "__blk", "__draw", "__shard")
 
 
 @own_names
@@ -111,7 +152,7 @@ def mix(docs: DataFrame, levels: int | None = None, id_col: str = "doc_id", text
     draws = split_tree(q, levels).groupBy(*cols).agg(F.collect_list(F.struct("__shard", "__draw")).alias("__at"))  # two at most
     draws = materialise(draws, "draws")
     out = m.join(draws, cols).withColumn("__at", F.explode("__at")).select(*docs.columns, F.col("__at.__shard").alias("__shard"), F.col("__at.__draw").alias("__draw"))
-    order = _number(_tag(SEED, "o", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("__draw")))
+    order = _number(_tag(SEED, "o", _ident(id_col, text_col), F.col("__draw")))
     by = ["__shard"] if tasks == 1 else ["__shard", order % tasks]
     return out.repartition(*by).sortWithinPartitions("__shard", order)
 
@@ -154,7 +195,7 @@ def sql(blocks: int = BLOCKS, rounds: int = ROUNDS) -> str:
 WITH d AS (
   SELECT doc_id, source IS NULL AS sn, coalesce(source, '') AS sv,
          CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         {number(f"'{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')")} % {blocks} AS blk
+         {number(f"'{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '~' || md5(coalesce(text, '')))")} % {blocks} AS blk
   FROM documents),
 b AS (SELECT sn, sv, blk, CAST(sum(size) AS BIGINT) AS bsize FROM d GROUP BY ALL),
 s0 AS (SELECT sn, sv, CAST(sum(bsize) AS BIGINT) AS source_size FROM b GROUP BY ALL),
