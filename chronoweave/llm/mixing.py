@@ -38,6 +38,8 @@ BLOCKS, ROUNDS, SEED = 4096, 8, "mix"
 #: large for 2^12 shards of so many words is dealt by hash to several tasks.
 TASK_WORDS, LEVELS = 8_000_000, (7, 12)
 WORD = r"[^\x20\x09-\x0D]+"
+#: The most drawn blocks that are broadcast, of some 100 bytes each: those of 73 sources with thousands of documents.
+FEW_BLOCKS = 300_000
 #: Ranges in which prefix sums over sources and draws are taken.
 RANGES = 8
 
@@ -50,10 +52,6 @@ def _tag(*parts) -> Column:
     return F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
 
 
-def _ident(id_col: str, text_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-
-
 def running(df: DataFrame, order: list[str], sums: dict[str, str], ranges: int = RANGES) -> DataFrame:
     """df with __rank, a row's place in `order` (which must tell all rows apart), and for each of sums (name: column) the
     column's sum over all rows before it. Rows are dealt in ranges of the order; each range sums its own, and one row a
@@ -72,10 +70,10 @@ def running(df: DataFrame, order: list[str], sums: dict[str, str], ranges: int =
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = BLOCKS) -> DataFrame:
-    """docs with __size (words), __sn and __sv (the source, never null) and __blk (its block)."""
-    ident = _ident(id_col, text_col)
+    """docs with __size (words), __sn and __sv (the source, never null), __ih (a hash of its id) and __blk (its block)."""
+    ident = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.withColumns({"__sn": F.col(source_col).isNull(), "__sv": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__size": size, "__blk": _number(_tag(SEED, ident)) % blocks})
+    return docs.withColumns({"__sn": F.col(source_col).isNull(), "__sv": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__size": size, "__ih": _number(_tag(SEED, ident))}).withColumn("__blk", F.col("__ih") % blocks)
 
 
 def targets(sums: DataFrame) -> DataFrame:
@@ -139,9 +137,10 @@ def split_tree(drawn: DataFrame, levels: int) -> DataFrame:
 
 
 @own_names
-def mix(docs: DataFrame, levels: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = BLOCKS) -> DataFrame:
+def mix(docs: DataFrame, levels: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = BLOCKS, few_blocks: int = FEW_BLOCKS) -> DataFrame:
     """docs' rows as the mix takes them, repeats as further rows, with __shard and __draw; 2^levels output shards, each
-    shuffled in the tasks that write it. Without levels these follow the size of the mix."""
+    shuffled in the tasks that write it. Without levels these follow the size of the mix. Up to few_blocks drawn blocks
+    are broadcast; beyond that rows are shuffled to their blocks."""
     cols = ["__sn", "__sv", "__blk"]
     m = measured(docs, id_col, text_col, source_col, blocks)
     q = materialise(quotas(m).filter("__draws > 0"), "quotas")
@@ -151,10 +150,13 @@ def mix(docs: DataFrame, levels: int | None = None, id_col: str = "doc_id", text
     tasks = math.ceil(words / (TASK_WORDS << levels)) or 1
     draws = split_tree(q, levels).groupBy(*cols).agg(F.collect_list(F.struct("__shard", "__draw")).alias("__at"))  # two at most
     draws = materialise(draws, "draws")
-    out = m.join(draws, cols).withColumn("__at", F.explode("__at")).select(*docs.columns, F.col("__at.__shard").alias("__shard"), F.col("__at.__draw").alias("__draw"))
-    order = _number(_tag(SEED, "o", _ident(id_col, text_col), F.col("__draw")))
-    by = ["__shard"] if tasks == 1 else ["__shard", order % tasks]
-    return out.repartition(*by).sortWithinPartitions("__shard", order)
+    if draws.count() <= few_blocks:  # then texts are not shuffled to the blocks
+        draws = F.broadcast(draws)
+    out = m.join(draws, cols).withColumn("__at", F.explode("__at"))
+    order = _number(_tag(SEED, "o", F.col("__ih"), F.col("__at.__draw")))
+    out = out.select(*docs.columns, F.col("__at.__shard").alias("__shard"), F.col("__at.__draw").alias("__draw"), order.alias("__order"))
+    by = ["__shard"] if tasks == 1 else ["__shard", F.col("__order") % tasks]
+    return out.repartition(*by).sortWithinPartitions("__shard", "__order").drop("__order")
 
 
 def taken(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
@@ -171,7 +173,7 @@ def dealt(docs: DataFrame) -> DataFrame:
     the words of a row's copies in them are its taken; 0 where there is none. The shards hold each row's key and words
     in place of its text, which the result does not need. Rows equal in id, source and text share theirs."""
     key = [*KEY, "__sn", "__sv"]
-    d = measured(docs.select("doc_id", "text", "source")).withColumns(dict(zip(KEY, row_key("doc_id", "text"), strict=True))).drop("__blk")
+    d = measured(docs.select("doc_id", "text", "source")).withColumns(dict(zip(KEY, row_key("doc_id", "text"), strict=True))).drop("__blk", "__ih")
     rows = materialise(d.select("doc_id", *key, "__size"), "sizes")
     shards = materialise(mix(d).select("__shard", "__draw", *key, "__size"), "shards")
     drawn = materialise(shards.groupBy(*key).agg(F.sum("__size").alias("__drawn")), "drawn")

@@ -88,6 +88,8 @@ def test_shards_hold_what_is_taken(spark):
     d = docs_of(spark)
     want = Counter({r.doc_id: r.taken // r.size for r in mixing.taken(d).collect() if r.size})
     out = mixing.mix(d, levels=3)
+    far = mixing.mix(d, levels=3, few_blocks=0)  # by shuffle
+    assert Counter((r.doc_id, r["__shard"], r["__draw"]) for r in out.collect()) == Counter((r.doc_id, r["__shard"], r["__draw"]) for r in far.collect())
     got = Counter(r.doc_id for r in out.filter("text is not null and text <> ''").collect())
     assert got == +want and out.columns[: len(d.columns)] == d.columns
     per = {r["__shard"]: r["count"] for r in out.groupBy("__shard").count().collect()}
