@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronoweave.llm import langid, quality, queries, toxicity
 
@@ -58,27 +59,89 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in langid.language_id(d, langid.train(none)).collect()} == {"und"}
     for out in (langid.language_id(none, langid.train(none)), quality.quality(none, quality.train(none, labels)), toxicity.toxicity(none, toxicity.train(none, labels))):
         assert out.count() == 0
+    unlabelled = d.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.text for r in langid.stage(unlabelled).collect()) == ["some words", "x" * 200_000, "x" * 200_000]
+    assert langid.stage(none).count() == 0
+
+
+def test_trained_models_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeats and clashing names, scored by models that learned from real rows."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    extra = ["__id", "__t", "__l", "__lang", "__score", "label", "score", "predicted", "held_out"]
+    d = odd(spark).select("*", *[F.lit("x").alias(c) for c in extra])
+    models = {"lang": langid.train(docs, updates=60), "quality": quality.train(docs, labels), "toxic": toxicity.train(docs, labels)}
+    got = {"lang": langid.language_id(d, models["lang"]), "quality": quality.quality(d, models["quality"]), "toxic": toxicity.toxicity(d, models["toxic"])}
+    for name, out in got.items():
+        rows = out.collect()
+        assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows), name
+        assert rows[3][1:] == rows[4][1:] and (name == "lang" or rows[0].score == rows[1].score), name
+        assert rows[5].doc_id is None and rows[5].held_out, name
+    kept = langid.with_language(d, models["lang"])
+    assert kept.columns == [*d.columns, "__lang", "__score"] and {r[4] for r in kept.collect()} == {"x"}
+
+
+def test_the_stage_keeps_clean_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clean = docs.filter("lang is not null and text rlike '[a-zA-Z]{3}'")
+    assert langid.stage(docs).join(clean, "doc_id", "left_semi").count() >= 0.995 * clean.count()
 
 
 def test_gradients_of_the_network():
     net = langid.BiGRU(3, 3, seed=1)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
-    x, y, w = np.array([[5, 9, 9, 2], [1, 5, 2, 9]], np.uint8), np.array([0, 2]), np.array([1.0, 2.0])
-
-    def loss():
-        p = net.probabilities(x).astype(np.float64)
-        return -(np.log(p[:, np.arange(2), y]) * w / (w.sum() * 4)).sum()
-
-    grad = net._gradients(x, y, w)
+    texts, y, w = [b"abca", b"bca", b"a"], np.array([0, 2, 1]), np.array([1.0, 2.0, 1.0])
+    x, sizes = langid.padded(texts), np.array([4, 3, 1])
+    grad = net.loss_gradients(x, sizes, y, w)[1]
     for k in net.w:
-        at = np.unravel_index(np.abs(grad[k]).argmax(), grad[k].shape)
-        old = net.w[k][at]
-        net.w[k][at] = old + 1e-2
-        up = loss()
-        net.w[k][at] = old - 1e-2
-        down = loss()
-        net.w[k][at] = old
-        assert abs((up - down) / 2e-2 - grad[k][at]) < 1e-3
+        for at in [np.unravel_index(i, grad[k].shape) for i in np.argsort(-np.abs(grad[k]), axis=None)[:4]]:
+            old, found = net.w[k][at], []
+            for to in (old + 1e-5, old - 1e-5):
+                net.w[k][at] = to
+                found.append(net.loss_gradients(x, sizes, y, w)[0])
+            net.w[k][at] = old
+            assert abs((found[0] - found[1]) / 2e-5 - grad[k][at]) < 1e-6
+
+
+def plain_probabilities(net, raw, first=0, last=None):
+    """Byte by byte over a whole text, without windows: the mean of places first .. last."""
+    h, states = net.hidden, {}
+    for d, seq in (("f", raw), ("b", raw[::-1])):
+        s, own = np.zeros(h), []
+        for byte in seq:
+            g, us = net.w[f"E{d}"][:, byte], net.w[f"U{d}"] @ s
+            a = g[:h] + us[:h]
+            f = 0.5 * (1 + a / (1 + abs(a)))
+            c = g[h:] + f * us[h:]
+            s = s + f * (c / (1 + abs(c)) - s)
+            own.append(s)
+        states[d] = own if d == "f" else own[::-1]
+    total = []
+    for f, b in zip(states["f"], states["b"], strict=True):
+        z = np.exp(net.w["Vf"] @ f + net.w["Vb"] @ b + net.w["c"][:, 0])
+        total.append(z / z.sum())
+    return np.mean(total[first:last], axis=0)
+
+
+def test_windows_read_like_the_whole_text():
+    rng = np.random.default_rng(4)
+    net = langid.BiGRU(3, 4, seed=2)
+    texts = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (1, 7, 255, 256, 257, 700, 40, 1500)]
+    got = langid.probabilities(net, texts)
+    for t, p in zip(texts, got, strict=True):
+        assert np.abs(plain_probabilities(net, t) - p).max() < (1e-5 if len(t) <= langid.WINDOW else 1e-3), len(t)
+    assert np.abs(langid.probabilities(net, texts[::-1])[::-1] - got).max() < 1e-6  # neighbours do not matter
+
+
+def test_context_decides():
+    """Both languages have the same words, in another order: only a state that crosses words tells them apart."""
+    rng = np.random.default_rng(5)
+    def text(back):
+        order = "ba ed gf" if back else "ba gf ed"
+        return " ".join([order] * int(rng.integers(3, 9))).encode()
+    x = [text(i % 2) for i in range(400)]
+    net = langid.BiGRU(2, 8).fit(x, np.arange(400) % 2, np.ones(400, np.float32), updates=300)
+    got = langid.probabilities(net, [text(i % 2) for i in range(100)]).argmax(axis=1)
+    assert (got == np.arange(100) % 2).mean() > 0.95
 
 
 def test_grammar():
