@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from contextlib import contextmanager
 from functools import wraps
 from pathlib import Path
 
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one block of a bucket that is too large for one task.
 BLOCK = 2048
-#: Rows of one Arrow batch: with texts of 100,000 characters, 100 MB.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch; one row may be longer, and is then a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -40,11 +42,29 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/chronoweave-{sc.applicationId}"
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Deletes the tables that materialise() wrote in this session; their readers must be done."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
+
+
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that materialise() writes inside go at the end, but for kept ones: all that reads them has run by then."""
+    open_ = _scopes.__dict__.setdefault("open", [])
+    open_.append([])
+    try:
+        yield
+    finally:
+        for path in open_.pop():
+            _delete(spark, path)
 
 
 def own_names(fn):
@@ -70,24 +90,29 @@ def _at_exit(app: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends, a lost executor costs no recomputation,
-    and a join of two such tables has plain exchanges on both sides, which AQE can split where a key is hot."""
+    and a join of two such tables has plain exchanges on both sides, which AQE can split where a key is hot. The table
+    lives until the innermost scratch() ends, with keep the one around that, or the session."""
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
         atexit.register(_at_exit, app)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if scopes := getattr(_scopes, "open", [])[: -1 if keep else None]:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a session, so that their Python can import it. Arrow batches of texts
-    are bounded: where the session has Spark's default of 10,000 rows a batch, it becomes BATCH_ROWS."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    are bounded: where the session has Spark's defaults of 10,000 rows and 64 MB a batch, these become
+    BATCH_ROWS and BATCH_BYTES."""
+    for name, default, ours in (("maxRecordsPerBatch", {"10000"}, BATCH_ROWS), ("maxBytesPerBatch", {"67108864b", "64MB", "67108864"}, BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") in default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", ours)
     app = f"zip-{spark.sparkContext.applicationId}"
     if app in _shipped:
         return
@@ -198,7 +223,8 @@ def components(edges: DataFrame) -> DataFrame:
     smallest of them, so paths halve and a group of any size ends as one star. Each node's smallest neighbour is a
     pre-aggregated minimum in a table of its own; the join back has exchanges on both sides for AQE to split.
     """
-    ship(edges.sparkSession)
+    spark = edges.sparkSession
+    ship(spark)
     e = edges.toDF("u", "v").filter("u <> v")
     e = materialise(e.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_contract, "u long, v long").distinct(), "links")
     last = None
@@ -207,10 +233,11 @@ def components(edges: DataFrame) -> DataFrame:
         if state[0] == 0 or state == last:
             break
         last = state
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        e = materialise(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
-        low = materialise(e.groupBy("u").agg(F.min("v").alias("m")), "low")
-        hung = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        e = materialise(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        with scratch(spark):
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+            large = materialise(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+            low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+            hung = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+            e = materialise(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small", keep=True)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
