@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from chronoweave.llm import langid, quality, queries, toxicity
@@ -152,6 +153,28 @@ def test_grammar():
     assert s.features(None) == s.features("")
 
 
+def test_grammar_in_four_languages():
+    s = toxicity.Scorer(toxicity.Lexicon({}))
+    full = ["you are an idiot", "you idiot", "du bist ein idiot", "tu es un idiote", "eres un idiota", "usted es un imbécil", "kill you", "I will kill you", "I am going to hurt you and your family", "je vais te tuer", "ich werde dich töten", "voy a matarte", "te voy a matar", "you will be shot", "shut up, moron"]
+    quiet = ["take out the trash", "dumb terminal", "an idiot", "he said you are an idiot", "you are not an idiot", "I will not kill you", "tu n'es pas un idiote", "kill the process", "beat the eggs", "shoot the film"]
+    low, high = max(s.clause(x.lower()) for x in quiet), min(s.clause(x.lower()) for x in full)
+    assert low < 2 < high
+    assert s.clause("kill the process") == s.clause("beat the eggs") == 0
+    curve = toxicity.train_without_labels().curve
+    score = lambda t: 1 / (1 + np.exp(-np.dot([1.0, *s.features(t)], curve)))
+    assert all(score(x) >= 0.5 for x in full) and all(score(f"Well. {x} today. " + "And so on it goes. " * 5) < 0.5 for x in quiet)
+
+
+def test_clauses_like_a_plain_scan():
+    rng = np.random.default_rng(7)
+    s = toxicity.Scorer(toxicity.Lexicon({"gro*": 2.0, "word": 1.5}))
+    vocabulary = ["you", "idiot", "kill", "not", "said", "the", "grown", "gro", "a word", "words", ",", ".", "?", "\n", "te", "tuer", "be", "dumb,", "x'kill"]
+    for _ in range(300):
+        text = " ".join(rng.choice(vocabulary, rng.integers(1, 40)))
+        plain = [c for part in regex.split(r"[.!?;:\n]", text.lower()) if (c := s.clause(part)) > 0]
+        assert [c for *_, c in s.clauses(text)] == plain
+
+
 def test_pooling_is_monotone():
     rng = np.random.default_rng(1)
     n = rng.integers(1, 9, 50).astype(float)
