@@ -8,8 +8,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from compare import differences
-from test_texts import brute_components, brute_fingerprint, brute_lines
+from test_near_copies import brute
+from test_texts import brute_components, brute_lines
 
 import corpus_pipeline
 from chronoweave.llm import embedding_dedup, mixing, queries
@@ -121,9 +123,8 @@ def test_pipeline_stage_by_stage(spark):
     lines = {r.doc_id: r.text for r in b.collect()}
     assert lines == {i: t for i, (t, gone) in want.items() if len(gone) < whole[i]}
     c = spark.createDataFrame(stages["simhash"](spark, b, SF).collect(), docs.schema)
-    fp = {i: brute_fingerprint(t, 5) for i, t in lines.items()}
-    ids = sorted(fp)
-    linked = [(x, y) for n, x in enumerate(ids) for y in ids[n + 1 :] if (fp[x] ^ fp[y]).bit_count() <= 3]
+    ids = sorted(lines)
+    linked = brute(lines)  # a similarity of 0.8 by five-word shingles, as the stage is asked for
     of = brute_components(ids, linked)
     assert sorted(r.doc_id for r in c.collect()) == [i for i in ids if of[i] == i]
     d = spark.createDataFrame(stages["mixing"](spark, c, SF).collect(), docs.schema)
@@ -135,3 +136,16 @@ def test_pipeline_stage_by_stage(spark):
     for r in e:
         got = np.array(t.encode(lines[r.doc_id], add_special_tokens=False).ids, "<u4")
         assert (r.n_tokens, r.ids_sha256) == (len(got), hashlib.sha256(got.tobytes()).hexdigest())
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and ids, an extra column with a clashing name; and no rows at all."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("__t", F.lit("x"))
+    odd = [(10_001, None, "en", None, 0, "x"), (10_002, "", "en", "s", 0, "x"), (10_003, "12 34", "en", "s", 5, "x"), (None, "An unnamed row of english words. " * 4, "en", "s", 9, "x"), (10_004, "One of the rows that come twice here, in english.", None, "s", 3, "x"), (10_004, "One of the rows that come twice here, in english.", None, "s", 3, "x")]
+    d = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    d.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    d.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    ids = Counter(r.doc_id for r in out)
+    assert not {10_001, 10_002, 10_003} & ids.keys() and ids[10_004] <= 2 and len(ids) > 100
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
