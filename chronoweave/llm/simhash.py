@@ -1,18 +1,24 @@
 """SimHash near-dedup: 64-bit fingerprints of word shingles, linked through BK-trees.
 
 Fingerprints: A-Z lower-cased, words are runs of anything but ASCII white space, shingles are `words` words joined by a
-space, repeats included; a shorter text is one shingle; no words (null too) gives zero, linked like any other.
-
-Links: pairs that differ in at most 3 of 64 bits agree in one of four 16-bit parts, and in one of four 12-bit parts of
-the other 48 bits. So each distinct fingerprint goes, under 16 keys of 28 bits, to small shards; each shard's BK-tree
-(children keyed by Hamming distance to the parent) is searched along edges within the radius only. Trees travel with
-their shard, not by broadcast, since a tree of all fingerprints has no bound; large shards are dealt as pairs of
-blocks. Shards give spanning forests, no lists of pairs. Equal fingerprints are one node, so copies cost nothing.
-A row with a null doc_id has a fingerprint and a null component; rows of one doc_id are each linked.
+space, repeats included; a shorter text is one shingle; no words (null too) gives zero, linked like any other. Texts are
+taken whole, however long.
+
+Links: pairs that differ in at most 3 of 64 bits agree in one of four 16-bit parts. So each distinct fingerprint goes,
+for each part, to the shard of that part's low bits, as many bits as make shards of about `SHARD` fingerprints. Each
+shard's fingerprints stand in a BK-tree (children keyed by Hamming distance to the parent), in which all of them are
+searched along the edges within the radius only. Trees travel with their shard, not by broadcast, since a tree of all
+fingerprints has no bound. A shard of over `block` fingerprints is split by the same rule once more, over 12-bit parts
+of the other 48 bits; what is still larger is dealt as pairs of blocks, so each pair is met in some tree. Shards give
+spanning forests, no lists of pairs. Equal fingerprints are one node, so copies cost nothing.
+
+A row with a null doc_id has a fingerprint and a null component; rows of one doc_id are each linked. An empty table
+gives an empty one. Extra columns, whatever their names, change nothing.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import chain
 
 import numpy as np
@@ -20,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, components, hash_blocks, local_forest, map_batches, materialise, own_names, row_key, ship
+from .common import KEY, components, hash_blocks, local_forest, map_batches, materialise, own_names, row_key, scratch, ship
 from .near_copies import near_copies
 
 RADIUS = 3
+#: Fingerprints of a shard, as planned from the number of all; and bits of the four parts and of the parts of the rest.
+SHARD, PART, REST = 1024, 16, 12
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -57,10 +65,11 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
 
 
 class BKTree:
-    """A BK-tree over an array of fingerprints: nodes are their positions, edges carry the distance to the parent."""
+    """A BK-tree over an array of fingerprints: nodes are their positions, edges carry the distance to the parent.
+    visited counts the nodes that all searches so far compared with a query."""
 
     def __init__(self, fps: np.ndarray):
-        self.fps, self.children = fps, {}
+        self.fps, self.children, self.visited = fps, {}, 0
         todo = [np.arange(len(fps))] if len(fps) else []
         while todo:
             own = todo.pop()
@@ -72,7 +81,7 @@ class BKTree:
             rest, d = rest[order], d[order]
             cuts = np.flatnonzero(np.diff(d)) + 1
             parts = np.split(rest, cuts)
-            self.children[root] = [(int(d[c]), p[0]) for c, p in zip([0, *cuts], parts, strict=True)]
+            self.children[root] = (d[[0, *cuts]].astype(np.int16), [int(p[0]) for p in parts])
             todo += parts
 
     def within(self, queries: np.ndarray, radius: int):
@@ -81,21 +90,21 @@ class BKTree:
         while todo:
             node, q = todo.pop()
             d = np.bitwise_count(queries[q] ^ self.fps[node]).astype(np.int16)
+            self.visited += len(q)
             near = q[d <= radius]
             if len(near):
                 yield node, near
-            for edge, child in self.children.get(node, ()):
-                if len(on := q[np.abs(d - edge) <= radius]):
-                    todo.append((child, on))
+            if node in self.children:
+                edges, nodes = self.children[node]
+                order = np.argsort(d, kind="stable")
+                q, d = q[order], d[order]
+                low, high = np.searchsorted(d, edges - radius), np.searchsorted(d, edges + radius, side="right")
+                todo += [(child, q[a:b]) for child, a, b in zip(nodes, low.tolist(), high.tolist(), strict=True) if b > a]
 
 
 def _shard_links(fp: np.ndarray, rep: np.ndarray, block: np.ndarray, i: int, j: int, radius: int):
     """A spanning forest of the links of one shard, or between its blocks i and j."""
     tree, ask = (np.arange(len(fp)),) * 2 if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
-    if len(fp) == 2:
-        if len(tree) and len(ask) and int(fp[0] ^ fp[1]).bit_count() <= radius:
-            return rep[:1], rep[1:]
-        return rep[:0], rep[:0]
     pairs = [(np.full(len(q), tree[n]), ask[q]) for n, q in BKTree(fp[tree]).within(fp[ask], radius)]
     a, b = (np.concatenate(x) if pairs else np.zeros(0, int) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
     root = local_forest(len(fp), a, b)
@@ -103,22 +112,28 @@ def _shard_links(fp: np.ndarray, rep: np.ndarray, block: np.ndarray, i: int, j:
     return rep[keep], rep[root[keep]]
 
 
-def links(classes: DataFrame, radius: int = RADIUS, block: int = 2048) -> DataFrame:
+def shards(classes: DataFrame, bits: int, block: int) -> DataFrame:
+    """classes (fp, rep), once for each shard that a row belongs to, with its key __k."""
+    fp = F.col("fp")
+    turned = [F.shiftrightunsigned(fp, PART * p).bitwiseOR(F.shiftleft(fp, 64 - PART * p) if p else F.lit(0).cast("long")) for p in range(4)]
+    rows = classes.select("fp", "rep", F.explode(F.array(*[F.struct((t.bitwiseAND(F.lit((1 << bits) - 1)) * 4 + p).alias("k"), F.shiftrightunsigned(t, PART).alias("rest")) for p, t in enumerate(turned)])).alias("s"))
+    rows = rows.select("fp", "rep", F.col("s.k").alias("__k"), F.col("s.rest").alias("__rest"))
+    large = materialise(rows.groupBy("__k").count().filter(F.col("count") > block).select("__k", F.lit(True).alias("__large")), "large")
+    if large.isEmpty():
+        return rows.drop("__rest")
+    rest = [(F.shiftrightunsigned("__rest", REST * s).bitwiseAND(F.lit((1 << REST) - 1)) * 4 + s + 1) for s in range(4)]
+    within = F.when(F.col("__large"), F.array(*rest)).otherwise(F.array(F.lit(0).cast("long")))
+    rows = rows.join(large, "__k", "left").withColumn("__w", F.explode(within))
+    return rows.select("fp", "rep", F.shiftleft("__k", REST + 3).bitwiseOR(F.col("__w")).alias("__k"))
+
+
+def links(classes: DataFrame, radius: int = RADIUS, block: int = 2048, shard: int = SHARD) -> DataFrame:
     """(u, v): links that join exactly the classes (fp, rep) within radius bits, as forests of each shard."""
     if radius > 3:
         raise ValueError("four parts find up to 3 differing bits")
-    fp = F.col("fp")
     ship(classes.sparkSession)
-    # The 16 keys: rotate part b to the top, take it and one of four 12-bit parts of the remaining 48 bits.
-    keys = []
-    for b in range(4):
-        turned = F.shiftrightunsigned(fp, 16 * b).bitwiseOR(F.shiftleft(fp, 64 - 16 * b) if b else F.lit(0).cast("long"))
-        top = turned.bitwiseAND(F.lit(0xFFFF))
-        for s in range(4):
-            part = F.shiftrightunsigned(turned, 16 + 12 * s).bitwiseAND(F.lit(0xFFF))
-            keys.append(F.lit(b * 4 + s).cast("long") * (1 << 28) + top * 4096 + part)
-    rows = classes.select("fp", "rep", F.explode(F.array(*keys)).alias("__k"))
-    rows = hash_blocks(rows, "__k", "fp", block)
+    bits = min(PART, max(0, math.ceil(math.log2(max(classes.count(), 1) / shard))))
+    rows = hash_blocks(shards(classes, bits, block), "__k", "fp", block)
     rows = rows.repartition("__k", "__i", "__j").sortWithinPartitions("__k", "__i", "__j").select("__k", "__i", "__j", "__b", "fp", "rep")
 
     def run(batches):
@@ -132,7 +147,7 @@ def links(classes: DataFrame, radius: int = RADIUS, block: int = 2048) -> DataFr
 
 def groups(batches, n_keys: int):
     """Of batches sorted by their first n_keys columns, yields (key, arrays of the others) for groups of two and
-    more rows; a group may span batches. Singles, which most shards are, never reach Python code."""
+    more rows; a group may span batches. Groups of one row are passed over."""
     held: list[np.ndarray] | None = None
     for batch in chain(batches, [None]):
         if batch is not None:
@@ -155,11 +170,15 @@ def groups(batches, n_keys: int):
 
 
 def simhash_dedup(docs: DataFrame, words: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key columns, fp, component) of every row; component null where the id is."""
-    fps = materialise(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    classes = materialise(fps.filter("not __kn").groupBy("fp").agg(F.min("__kd").alias("rep")), "classes")
-    comp = components(links(classes, radius))
-    named = materialise(classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component")), "named")
+    """(key columns, fp, component) of every row: component is the smallest id of its group, null where the id is."""
+    with scratch(docs.sparkSession):
+        fps = materialise(fingerprints(docs, words, id_col, text_col), "fingerprints", keep=True)
+        classes = materialise(fps.filter("not __kn").groupBy("fp").agg(F.min("__kd").alias("least")), "classes")
+        # Links are between fingerprints, not ids: one id may have several texts.
+        joined = components(links(classes.select("fp", F.col("fp").alias("rep")), radius)).toDF("fp", "root")
+        named = materialise(classes.join(joined, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+        first = named.groupBy("root").agg(F.min("least").alias("component"))
+        named = materialise(named.join(first, "root").select("fp", "component"), "named", keep=True)
     out = fps.join(named, "fp", "left")
     return out.withColumn("component", F.when(~F.col("__kn"), F.col("component")))
 

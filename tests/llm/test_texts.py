@@ -101,8 +101,8 @@ def test_fingerprints():
             assert simhash.fingerprint(t, w) == brute_fingerprint(t, w), (t, w)
 
 
-@pytest.mark.parametrize("block", [4, 2048])
-def test_links_like_brute_force(spark, block):
+@pytest.mark.parametrize("block, shard", [(4, 1024), (2048, 1024), (2048, 4), (30, 8)])
+def test_links_like_brute_force(spark, block, shard):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     fps = {int(b) for b in base}
@@ -112,7 +112,7 @@ def test_links_like_brute_force(spark, block):
     fps = sorted(fps | {0, 1, 3, 7, 15})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     classes = spark.createDataFrame(list(zip(signed, range(len(fps)), strict=True)), "fp long, rep long")
-    got = {r.node: r.component for r in simhash.components(simhash.links(classes, block=block)).collect()}
+    got = {r.node: r.component for r in simhash.components(simhash.links(classes, block=block, shard=shard)).collect()}
     linked = [(a, b) for a, b in combinations(range(len(fps)), 2) if (fps[a] ^ fps[b]).bit_count() <= 3]
     want = brute_components(range(len(fps)), linked)
     touched = {x for p in linked for x in p}
@@ -129,6 +129,24 @@ def test_simhash_groups_and_stage(spark):
     assert simhash.stage(d.limit(0)).count() == 0
 
 
+def test_one_id_with_two_texts_joins_nothing(spark):
+    a, b, c = ("alpha beta gamma delta " * 9, "one two three four five six " * 7, "red green blue black white grey pink " * 5)
+    d = table(spark, [a, b, b + "x", c], [5, 5, 3, 9])
+    got = sorted((r["__kd"], r.component) for r in simhash.simhash_dedup(d).collect())
+    want = brute_components(range(4), [(x, y) for x, y in combinations(range(4), 2) if (brute_fingerprint([a, b, b + "x", c][x]) ^ brute_fingerprint([a, b, b + "x", c][y])).bit_count() <= 3])
+    least = {w: min([5, 5, 3, 9][i] for i in want if want[i] == w) for w in want.values()}
+    assert got == sorted(([5, 5, 3, 9][i], least[want[i]]) for i in want) and simhash.simhash_dedup(d.limit(0)).count() == 0
+
+
+def test_the_tree_passes_over_most_nodes():
+    rng = np.random.default_rng(9)
+    fps = rng.integers(0, 1 << 63, 1024, dtype=np.uint64)
+    tree = simhash.BKTree(fps)
+    assert sum(len(q) for _, q in tree.within(fps, 3)) == 1024
+    assert tree.visited < 0.4 * 1024 * 1024, tree.visited / 1024
+    print("nodes visited a query, of 1024:", tree.visited / 1024)
+
+
 def test_bk_tree_finds_all_within_the_radius():
     rng = np.random.default_rng(3)
     fps = np.unique(rng.integers(0, 1 << 12, 200, dtype=np.uint64))
