@@ -47,6 +47,38 @@ def test_embeddings_like_brute_force(spark):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_keep_their_own_links(spark):
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, x), (1, y), (2, [1.0, 0.01, 0.0]), (3, z), (3, z), (4, [0.0, 0.01, 1.0]), (None, x)]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == sorted([(1, 1, 1, True), (1, 0, 1, True), (2, 1, 1, False), (3, 2, 3, True), (3, 2, 3, True), (4, 2, 3, False), (0, 0, 0, True)])
+
+
+def test_a_pair_exactly_at_the_threshold_is_decided_on_whole_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, [0.8 - 1e-9, 0.6]), (4, [1.0, 0.0])]
+    got = [(r.vec_id, r.n_links) for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold=0.8).orderBy("vec_id").collect()]
+    assert got == [(1, 2), (2, 3), (3, 1), (4, 2)]
+
+
+@pytest.mark.parametrize("block", [64, 4096])
+def test_recall_near_the_threshold(spark, monkeypatch, block):
+    """Pairs at cosine 0.95 to 0.96, and one large group around a vector, dealt in blocks too."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rng = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    a, z = unit(rng.standard_normal((1500, 48))), rng.standard_normal((1500, 48))
+    z = unit(z - (z * a).sum(1, keepdims=True) * a)
+    c = rng.uniform(0.95, 0.96, (1500, 1))
+    group = a[0] + rng.standard_normal((300, 48)) * 0.03
+    vecs = np.concatenate([a, c * a + np.sqrt(1 - c * c) * z, group]).astype(np.float32)
+    got = embedding_dedup.embedding_dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>")).toPandas().set_index("vec_id")
+    x = unit(vecs.astype(float))
+    n = (x @ x.T >= 0.95).sum(axis=1) - 1
+    found, want = got.n_links.sort_index().to_numpy(), n
+    print("links", want.sum() // 2, "found", found.sum() / want.sum())
+    assert (found <= want).all() and found.sum() >= 0.9995 * want.sum() and want.sum() > 10_000
+
+
 def brute_targets(sizes: dict):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
