@@ -30,8 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, hash_blocks, local_forest, materialise, scratch, ship
-from .simhash import groups
+from .common import components, groups, hash_blocks, local_forest, materialise, scratch, ship
 
 ROWS, MOST, LEAST, BLOCK = 1000, 1024, 2, 4096
 #: Half of a window in deviations of what a pair at the threshold differs by; steps of a place, up to the value 6.

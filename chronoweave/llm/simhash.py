@@ -19,14 +19,13 @@ gives an empty one. Extra columns, whatever their names, change nothing.
 from __future__ import annotations
 
 import math
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, components, hash_blocks, local_forest, map_batches, materialise, own_names, row_key, scratch, ship
+from .common import KEY, components, groups, hash_blocks, local_forest, map_batches, materialise, own_names, row_key, scratch, ship
 from .near_copies import near_copies
 
 RADIUS = 3
@@ -145,30 +144,6 @@ def links(classes: DataFrame, radius: int = RADIUS, block: int = 2048, shard: in
     return rows.mapInArrow(run, "u long, v long")
 
 
-def groups(batches, n_keys: int):
-    """Of batches sorted by their first n_keys columns, yields (key, arrays of the others) for groups of two and
-    more rows; a group may span batches. Groups of one row are passed over."""
-    held: list[np.ndarray] | None = None
-    for batch in chain(batches, [None]):
-        if batch is not None:
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-        if held is None or not len(held[0]):
-            continue
-        n = len(held[0])
-        new = np.zeros(n, bool)
-        new[0] = True
-        for k in held[:n_keys]:
-            new[1:] |= k[1:] != k[:-1]
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], n)
-        if batch is not None:  # the last group may go on
-            starts, ends, cut = starts[:-1], ends[:-1], starts[-1]
-        for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-            yield tuple(int(k[a]) for k in held[:n_keys]), [x[a:b] for x in held[n_keys:]]
-        held = [x[cut:] for x in held] if batch is not None else None
-
-
 def simhash_dedup(docs: DataFrame, words: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key columns, fp, component) of every row: component is the smallest id of its group, null where the id is."""
     with scratch(docs.sparkSession):

@@ -34,9 +34,10 @@ def test_near_copies_of_the_given_documents(spark):
     assert sorted(r.doc_id for r in simhash.stage(docs).collect()) == [i for i in texts if of[i] == i]
 
 
-@pytest.mark.parametrize("few", [0, 8])
-def test_a_chain_of_edits_and_pairs_at_the_border(spark, monkeypatch, few):
-    monkeypatch.setattr(near_copies, "FEW", few)  # 0: one member of each bucket a turn
+@pytest.mark.parametrize("block", [4, 1024])
+def test_a_chain_of_edits_and_pairs_at_the_border(spark, monkeypatch, block):
+    links = near_copies._links
+    monkeypatch.setattr(near_copies, "_links", lambda docs, classes: links(docs, classes, block))
     rng = random.Random(7)
     texts, word = [], lambda: f"w{rng.randint(0, 10**6)}"
     for length in (60, 200, 900):
@@ -53,3 +54,21 @@ def test_a_chain_of_edits_and_pairs_at_the_border(spark, monkeypatch, few):
     of = brute_components(docs, brute(docs))
     got = {r["__kd"]: r["first"] for r in near_copies.near_copies(table(spark, texts, ids)).collect()}
     assert got == of and len(set(of.values())) < len(of) / 2
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_a_group_of_edits_of_one_text(spark, monkeypatch, block):
+    """Edits by which members are alike with the text or with few others only; all in the same buckets."""
+    links = near_copies._links
+    monkeypatch.setattr(near_copies, "_links", lambda docs, classes: links(docs, classes, block))
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for _ in range(rng.randint(0, 8)):
+            words[rng.randrange(150)] = f"e{rng.randint(0, 40)}"
+        texts.append(" ".join(words))
+    of = brute_components(dict(enumerate(texts)), brute(dict(enumerate(texts))))
+    got = {r["__kd"]: r["first"] for r in near_copies.near_copies(table(spark, texts)).collect()}
+    assert got == of and 5 < len(set(of.values())) < 100
