@@ -1,19 +1,28 @@
 """License scans: winnowed template fingerprints in an inverted index, then banded alignment.
 
-Words are runs of ASCII letters and digits and of bytes beyond ASCII, A-Z lower-cased. Each template's word 5-grams are
-winnowed (the least hash of every 4 consecutive ones) into an index from hash to (template, place); of a document all
-5-grams are looked up, all texts of a batch in one pass of numpy. Hits of a template whose diagonals lie within the
-band are one candidate; a global alignment of the template with the words around it, confined to the band, gives the
-matched words. Coverage is matched words over the template's words; spans of 0.8 and more are reported, also several
-of one template; where spans of several templates overlap, the best covered (ties all). Templates, a parameter, are broadcast: their size does not depend on the documents.
-
-A null or empty text and one of fewer than five words match nothing and give no row. Templates shorter than five
-words are refused. Repeated rows are scanned each; extra columns do not matter.
+Words are runs of ASCII letters and digits and of bytes beyond ASCII, A-Z lower-cased. Of a template of `LONG` words and
+more, the word 5-grams are winnowed (the least hash of every 4 consecutive ones) into an index from hash to (template,
+place). Of a shorter one all 2-grams are taken that hold a word other than the most common ones, since a single edit can
+break every 5-gram of a notice that is still covered to 0.8. Of a document all grams are looked up, all texts of a batch
+in one pass of numpy. Hits of a template whose diagonals lie within half its length (8 at least) are one candidate, so
+words that were put in between do not part it. An alignment of the template with the words around it, confined to the
+band around these diagonals, gives the matched words: a longest common subsequence. Coverage is matched words over the
+template's words; spans of 0.8 and more in which at least two words of five match are reported, also several of one
+template; where spans of several templates overlap, the one of the best fit (matched words less those of the template
+and of the span that are unmatched; ties all).
+
+Templates, a parameter, are broadcast: their size does not depend on the documents. The packaged ones are whole public
+texts (licenses/) and one-line notices. Templates of fewer than five words are refused.
+
+A null or empty text matches nothing and gives no row, nor does an empty table give any. Texts are taken together up to
+`batch_bytes`, a longer one alone and whole. Repeated rows are scanned each; extra columns, whatever their names, do not
+matter.
 """
 
 from __future__ import annotations
 
 import pickle
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-K, WINDOW, BAND, COVERAGE = 5, 4, 8, 0.8
-TEMPLATES = {
+K, WINDOW, BAND, COVERAGE, SPARSE = 5, 4, 8, 0.8, 0.4
+#: Words of a template from which its 5-grams are winnowed; the grams of a shorter one; words that say little there.
+LONG, SHORT_K = 24, 2
+COMMON = "a and any by for in is it of or released licensed the this to under with work you".split()
+NOTICES = {
     "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
     "lgpl-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
@@ -36,10 +48,12 @@ TEMPLATES = {
     "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0.",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "cc0-notice": "Dedicated to the public domain under CC0 1.0 Universal.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
 }
+#: Whole license texts, by their files' names in lower case, and notices.
+TEMPLATES = {f.stem.lower(): f.read_text().strip() for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))} | NOTICES
 _LOW = np.zeros(256, np.uint8)  # 0 between words
 for _c in range(256):
     _ch = bytes([_c])
@@ -77,41 +91,63 @@ def grams(h: np.ndarray, k: int = K) -> np.ndarray:
 
 
 class Index:
+    """Hashes of grams with their template and place, sorted, for each length of gram."""
+
     def __init__(self, templates: dict[str, str], k: int = K, window: int = WINDOW):
-        self.names, self.words, keys = list(templates), [], []
+        self.names, self.words = list(templates), []
+        keys: dict[int, list[tuple[int, int, int]]] = {k: [], SHORT_K: []}
+        common = words(" ".join(COMMON).encode())[0]
         for t, text in enumerate(templates.values()):
             h = words(text.encode())[0]
-            if len(h) < k:
-                raise ValueError(f"{self.names[t]} has fewer than {k} words")
+            if len(h) < K:
+                raise ValueError(f"{self.names[t]} has fewer than {K} words")
             self.words.append(h)
-            g = grams(h, k)
-            chosen = {int(a + np.argmin(g[a : a + window])) for a in range(max(1, len(g) - window + 1))}
-            keys += [(int(g[p]), t, p) for p in sorted(chosen)]
-        keys.sort()
-        self.hash = np.array([x[0] for x in keys], np.uint64)
-        self.template, self.place = (np.array([x[i] for x in keys], np.int64) for i in (1, 2))
+            if len(h) >= LONG:
+                g = grams(h, k)
+                chosen = {int(a + np.argmin(g[a : a + window])) for a in range(max(1, len(g) - window + 1))}
+                keys[k] += [(int(g[p]), t, p) for p in sorted(chosen)]
+            else:
+                g, plain = grams(h, SHORT_K), np.isin(h, common)
+                keys[SHORT_K] += [(int(g[p]), t, p) for p in range(len(g)) if not plain[p : p + SHORT_K].all()]
+        self.grams = {}
+        for size, own in keys.items():
+            own.sort()
+            self.grams[size] = (np.array([x[0] for x in own], np.uint64), *(np.array([x[i] for x in own], np.int64) for i in (1, 2)))
+
+    def hits(self, h: np.ndarray, owner: np.ndarray):
+        """(text, template, diagonal) of every gram of h, words of texts `owner`, that a template has."""
+        found = []
+        for size, (hashes, template, place) in self.grams.items():
+            if len(h) < size or not len(hashes):
+                continue
+            g = grams(h, size)
+            low, high = np.searchsorted(hashes, g), np.searchsorted(hashes, g, side="right")
+            p = np.flatnonzero((high > low) & (owner[: len(g)] == owner[size - 1 :]))
+            n = high[p] - low[p]
+            at = np.repeat(low[p] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            word = np.repeat(p, n)
+            found.append((owner[word], template[at], word - place[at]))
+        return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
 
 
 def align(template: np.ndarray, doc: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
     """(matched words, first and last matched word of doc) of the best alignment with |doc place - template place -
     diagonal| <= band: the longest common subsequence inside the band, and of these one with few gaps."""
     width = 2 * band + 1
-    score, first, last = np.zeros(width + 2, np.int64), np.full(width + 2, -1), np.full(width + 2, -1)
-    at = np.arange(width) + diagonal - band
+    score, first, last = np.zeros(width + 1, np.int64), np.full(width + 1, -1), np.full(width + 1, -1)
+    at, own = np.arange(width) + diagonal - band, np.arange(width)
+    padded = np.concatenate([np.zeros(1, template.dtype), doc, np.zeros(1, template.dtype)])
     for i, w in enumerate(template):
         cols = at + i
-        fine = (cols >= 0) & (cols < len(doc))
-        hit = np.zeros(width, bool)
-        hit[fine] = doc[cols[fine]] == w
+        hit = (padded[np.clip(cols + 1, 0, len(doc) + 1)] == w) & (cols >= 0) & (cols < len(doc))
         # Along a diagonal a match adds one; skipping a template word moves from the right-hand diagonal.
-        new, f, e = score[1:-1] + hit, np.where(hit & (first[1:-1] < 0), cols, first[1:-1]), np.where(hit, cols, last[1:-1])
-        up = score[2:] > new
-        new, f, e = np.where(up, score[2:], new), np.where(up, first[2:], f), np.where(up, last[2:], e)
-        for j in range(1, width):  # skipping a document word moves from the left-hand diagonal
-            if new[j - 1] > new[j]:
-                new[j], f[j], e[j] = new[j - 1], f[j - 1], e[j - 1]
-        score[1:-1], first[1:-1], last[1:-1] = new, f, e
-    best = int(np.argmax(score[1:-1])) + 1
+        new, f, e = score[:-1] + hit, np.where(hit & (first[:-1] < 0), cols, first[:-1]), np.where(hit, cols, last[:-1])
+        up = score[1:] > new
+        new, f, e = np.where(up, score[1:], new), np.where(up, first[1:], f), np.where(up, last[1:], e)
+        top = np.maximum.accumulate(new)  # skipping document words moves from a left-hand diagonal, the nearest of the best
+        best = np.maximum.accumulate(np.where(new == top, own, 0))
+        score[:-1], first[:-1], last[:-1] = new[best], f[best], e[best]
+    best = int(np.argmax(score[:-1]))
     return int(score[best]), int(first[best]), int(last[best])
 
 
@@ -119,49 +155,46 @@ def scan(index: Index, texts: list[str | None], coverage: float = COVERAGE, band
     """(text number, template, occurrence, coverage, matched, start, end) with byte offsets in the text's UTF-8."""
     raws = [(t or "").encode() for t in texts]
     h, start, end = words(b"\n".join(raws))
-    if len(h) < K:
+    if not len(h):
         return []
     sizes = np.fromiter(map(len, raws), np.int64, len(raws)) + 1
     begins = np.cumsum(sizes) - sizes
     owner = np.searchsorted(begins, start, side="right") - 1
-    g = grams(h)
-    whole = owner[: len(g)] == owner[K - 1 :]
-    at = np.searchsorted(index.hash, g)
-    at[at == len(index.hash)] = 0
-    hits = np.flatnonzero((index.hash[at] == g) & whole)
-    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for p in hits:
-        k = int(at[p])
-        while k < len(index.hash) and index.hash[k] == g[p]:
-            found.setdefault((int(owner[p]), int(index.template[k])), []).append((int(p - index.place[k]), int(p)))
-            k += 1
     first_word = np.searchsorted(owner, np.arange(len(raws) + 1))
+    doc, template, diagonal = index.hits(h, owner)
+    order = np.lexsort((diagonal, template, doc))
+    doc, template, diagonal = doc[order], template[order], diagonal[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (template[1:] != template[:-1])
+    cuts = [*np.flatnonzero(new).tolist(), len(doc)]
     out = []
-    for (doc, t), own in sorted(found.items()):
-        own.sort()
-        template, a, b = index.words[t], int(first_word[doc]), int(first_word[doc + 1])
-        groups, n = [[own[0][0], own[0][0]]], 0
-        for diagonal, _ in own[1:]:
-            if diagonal - groups[-1][0] <= band:
-                groups[-1][1] = diagonal
+    for x, y in zip(cuts, cuts[1:], strict=False):
+        d, t = int(doc[x]), int(template[x])
+        own, a, b = index.words[t], int(first_word[d]), int(first_word[d + 1])
+        if b - a < coverage * len(own):  # too few words to cover it
+            continue
+        gap, groups, n, covered = max(band, len(own) // 2), [], 0, -1
+        for z in np.unique(diagonal[x:y]).tolist():
+            if groups and z - groups[-1][0] <= gap:
+                groups[-1][1] = z
             else:
-                groups.append([diagonal, diagonal])
-        covered = -1
+                groups.append([z, z])
         for low, high in groups:
-            matched, x, y = align(template, h[a:b], (low + high) // 2 - a, band)
-            if matched / len(template) >= coverage and x > covered:
-                n, covered = n + 1, y
-                s, e = int(start[a + x] - begins[doc]), int(end[a + y] - begins[doc])
-                out.append((doc, index.names[t], n, matched / len(template), matched, s, e))
-    return _best(out)
+            half = (high - low + 1) // 2 + band
+            matched, i, j = align(own, h[a:b], (low + high) // 2 - a, half)
+            if matched / len(own) >= coverage and matched >= SPARSE * (j - i + 1) and i > covered:
+                n, covered = n + 1, j
+                s, e = int(start[a + i] - begins[d]), int(end[a + j] - begins[d])
+                out.append((d, index.names[t], n, matched / len(own), matched, s, e, 3 * matched - len(own) - (j - i + 1)))
+    return [row[:7] for row in _best(out)]
 
 
 def _best(rows: list[tuple]) -> list[tuple]:
-    """Of matches that overlap in one text, the one with the highest coverage, then the most words; ties stay."""
+    """Of matches that overlap in one text, the one of the best fit (last column), then the most words; ties stay."""
     of: dict[int, list[tuple]] = {}
-    for row in sorted(rows, key=lambda r: (r[0], -r[3], -r[4], r[5], r[1])):
+    for row in sorted(rows, key=lambda r: (r[0], -r[7], -r[4], r[5], r[1])):
         kept = of.setdefault(row[0], [])
-        if all(o[3:5] == row[3:5] for o in kept if o[5] < row[6] and row[5] < o[6]):
+        if all((o[7], o[4]) == (row[7], row[4]) for o in kept if o[5] < row[6] and row[5] < o[6]):
             kept.append(row)
     return sorted(r for kept in of.values() for r in kept)
 

@@ -220,3 +220,60 @@ def test_alignment_like_the_longest_common_subsequence():
             for j in range(24):
                 best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
         assert license_scan.align(a, b, 0, band=30)[0] == best[-1, -1]
+
+
+def brute_coverage(template: str, text: str) -> float:
+    """The longest common subsequence of all words, over the template's words: no match can cover more."""
+    a, b = (license_scan.words(x.encode())[0].tolist() for x in (template, text))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1] / len(a)
+
+
+def test_license_scan_of_random_edits_like_brute_force():
+    """Whole texts with words dropped, changed and put in: those covered in their place are found, no other is."""
+    index, rng = license_scan.Index(license_scan.TEMPLATES), random.Random(11)
+    names = ["mit", "isc", "bsd-2-clause", "bsd-3-clause", "zlib", "unlicense", "apache-2.0-header", "mit-notice", "gpl-3.0-notice", "mpl-2.0-notice"]
+    filler = lambda n: " ".join(f"word{rng.randint(0, 500)}" for _ in range(n))
+    found = clean = 0
+    for _ in range(120):
+        name = rng.choice(names)
+        own = license_scan.TEMPLATES[name].split()
+        rate = rng.choice([0.0, 0.04, 0.1, 0.3, 0.6])
+        edited = [w for w in ((rng.choice(["", f"x{rng.randint(0, 99)}", f"{w} y"]) if rng.random() < rate else w) for w in own) if w]
+        text = f"{filler(rng.randint(0, 60))}\n{' '.join(edited)}\n{filler(rng.randint(0, 60))}"
+        bound = brute_coverage(license_scan.TEMPLATES[name], text)
+        got = license_scan.scan(index, [None, text, ""])
+        for row in got:
+            assert row[0] == 1 and row[3] <= brute_coverage(license_scan.TEMPLATES[row[1]], text) + 1e-9
+            span = text.encode()[row[5] : row[6]].decode()
+            assert brute_coverage(license_scan.TEMPLATES[row[1]], span) >= row[3] - 1e-9
+        if rate <= 0.1 and bound >= 0.8 and (len(own) >= license_scan.LONG or bound == 1):
+            assert name in [r[1] for r in got], (name, rate, bound, got)
+            found += 1
+        if bound < 0.8:
+            assert name not in [r[1] for r in got]
+            clean += 1
+    assert found > 40 and clean > 20
+
+
+def test_notices_with_one_edit_and_insertions():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    mit = license_scan.TEMPLATES["mit"].split()
+    inserted = " ".join([*mit[:80], *[f"z{i}" for i in range(20)], *mit[80:]])
+    texts = ["Released under MIT License", "Released under the terms of the MIT License", "Licensed under the Apache Software License, Version 2.0.", inserted, license_scan.TEMPLATES["gpl-3"], license_scan.TEMPLATES["bsd-3-clause"], license_scan.TEMPLATES["bsd-2-clause"], "We sat under the tree of the general, and you read to any public."]
+    got = {}
+    for row in license_scan.scan(index, texts):
+        got.setdefault(row[0], []).append(row[1])
+    assert {i: n for i, n in got.items()} == {0: ["mit-notice"], 1: ["mit-notice"], 2: ["apache-2.0-notice"], 3: ["mit"], 4: ["gpl-3"], 5: ["bsd-3-clause"], 6: ["bsd-2-clause"]}
+
+
+def test_license_scan_of_repeated_and_long_texts(spark):
+    mit = license_scan.TEMPLATES["mit"]
+    long = "filler words " * 60_000 + mit
+    rows = license_scan.license_scan(table(spark, [mit, mit, long], [3, 3, 4]).withColumnRenamed("rep", "license")).collect()
+    assert sorted((r.doc_id, r.license) for r in rows) == [(3, "mit"), (3, "mit"), (4, "mit")] and rows[-1].span_start >= 120_000
