@@ -8,7 +8,8 @@ violators, which gives the calibrated score.
 
 Fit rows: labelled documents of folds 1-4, at most `fit_rows` of them by hash of the id; every document is scored. A
 text that is null or empty has the statistics of an empty text. Several labels of one id count by their largest. With
-no labelled row every score is 0.5. Rows are scored one by one, so repeats, ties and extra columns change nothing.
+no labelled row every score is 0.5. Rows are scored one by one, so repeated rows, ties and extra columns, whatever their
+names, change nothing; a text is read whole, however long; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ class Model:
     def features(self, stats: np.ndarray) -> np.ndarray:
         z = np.clip((stats - self.mean) / self.scale, -8, 8)
         phi = np.cos(z @ self.proj + self.phase) * np.sqrt(2 / len(self.phase))
-        return np.concatenate([np.ones((len(z), 1)), z, phi], axis=1)  # an unpenalised-like linear part helps far from the fit rows
+        return np.concatenate([np.ones((len(z), 1)), phi], axis=1)
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
         return self.features(stats) @ self.beta
@@ -129,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features:
     got = _sums(part.select("s", "__y"), lambda s, y: [(x := ship_m(s)).T @ x, x.T @ y, np.array([len(s)])])
     if not got:
         return None
-    m.beta = np.linalg.solve(got[0] + ridge * got[2][0] * np.diag([1e-9] + [0.01] * N_STATS + [1.0] * features), got[1])
+    m.beta = np.linalg.solve(got[0] + ridge * got[2][0] * np.diag([1e-9] + [1.0] * features), got[1])
     edges = np.linspace(-0.5, 1.5, BINS + 1)
     rest = rows.filter("f = 0") if n >= 50 else rows
     got = _sums(rest.select("s", "__y"), lambda s, y: [np.histogram(np.clip(m.raw(s), -0.499, 1.499), edges, weights=y)[0], np.histogram(np.clip(m.raw(s), -0.499, 1.499), edges)[0]])

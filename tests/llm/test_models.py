@@ -180,3 +180,19 @@ def test_pooling_is_monotone():
     n = rng.integers(1, 9, 50).astype(float)
     got = quality.pool(rng.random(50) * n, n)
     assert (np.diff(got) >= 0).all() and len(got) == 50
+
+
+def test_quality_like_plain_ridge(spark):
+    """The partition sums and their solution against numpy over all fit rows at once."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    m = quality.train(docs, labels, features=40)
+    rows = quality.labelled(docs, labels, "quality", 20_000).select("__t", "__y", (F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(5)) > 0).alias("fit")).collect()
+    s = np.array([quality.statistics(r[0]) for r in rows])
+    assert np.allclose(m.mean, s.mean(0)) and np.allclose(m.scale, s.std(0) + 1e-6, rtol=1e-3)
+    fit = np.array([r[2] for r in rows])
+    x, y = m.features(s[fit]), np.array([r[1] for r in rows])[fit]
+    beta = np.linalg.solve(x.T @ x + 1e-3 * len(x) * np.diag([1e-9] + [1.0] * 40), x.T @ y)
+    assert np.allclose(m.raw(s), m.features(s) @ beta, atol=1e-6)
+    kernel = np.exp(-((s[:30, None] - s[None, :30]) ** 2 / m.scale**2).sum(2) / (2 * 4.0**2))
+    wide = quality.Model(m.mean, m.scale, np.random.default_rng(1).standard_normal((quality.N_STATS, 20_000)) / 4.0, np.random.default_rng(2).uniform(0, 2 * np.pi, 20_000), None, None).features(s[:30])[:, 1:]
+    assert np.abs(wide @ wide.T - kernel).max() < 0.05 or np.abs((s[:30] - m.mean) / m.scale).max() > 8  # a Gaussian kernel
