@@ -5,7 +5,8 @@ occurrence stays; the lines that any later occurrence covers are removed, overla
 occurrence of a line is never covered by a later window whose first occurrence lies before it, so no line's content is
 lost from the corpus. A text of fewer than three lines, an empty one and a null one have no window and stay as they
 are. A null doc_id orders last; rows equal in both doc_id and text count as one document and get the same result;
-rows equal in doc_id only are ordered by a hash of their text. Other columns pass through.
+rows equal in doc_id only are ordered by a hash of their text. Texts are taken whole, however long; an empty table gives
+an empty one; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 from .common import KEY, materialise, own_names, row_key
 
 
+SEED = 1
+
+
 def _line_array(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -25,12 +29,14 @@ def _line_array(text: Column) -> Column:
 def windows(docs: DataFrame, width: int = 3) -> DataFrame:
     """(key columns, __p, __w): each window's first line and two 64-bit hashes of its lines."""
     d = docs.filter(F.length("__t") - F.length(F.replace("__t", F.lit("\n"), F.lit(""))) >= width - 1)
-    lines = d.select(*KEY, _line_array(F.col("__t")).alias("__l"))
-    # A line's hash with its lowest bit set where it is not blank: xxhash64 passes over nulls, so these can't stand for blanks.
-    lines = lines.select(*KEY, F.transform("__l", lambda x: F.when(F.trim(x) != "", F.xxhash64(x).bitwiseOR(F.lit(1))).otherwise(F.xxhash64(x).bitwiseAND(F.lit(-2)))).alias("__l"))
-    h = [F.col("__l")[F.col("__p") + i] for i in range(width)]
-    at = lines.select(*KEY, "__l", F.explode(F.sequence(F.lit(0), F.size("__l") - width)).alias("__p"))
-    return at.filter(reduce(lambda a, b: a.bitwiseOR(b), h).bitwiseAND(F.lit(1)) == 1).select(*KEY, "__p", F.struct(F.xxhash64(*h).alias("a"), F.xxhash64(F.lit(1), *h).alias("b")).alias("__w"))
+    # Two hashes of each line, of different seeds, so that lines which one confuses the other tells apart; the first one's
+    # lowest bit says whether the line is not blank.
+    one = lambda x: F.when(F.trim(x) != "", F.xxhash64(x).bitwiseOR(F.lit(1))).otherwise(F.xxhash64(x).bitwiseAND(F.lit(-2)))
+    arrays = d.select(*KEY, _line_array(F.col("__t")).alias("__l"))
+    lines = arrays.select(*KEY, F.transform("__l", one).alias("__l"), F.transform("__l", lambda x: F.xxhash64(F.lit(SEED), x)).alias("__m"))
+    at = lines.select(*KEY, "__l", "__m", F.explode(F.sequence(F.lit(0), F.size("__l") - width)).alias("__p"))
+    h, g = ([F.col(c)[F.col("__p") + i] for i in range(width)] for c in ("__l", "__m"))
+    return at.filter(reduce(lambda a, b: a.bitwiseOR(b), h).bitwiseAND(F.lit(1)) == 1).select(*KEY, "__p", F.struct(F.xxhash64(*h).alias("a"), F.xxhash64(F.lit(SEED), *g).alias("b")).alias("__w"))
 
 
 @own_names

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from chronoweave.llm import bpe, exact_dedup, license_scan, line_dedup, simhash
@@ -54,16 +55,25 @@ def test_lines_of_repeated_rows_null_ids_and_empty_tables(spark):
     assert line_dedup.stage(d.limit(0)).count() == 0
 
 
+def test_windows_have_two_independent_hashes(spark):
+    """Where the first hash of all lines is the same, the second still tells windows apart."""
+    d = table(spark, ["a\nb\nc\nd"]).select(*line_dedup.row_key("doc_id", "text"), F.col("text").alias("__t2")).withColumnRenamed("__t2", "__t")
+    seen = line_dedup.windows(d).select("__w.a", "__w.b").collect()
+    x = [spark.sql(f"select xxhash64(1, '{c}') h").first().h for c in "abcd"]
+    want = [spark.sql(f"select xxhash64(1, {x[i]}L, {x[i + 1]}L, {x[i + 2]}L) h").first().h for i in range(2)]
+    assert [r.b for r in seen] == want and len({r.a for r in seen}) == 2
+
+
 # -- exact copies
 
 
-@pytest.mark.parametrize("crash", [False, True])
-def test_exact_copies(spark, crash):
+@pytest.mark.parametrize("crash, few", [(False, 10), (True, 10), (False, 0), (True, 0)])
+def test_exact_copies(spark, crash, few):
     from pyspark.sql import functions as F
 
-    texts = ["A b", "a B", "a b", None, "", "other", "É", "é", "a b "]
+    texts = ["A b", "a B", "a b", None, "", "other", "É", "é", "a b ", "Long text " * 30_000, "long text " * 30_000]
     content = (lambda t: F.md5(F.substring(t, 1, 1))) if crash else F.md5  # collisions on purpose
-    rows = exact_dedup.exact_dedup(table(spark, texts), keep="max", content_hash=content).collect()
+    rows = exact_dedup.exact_dedup(table(spark, texts), keep="max", content_hash=content, broadcast_rows=few).collect()
     low = lambda t: (t or "").translate(str.maketrans(exact_dedup.UPPER, exact_dedup.LOWER))
     for r in rows:
         same = [i for i, t in enumerate(texts) if low(t) == low(texts[r.doc_id])]
