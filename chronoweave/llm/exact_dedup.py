@@ -4,7 +4,9 @@ Texts are equal when their bytes agree after A-Z are lower-cased; null counts as
 a hash has several rows, their texts are grouped by the bytes themselves, pre-aggregated in each task, so a group of
 any size is one text of each. A hash with one text, which is every hash but for collisions, names its rows' group;
 rows of a collision are joined by text. Texts that have no equal are never shuffled unless there are more repeated
-hashes than BROADCAST_ROWS. A null doc_id never stays unless its whole group has null ids; rows of one doc_id count each.
+hashes than `broadcast_rows`. A null doc_id never stays unless its whole group has null ids; rows of one doc_id count
+each, and where they stay, all of them do. Texts are taken whole, however long; an empty table gives an empty one; other
+columns are not read, so their names do not matter.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", content_hash=F.md5) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", content_hash=F.md5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs. keep: "min" or "max" id stays.
     content_hash is a parameter so that tests can make collisions."""
     best = {"min": F.min, "max": F.max}[keep]
@@ -33,7 +35,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = [best("__id").alias("keep_id"), F.count("*").alias("group_size")]
     groups = materialise(rows.groupBy("__h").agg(*found), "groups")
     many = groups.filter("group_size > 1").select("__h")
-    few = many.count() <= BROADCAST_ROWS  # 16 bytes each; beyond that the texts are shuffled to the hashes
+    few = many.count() <= broadcast_rows  # 16 bytes each; beyond that the texts are shuffled to the hashes
     inside = d.select("__id", "__t", "__h").join(F.broadcast(many) if few else many, "__h", "left_semi")
     texts = inside.groupBy("__h", "__t").agg(F.count("*").alias("n"))  # the bytes are compared here
     mixed = materialise(texts.groupBy("__h").count().filter("count > 1").select("__h"), "collisions")
