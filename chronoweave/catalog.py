@@ -121,8 +121,10 @@ query("scan_project_filter", "SELECT o_orderkey, o_custkey FROM orders WHERE o_o
 query("release_window", "SELECT release, stable_id, version FROM ids WHERE release BETWEEN 9 AND 14", "ids")(on(lambda t: t.ids.filter(F.col("release").between(9, 14))))
 query("allowlist_semi", "SELECT * FROM xref WHERE name_db IN (SELECT p_brand FROM part WHERE p_size = 50)", "xref")(on(lambda t: prep.allow_list(t.xref, "name_db", t.part.filter("p_size = 50").select("p_brand"))))
 query("allowlist_missing", "SELECT count(*) AS n FROM (SELECT DISTINCT p_brand FROM part) WHERE p_brand NOT IN (SELECT name_db FROM xref)", "xref")(on(lambda t: prep.absent_from(t.xref, "name_db", t.part.select("p_brand")).agg(F.count("*").alias("n"))))
-query("missing_value_normalise", "SELECT c_custkey, CASE WHEN lower(trim(s)) IN ('', 'na', 'unknown') THEN '_PLACEHOLDER_NA_' ELSE s END AS segment FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'NA' WHEN c_custkey % 7 = 0 THEN ' unknown ' ELSE c_mktsegment END AS s FROM customer)")(
-    on(lambda t: t.customer.select("c_custkey", fid.missing_to(F.when(F.col("c_custkey") % 5 == 0, "NA").when(F.col("c_custkey") % 7 == 0, " unknown ").otherwise(F.col("c_mktsegment"))).alias("segment"))))
+_SPELLINGS = ", ".join("'" + x + "'" for x in fid.MISSING)
+query("missing_value_normalise", f"SELECT k, CASE WHEN s IS NULL OR list_contains([{_SPELLINGS}], s) THEN '_PLACEHOLDER_NA_' ELSE s END AS segment FROM (SELECT CAST(c_custkey AS bigint) AS k, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN ' unknown ' WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS s FROM customer UNION ALL SELECT CAST(i AS bigint), [{_SPELLINGS}][i] FROM range(1, {len(fid.MISSING) + 1}) AS u(i))")(
+    on(lambda t: t.customer.select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, None).when(F.col("c_custkey") % 7 == 0, " unknown ").when(F.col("c_custkey") % 3 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("s")).unionByName(
+        t.spark.range(1, len(fid.MISSING) + 1).select(F.col("id").alias("c_custkey"), F.element_at(F.array(*map(F.lit, fid.MISSING)), F.col("id").cast("int")).alias("s"))).select(F.col("c_custkey").alias("k"), fid.missing_to(F.col("s")).alias("segment"))))
 query("numeric_check", "SELECT count(*) FILTER (WHERE try_cast(s AS double) IS NOT NULL) AS numeric, count(*) FILTER (WHERE try_cast(s AS double) IS NULL) AS other FROM (SELECT CASE WHEN p_partkey % 9 = 0 THEN p_brand ELSE CAST(p_size AS string) END AS s FROM part)")(
     on(lambda t: t.part.select(fid.is_numeric(F.when(F.col("p_partkey") % 9 == 0, F.col("p_brand")).otherwise(F.col("p_size").cast("string"))).alias("ok")).agg(F.sum(F.col("ok").cast("long")).alias("numeric"), F.sum((~F.col("ok")).cast("long")).alias("other"))))
 query("null_normalise", "SELECT old_id, old_release, nullif(score, 0) AS score, coalesce(nullif(new_id, ''), 'none') AS new_id FROM history", "history")(on(lambda t: t.history.select("old_id", "old_release", fid.zero_to_null(F.col("score")).alias("score"), F.coalesce(F.nullif("new_id", F.lit("")), F.lit("none")).alias("new_id"))))
@@ -139,8 +141,8 @@ query("relation_left_joins", "SELECT DISTINCT concat('T', CAST(l.l_orderkey AS s
                                t.customer.select(F.col("c_custkey").alias("transcript_id"), F.col("c_name").alias("translation"))).select("transcript", "gene", "translation")))
 query("history_full_outer", "SELECT coalesce(e.old_release, s.r) AS k, count(e.old_id) AS n_events, count(s.r) AS n_sessions FROM history e FULL OUTER JOIN (SELECT DISTINCT release + 1 AS r FROM ids) s ON e.old_release = s.r GROUP BY 1", "history", "ids")(
     on(lambda t: t.history.join(t.ids.select((F.col("release") + 1).alias("r")).distinct(), F.col("old_release") == F.col("r"), "full_outer").groupBy(F.coalesce("old_release", "r").alias("k")).agg(F.count("old_id").alias("n_events"), F.count("r").alias("n_sessions"))))
-query("xref_star_join", "SELECT DISTINCT p.p_brand AS name_db, concat('P', CAST(p.p_partkey AS string)) AS id_db, n.n_name AS graph_id, s.s_name FROM lineitem l LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey LEFT JOIN part p ON l.l_partkey = p.p_partkey WHERE n.n_name IS NOT NULL AND p.p_brand IS NOT NULL AND l.l_linenumber = 1")(
-    on(lambda t: prep.external(t.lineitem.filter("l_linenumber = 1").select(F.col("l_suppkey").alias("ensembl_id"), F.col("l_partkey").alias("external_db_id")).distinct(),
+query("xref_star_join", "SELECT DISTINCT p.p_brand AS name_db, concat('P', CAST(p.p_partkey AS string)) AS id_db, n.n_name AS graph_id, s.s_name FROM lineitem l LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey LEFT JOIN part p ON l.l_partkey = p.p_partkey WHERE n.n_name IS NOT NULL AND p.p_brand IS NOT NULL")(
+    on(lambda t: prep.external(t.lineitem.select(F.col("l_suppkey").alias("ensembl_id"), F.col("l_partkey").alias("external_db_id")).distinct(),
                                t.supplier.select(F.col("s_suppkey").alias("ensembl_id"), F.col("s_nationkey").alias("xref_id"), F.col("s_suppkey").alias("object_xref_id")),
                                t.nation.select(F.col("n_nationkey").alias("xref_id"), F.col("n_name").alias("graph_id")),
                                t.part.select(F.col("p_partkey").alias("external_db_id"), F.col("p_brand").alias("name_db"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id_db")),
@@ -164,8 +166,8 @@ query("modal_form", "SELECT db, form FROM (SELECT db, form, row_number() OVER (P
 query("node_trios", "SELECT * FROM trio", "trio")(on(lambda t: summary.trios(t.conn)))
 query("id_list", "SELECT DISTINCT node FROM trio WHERE db = 'Brand#12' AND assembly = 38 AND release = 14", "trio")(on(lambda t: summary.id_list(summary.trios(t.conn), "Brand#12", 38, 14)))
 for _mode, _by in {"complete": "db, assembly, release", "release": "release", "assembly": "assembly", "assembly_release": "assembly, release"}.items():
-    query(f"infer_source_{_mode}", f"SELECT {_by}, count(DISTINCT node) AS n_ids FROM trio WHERE node IN (SELECT concat('P', CAST(p_partkey AS string)) FROM part WHERE p_size < 10) GROUP BY {_by}", "trio")(
-        on(lambda t, m=_mode: summary.infer_source(summary.trios(t.conn), t.part.filter("p_size < 10").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string"))), m)))
+    query(f"infer_source_{_mode}", f"SELECT {_by}, count(DISTINCT node) AS n_ids FROM trio WHERE node IN (SELECT concat('P', CAST(p_partkey AS string)) FROM part) GROUP BY {_by}", "trio")(
+        on(lambda t, m=_mode: summary.infer_source(summary.trios(t.conn), t.part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string"))), m)))
 query("node_richness", "SELECT c.dst AS node, count(DISTINCT CASE WHEN c.db NOT LIKE 'form_%' THEN c.src END) AS externals, count(DISTINCT CASE WHEN c.db = 'form_gene' THEN c.src END) AS transcripts, coalesce(any_value(p.n), 0) AS translations FROM conn c LEFT JOIN (SELECT a.dst AS node, count(DISTINCT b.src) AS n FROM conn a JOIN conn b ON a.src = b.dst AND b.db = 'form_transcript' WHERE a.db = 'form_gene' GROUP BY 1) p ON p.node = c.dst WHERE c.db <> 'form_transcript' GROUP BY 1", "conn")(on(lambda t: summary.richness(t.conn)))
 query("version_presence", "SELECT release, bool_and(v IS NULL) AS all_missing, bool_or(v IS NULL) AS any_missing FROM (SELECT release, CASE WHEN release > 15 AND version < 3 THEN NULL ELSE version END AS v FROM ids) GROUP BY 1", "ids")(on(lambda t: prep.version_summary(t.ids.withColumn("version", F.when(~((F.col("release") > 15) & (F.col("version") < 3)), F.col("version"))))))
 for _p, _v in {"add": "1", "drop": "NULL", "keep": "version"}.items():
@@ -223,88 +225,165 @@ query("name_resolution", "SELECT q AS query, CASE WHEN k % 4 <> 3 THEN n END AS
     on(lambda t: search.resolve(t.part.select(F.col("p_partkey").alias("k"), (k := F.col("p_partkey").cast("string"))).select(F.when(F.col("k") % 4 == 0, F.concat(F.lit("part-"), "p_partkey", F.lit("_x"))).when(F.col("k") % 4 == 1, F.concat(F.lit("PART-"), "p_partkey", F.lit("_X"))).when(F.col("k") % 4 == 2, F.concat(F.lit("part_"), "p_partkey", F.lit("-x.2"))).otherwise(F.concat(F.lit("none"), "p_partkey")).alias("query")), t.part.select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string"), F.lit("_x")).alias("name")))))
 
 
-def _walks(t: T, start: int, to: int) -> DataFrame:
-    q = t.ids.filter(F.col("release") == start).select(F.col("stable_id").alias("query_id"), fid.versioned(F.col("stable_id"), F.col("version")).alias("node"), F.lit(start).alias("from_release"), F.lit(to).alias("to_release"))
-    return search.walk(q, t.edges, back=start > to)
+def _walks(t: T, to: int, back: bool = False) -> DataFrame:
+    """Every id of every release on this side of `to`."""
+    near = F.col("release") >= to if back else F.col("release") <= to
+    q = t.ids.filter(near).select(F.concat("stable_id", F.lit("@"), F.col("release").cast("string")).alias("query_id"), fid.versioned(F.col("stable_id"), F.col("version")).alias("node"), "release", F.lit(to).alias("to_release"), F.lit(back).alias("reverse"))
+    return search.walk(q, t.edges).select("query_id", "target", search.path_text().alias("path"), F.size("path").alias("steps"), search.path_score().alias("score"))
 
 
+#: The most steps that SQL unrolls; more than any path of the given tables has.
+_STEPS = 14
 
 
-def _walk_sql(start: int, to: int, steps: int, back: bool) -> str:
-    """Unrolled, as window functions may not stand in a recursion."""
+def _walk_sql(starts: str, to: int, back: bool, name: str = "paths", steps: int = _STEPS) -> str:
+    """Unrolled, as window functions may not stand in a recursion; starts gives (q, node, rel)."""
+    p = name
     src, dst, at, until = ("dst", "src", "new_release", "old_release") if back else ("src", "dst", "old_release", "new_release")
-    ok = f"e.{at} <= s.rel AND e.kind NOT IN ('loop', 'open')" if back else f"(e.{at} >= s.rel OR e.{until} IS NULL) AND e.kind <> 'loop'"
-    done = f"hop <= {to}" if back else f"(hop >= {to} OR until IS NULL)"
-    text = f", s0 AS (SELECT stable_id AS q, {V} AS node, release AS rel, '' AS path, 0 AS steps, 0.0::double AS sw, 0 AS nw FROM ids WHERE release = {start})"
+    open_ = " WHERE new_release IS NOT NULL" if back else ""
+    ok = "w.hop <= s.rel" if back else "(w.hop >= s.rel OR w.until IS NULL)"
+    reached, spans = (f"hop <= {to}", f"until <= {to}") if back else (f"hop >= {to}", f"coalesce(until >= {to}, false)")
+    d = " DESC" if back else ""
+    text = f""", {p}w AS (SELECT {src} AS node, {dst} AS far, {at} AS hop, {until} AS until, weight, concat(src, '>', dst, '@', CAST(old_release AS string), '-', coalesce(CAST(new_release AS string), '')) AS key FROM edges{open_}),
+{p}0 AS (SELECT q, node, rel, '' AS path, 0 AS steps, CAST(0 AS double) AS sw, 0 AS nw FROM ({starts}))"""
     for i in range(steps):
-        text += f""", x{i} AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY q, node, rel, path, mv ORDER BY hop {'DESC' if back else ''}) AS rk FROM (SELECT s.*, e.{dst} AS far, e.{at} AS hop, e.{until} AS until, e.weight, split_part(e.{dst}, '.', 1) = split_part(s.node, '.', 1) AND e.{dst} <> s.node AS mv FROM s{i} s JOIN edges e ON e.{src} = s.node WHERE {ok})) WHERE NOT mv OR rk = 1),
-s{i + 1} AS (SELECT DISTINCT q, far AS node, until AS rel, concat(path, CASE WHEN path <> '' THEN ';' ELSE '' END, node, '>', far, '@', CAST(hop AS string)) AS path, steps + 1 AS steps, sw + coalesce(weight, 0) AS sw, nw + CAST(weight IS NOT NULL AS int) AS nw FROM x{i} WHERE NOT {done} AND far <> node AND far NOT LIKE '%.Void' AND far NOT LIKE '%.Retired')"""
-    every = " UNION ALL ".join(f"SELECT * FROM x{i}" for i in range(steps))
-    return text + f", paths AS (SELECT DISTINCT q AS query_id, node AS target, path, steps, CASE WHEN nw > 0 THEN sw / nw END AS score FROM ({every}) WHERE {done})"
+        text += f""",
+{p}a{i} AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY q, node, rel, path, mv ORDER BY hop{d}) AS rk FROM (SELECT s.*, w.far, w.hop, w.until, w.weight, w.key, w.far = s.node AS lp, split_part(w.far, '.', 1) = split_part(s.node, '.', 1) AND w.far <> s.node AS mv FROM {p}{i} s JOIN {p}w w ON w.node = s.node WHERE {ok})) WHERE NOT mv OR rk = 1),
+{p}b{i} AS (SELECT *, contains(concat(path, ';'), concat(';', key, ';')) AS used, lp AND count(*) OVER (PARTITION BY q, node, rel, path, hop) = 1 AS flag, {reached} AS reached, {spans} AS spans FROM {p}a{i}),
+{p}c{i} AS (SELECT *, flag AND NOT used AND NOT reached AND until IS NOT NULL AND NOT spans AS passed FROM {p}b{i}),
+{p}x{i} AS (SELECT * REPLACE (concat(path, coalesce(string_agg(CASE WHEN passed THEN concat(';', key) END, '') OVER o, '')) AS path, steps + coalesce(sum(CAST(passed AS int)) OVER o, 0) AS steps, sw + coalesce(sum(CASE WHEN passed THEN weight END) OVER o, 0) AS sw, nw + coalesce(sum(CASE WHEN passed AND weight IS NOT NULL THEN 1 END) OVER o, 0) AS nw) FROM {p}c{i} WINDOW o AS (PARTITION BY q, node, rel, path ORDER BY hop{d}, flag{d}, far, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{p}{i + 1} AS (SELECT DISTINCT q, far AS node, hop AS rel, concat(path, ';', key) AS path, steps + 1 AS steps, sw + coalesce(weight, 0) AS sw, nw + CAST(weight IS NOT NULL AS int) AS nw FROM {p}x{i} WHERE NOT used AND NOT reached AND NOT flag)"""
+    done = " UNION ALL ".join(f"SELECT q, node, path, steps, sw, nw FROM {p}x{i} WHERE NOT used AND (reached AND node NOT LIKE '%.Void' AND node NOT LIKE '%.Retired' OR NOT reached AND flag AND until IS NULL) UNION ALL SELECT q, node, concat(path, ';', key), steps + 1, sw + coalesce(weight, 0), nw + CAST(weight IS NOT NULL AS int) FROM {p}x{i} WHERE NOT used AND NOT reached AND flag AND spans" for i in range(steps))
+    return text + f",\n{name} AS (SELECT DISTINCT q AS query_id, node AS target, substr(path, 2) AS path, CAST(steps AS int) AS steps, CASE WHEN nw > 0 THEN sw / nw END AS score FROM ({done}))"
 
 
-def _walk_query(name: str, start: int, to: int, tail: str, fn, back: bool = False) -> None:
+def _walk_query(name: str, to: int, tail: str, fn, back: bool = False) -> None:
     _Q[name] = fn
-    _SQL[name] = _with("edges") + _walk_sql(start, to, 8, back) + tail
+    starts = f"SELECT concat(stable_id, '@', CAST(release AS string)) AS q, {V} AS node, release AS rel FROM ids WHERE release {'>=' if back else '<='} {to}"
+    _SQL[name] = _with("edges") + _walk_sql(starts, to, back) + tail
 
 
-_walk_query("walk_forward", 9, 14, " SELECT * FROM paths", on(lambda t: _walks(t, 9, 14)))
-_walk_query("walk_reverse", 14, 9, " SELECT * FROM paths", on(lambda t: _walks(t, 14, 9)), back=True)
+_walk_query("walk_forward", 12, " SELECT * FROM paths", on(lambda t: _walks(t, 12)))
+_walk_query("walk_reverse", 15, " SELECT * FROM paths", on(lambda t: _walks(t, 15, back=True)), back=True)
 _BEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, target ORDER BY score DESC NULLS LAST, steps, path) AS n FROM paths) WHERE n = 1)"
-_walk_query("path_score_best", 9, 16, f" SELECT query_id, target, path, steps, score FROM {_BEST}", on(lambda t: search.best_per_target(_walks(t, 9, 16).withColumns({k: F.lit(0) for k in ("assembly_jump", "external_jump", "external_step")})).select("query_id", "target", "path", "steps", "score")))
-_walk_query("path_density", 9, 14, " SELECT i.stable_id AS query_id, any_value(n) AS n_paths FROM (SELECT stable_id FROM ids WHERE release = 9) i LEFT JOIN (SELECT query_id, count(*) AS n FROM paths GROUP BY 1) p ON p.query_id = i.stable_id GROUP BY 1", on(lambda t: qa.path_density(t.ids.filter("release = 9").select(F.col("stable_id").alias("query_id")), _walks(t, 9, 14))))
-_walk_query("clash_stats", 9, 14, " SELECT target, count(*) AS n_queries, bool_or(n = 1) AS one_to_one, bool_or(n > 1) AS one_to_many FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM (SELECT DISTINCT query_id, target FROM paths)) GROUP BY 1 HAVING count(*) > 1", on(lambda t: harmonize.clashes(_walks(t, 9, 14))))
-query("next_edges_forward", "SELECT node, dst AS far, old_release AS at, new_release AS until, kind FROM (SELECT s.node, e.*, rank() OVER (PARTITION BY s.node, split_part(e.dst, '.', 1) = split_part(s.node, '.', 1) AND e.dst <> s.node ORDER BY e.old_release) AS rk, split_part(e.dst, '.', 1) = split_part(s.node, '.', 1) AND e.dst <> s.node AS mv FROM (SELECT " + V + " AS node FROM ids WHERE release = 11) s JOIN edges e ON e.src = s.node WHERE e.kind <> 'loop' AND (e.old_release >= 11 OR e.new_release IS NULL)) WHERE NOT mv OR rk = 1", "edges")(
-    on(lambda t: search.next_edges(t.ids.filter("release = 11").select(fid.versioned(F.col("stable_id"), F.col("version")).alias("node"), "release"), t.edges).select("node", "far", "at", "until", "kind")))
+_walk_query("path_score_best", 14, f" SELECT query_id, target, path, steps, score FROM {_BEST}", on(lambda t: search.best_per_target(_walks(t, 14).withColumns({k: F.lit(0) for k in ("assembly_jump", "external_jump", "external_step")})).select("query_id", "target", "path", "steps", "score")))
+_walk_query("path_density", 14, " SELECT i.q AS query_id, any_value(n) AS n_paths FROM (SELECT concat(stable_id, '@', CAST(release AS string)) AS q FROM ids) i LEFT JOIN (SELECT query_id, count(*) AS n FROM paths GROUP BY 1) p ON p.query_id = i.q GROUP BY 1", on(lambda t: qa.path_density(t.ids.select(F.concat("stable_id", F.lit("@"), F.col("release").cast("string")).alias("query_id")), _walks(t, 14))))
+_walk_query("clash_stats", 14, " SELECT target, count(*) AS n_queries, bool_or(n = 1) AS one_to_one, bool_or(n > 1) AS one_to_many FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM (SELECT DISTINCT query_id, target FROM paths)) GROUP BY 1 HAVING count(*) > 1", on(lambda t: harmonize.clashes(_walks(t, 14))))
+query("next_edges_forward", "SELECT *, (far = node) AND count(*) OVER (PARTITION BY node, release, hop) = 1 AS is_loop FROM (SELECT node, release, far, hop, until FROM (SELECT s.node, s.release, e.dst AS far, e.old_release AS hop, e.new_release AS until, split_part(e.dst, '.', 1) = split_part(s.node, '.', 1) AND e.dst <> s.node AS mv, rank() OVER (PARTITION BY s.node, s.release, split_part(e.dst, '.', 1) = split_part(s.node, '.', 1) AND e.dst <> s.node ORDER BY e.old_release) AS rk FROM (SELECT DISTINCT " + V + " AS node, release FROM ids) s JOIN edges e ON e.src = s.node WHERE e.old_release >= s.release OR e.new_release IS NULL) WHERE NOT mv OR rk = 1)", "edges")(
+    on(lambda t: search.next_edges(t.ids.select(fid.versioned(F.col("stable_id"), F.col("version")).alias("node"), "release", F.lit(False).alias("reverse")).distinct(), search.two_way(t.edges)).select("node", "release", "far", F.col("at").alias("hop"), "until", "is_loop")))
 
 
 def _externals(t: T) -> DataFrame:
-    return t.part.filter("p_size = 7").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("query_id"))
+    return t.part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("query_id"))
 
 
-_PART = "(SELECT concat('P', CAST(p_partkey AS string)) AS p FROM part WHERE p_size = 7)"
+_PART = "(SELECT concat('P', CAST(p_partkey AS string)) AS p FROM part)"
 query("synonyms_to_gene", f"SELECT DISTINCT src AS query_id, dst AS target, 1 AS distance FROM conn WHERE src IN (SELECT p FROM {_PART}) AND release = 12 AND db NOT LIKE 'form_%'", "conn")(
-    on(lambda t: search.synonyms(_externals(t).select("query_id", F.lit(12).alias("release"), F.col("query_id").alias("node"), F.lit("external").alias("node_type")), t.conn.filter("not startswith(db, 'form_')"), "gene", depth=1)))
-query("synonyms_depth2", f"SELECT DISTINCT q AS query_id, target, 2 AS distance FROM (SELECT a.src AS q, b.src AS target FROM conn a JOIN conn b ON a.dst = b.dst AND a.release = b.release WHERE a.src IN (SELECT p FROM {_PART}) AND a.release = 12 AND a.db NOT LIKE 'form_%' AND b.db = 'Brand#11' AND a.src <> b.src)", "conn")(
-    on(lambda t: search.synonyms(_externals(t).select("query_id", F.lit(12).alias("release"), F.col("query_id").alias("node"), F.lit("external").alias("node_type")), t.conn.filter("not startswith(db, 'form_')"), "external", depth=2, wanted_db="Brand#11").filter("distance <= 2")))
+    on(lambda t: search.synonyms(_externals(t).select("query_id", F.lit(12).alias("release"), F.col("query_id").alias("node"), F.lit("external").alias("node_type")), t.conn, "gene").select("query_id", "target", "distance")))
+query("synonyms_depth2", "SELECT DISTINCT a.src AS query_id, b.src AS target, CASE WHEN a.src = b.src THEN 0 ELSE 2 END AS distance FROM conn a JOIN conn b ON a.dst = b.dst AND a.release = b.release WHERE a.release = 12 AND a.db NOT LIKE 'form_%' AND b.db = 'Brand#11'", "conn")(
+    on(lambda t: search.synonyms(_externals(t).select("query_id", F.lit(12).alias("release"), F.col("query_id").alias("node"), F.lit("external").alias("node_type")), t.conn, "external", wanted_db="Brand#11").select("query_id", "target", "distance").distinct()))
+query("synonyms_of_translations", "SELECT query_id, target, min(distance) AS distance FROM (SELECT translation AS query_id, gene AS target, 2 AS distance FROM relation WHERE release = 12 AND translation IS NOT NULL UNION ALL SELECT l.translation, b.dst, 4 FROM relation l JOIN conn a ON a.dst = l.gene JOIN conn b ON b.src = a.src WHERE l.release = 12 AND a.release = 12 AND b.release = 12 AND l.translation IS NOT NULL AND a.db NOT LIKE 'form_%' AND b.db NOT LIKE 'form_%') GROUP BY ALL", "relation", "conn")(
+    on(lambda t: search.synonyms(t.relation.filter("translation is not null").select(F.col("translation").alias("query_id"), F.lit(12).alias("release"), F.col("translation").alias("node"), F.lit("translation").alias("node_type")).distinct(), t.conn, "gene").select("query_id", "target", "distance").distinct()))
 
 
 def _tables(t: T) -> plan.Tables:
     return plan.build(t.ids, t.history, t.xref, t.relation)
 
 
+def _gene_queries(t: T) -> DataFrame:
+    """Every gene node, from the first release that has it."""
+    node = fid.versioned(F.col("stable_id"), F.col("version"))
+    return t.ids.groupBy(node.alias("query_id")).agg(F.min("release").alias("from_release")).withColumn("to_release", F.lit(14))
+
+
+def _part_queries(t: T) -> DataFrame:
+    return _externals(t).withColumns({"from_release": F.lit(9), "to_release": F.lit(14)})
+
+
 @query("convert_gene")
 def _convert_gene(spark: SparkSession, sf: str) -> DataFrame:
     t = T(spark, sf)
-    q = t.ids.filter("release = 9").select(fid.versioned(F.col("stable_id"), F.col("version")).alias("query_id"), F.lit(9).alias("from_release"), F.lit(14).alias("to_release"))
-    return plan.convert(_tables(t), q)
+    return plan.convert(_tables(t), _gene_queries(t), go_external=False)
 
 
-_SQL["convert_gene"] = _with("edges") + _walk_sql(9, 14, 8, False) + f""" SELECT q.node AS query_id, CASE WHEN p.target IS NOT NULL THEN q.node END AS node, p.target, p.target AS final, CASE WHEN p.target IS NOT NULL THEN 0 END AS confidence,
-CASE WHEN p.target IS NOT NULL THEN 'converted' ELSE 'no_conversion' END AS status FROM (SELECT stable_id, {V} AS node FROM ids WHERE release = 9) q LEFT JOIN (SELECT DISTINCT query_id, target FROM paths) p ON p.query_id = q.stable_id"""
+_FIRST = f"SELECT {V} AS q, {V} AS node, min(release) AS rel FROM ids GROUP BY ALL"
+_GENES = _with("edges") + _walk_sql(f"SELECT * FROM ({_FIRST}) WHERE rel <= 14", 14, False, "fw") + _walk_sql(f"SELECT * FROM ({_FIRST}) WHERE rel > 14", 14, True, "bk") + f"""
+, converted AS (SELECT q.q AS query_id, CASE WHEN p.target IS NOT NULL THEN q.q END AS node, p.target, p.target AS final, CASE WHEN p.target IS NOT NULL THEN 0 END AS confidence, CASE WHEN p.target IS NOT NULL THEN 'converted' ELSE 'no_conversion' END AS status
+FROM ({_FIRST}) q LEFT JOIN (SELECT query_id, target FROM fw UNION SELECT query_id, target FROM bk) p ON p.query_id = q.q)"""
+_SQL["convert_gene"] = _GENES + " SELECT * FROM converted"
 
 
 @query("convert_external")
 def _convert_external(spark: SparkSession, sf: str) -> DataFrame:
     t = T(spark, sf)
-    return plan.convert(_tables(t), _externals(t).withColumns({"from_release": F.lit(9), "to_release": F.lit(14)}), "Brand#11")
+    return plan.convert(_tables(t), _part_queries(t), "Brand#11", go_external=False)
+
+
+@query("convert_to_one")
+def _convert_to_one(spark: SparkSession, sf: str) -> DataFrame:
+    t = T(spark, sf)
+    return plan.convert(_tables(t), _part_queries(t), "Brand#11", one=True, go_external=False)
 
 
-@query("relaxation_ladder", f"SELECT p AS query_id, c.dst AS node, 0 AS stage FROM {_PART} q JOIN (SELECT DISTINCT src, dst FROM conn WHERE db NOT LIKE 'form_%' AND release = 9) c ON c.src = q.p UNION SELECT p, c.dst, 1 FROM {_PART} q JOIN (SELECT DISTINCT src, dst FROM conn WHERE db NOT LIKE 'form_%') c ON c.src = q.p WHERE p NOT IN (SELECT src FROM conn WHERE release = 9 AND db NOT LIKE 'form_%')", "conn")
-def _ladder(spark: SparkSession, sf: str) -> DataFrame:
+@query("convert_unknown_release")
+def _convert_unknown_release(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of parts without a release, towards the last one, with the way that each took."""
     t = T(spark, sf)
-    tables = plan.Tables(None, t.conn, None, None)
-    return plan.from_external(tables, _externals(t).withColumns({"from_release": F.lit(9)})).select("query_id", "node", "stage")
-
-
-query("final_hop", "SELECT DISTINCT i.node AS query_id, i.node, i.node AS target, coalesce(a.src, b.src, i.node) AS final, CASE WHEN a.src IS NOT NULL THEN 0 WHEN b.src IS NOT NULL THEN 1 END AS confidence FROM (SELECT " + V + " AS node FROM ids WHERE release = 12) i LEFT JOIN (SELECT DISTINCT dst, src FROM conn WHERE db = 'Brand#11' AND release = 12) a ON a.dst = i.node LEFT JOIN (SELECT DISTINCT dst, src FROM conn WHERE db = 'Brand#11') b ON b.dst = i.node AND a.src IS NULL", "conn", "ids")(
-    on(lambda t: plan.to_database(plan.Tables(None, t.conn, None, None), t.ids.filter("release = 12").select((n := fid.versioned(F.col("stable_id"), F.col("version"))).alias("query_id"), n.alias("node"), n.alias("target"), F.lit(12).alias("to_release")), "Brand#11")))
-query("conversion_bins")(lambda spark, sf: plan.bins(_convert_external(spark, sf)))
-query("travel_metrics")(lambda spark, sf: qa.travel(_convert_gene(spark, sf), T(spark, sf).ids.select(fid.versioned(F.col("stable_id"), F.col("version")).alias("node"))))
-query("assembly_jump_fold", "SELECT o_orderkey, 0 AS jumps FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 1 FROM orders WHERE o_orderkey % 2 = 1")(
-    on(lambda t: t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(1)), F.array(F.lit(2)))).otherwise(F.array(F.array(F.lit(1)), F.array(F.lit(2)), F.array(F.lit(2)))).alias("s")).select("o_orderkey", search.jump_fold("s")["jumps"].alias("jumps"))))
-query("global_choice", "SELECT query_id, target FROM (SELECT *, max(own) OVER (PARTITION BY query_id) AS a FROM (SELECT *, CASE WHEN target = 'N1' THEN 1 ELSE 0 END AS own FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY c) AS r FROM (SELECT DISTINCT o_custkey AS query_id, concat('N', CAST(o_orderkey % 3 AS string)) AS target, min(o_orderkey % 2) OVER (PARTITION BY o_custkey, o_orderkey % 3) AS c FROM orders)) WHERE r = 1)) WHERE own = 1 OR a = 0")(
-    on(lambda t: search.choose_targets(t.orders.groupBy(F.col("o_custkey").alias("query_id"), F.concat(F.lit("N"), (F.col("o_orderkey") % 3).cast("string")).alias("target")).agg(F.min(F.col("o_orderkey") % 2).alias("confidence")).withColumns({"assembly_jump": F.lit(0), "external_jump": F.lit(0), "n_final": F.lit(1), "node": F.lit("N1")})).select("query_id", "target")))
+    return plan.convert(_tables(t), _externals(t).withColumns({"from_release": F.lit(None).cast("int"), "to_release": F.lit(None).cast("int")}), go_external=False, return_path=True)
+
+
+# Strict: genes that a part names at release 9. Loose, for parts that this leaves without a path: for each gene id that
+# it ever names, where that lies nearest to 14.
+_PRI = "list_sort(list_distinct(list(CASE WHEN c.assembly = 38 THEN 1 ELSE 2 END))) AS pri"
+_STRICT = f"""
+, strict AS (SELECT DISTINCT c.src AS p, c.dst AS node, 9 AS rel, {_PRI} FROM conn c JOIN ranges r ON r.node = c.dst AND r.s <= 9 AND 9 <= coalesce(r.e, 2147483647) WHERE c.release = 9 AND c.db NOT LIKE 'form_%' GROUP BY c.src, c.dst)"""
+_LOOSE = f"""
+, solved AS (SELECT DISTINCT b.p FROM strict b JOIN sf w ON w.query_id = concat(b.node, '@', CAST(b.rel AS string))),
+named AS (SELECT c.src AS p, c.dst AS node, {_PRI} FROM conn c WHERE c.db NOT LIKE 'form_%' AND c.src NOT IN (SELECT p FROM solved) GROUP BY c.src, c.dst),
+points AS (SELECT n.p, n.node, n.pri, r.s, r.e, coalesce(r.e, 2147483647) AS f FROM named n JOIN ranges r USING (node)),
+entered AS (SELECT p, node, pri, s AS rel, s > 14 AS rev FROM points WHERE s >= 14 UNION ALL SELECT p, node, pri, f, false FROM points WHERE s < 14 AND f <= 14 UNION ALL SELECT p, node, pri, s, true FROM points WHERE s < 14 AND f > 14 UNION ALL SELECT p, node, pri, f, false FROM points WHERE s < 14 AND f > 14),
+loose AS (SELECT DISTINCT p, node, pri, rel, rev FROM (SELECT *, rank() OVER (PARTITION BY p, split_part(node, '.', 1) ORDER BY abs(rel - 14)) AS k FROM entered) WHERE k = 1),
+begin AS (SELECT p, node, pri, rel, false AS rev FROM strict WHERE p IN (SELECT p FROM solved) UNION ALL SELECT * FROM loose)"""
+_START = "SELECT DISTINCT concat(node, '@', CAST(rel AS string)) AS q, node, rel FROM {}"
+_EXTERNAL = _with("ranges", "conn") + _STRICT + _walk_sql(_START.format("strict"), 14, False, "sf") + _LOOSE + _walk_sql(_START.format("begin WHERE NOT rev"), 14, False, "fw") + _walk_sql(_START.format("begin WHERE rev"), 14, True, "bk") + """
+, went AS (SELECT b.p, w.target, w.score, w.steps, w.path, CASE WHEN w.steps = 0 THEN b.pri ELSE [1] END AS last_pri FROM begin b JOIN (SELECT *, false AS rev FROM fw UNION ALL SELECT *, true FROM bk) w ON w.rev = b.rev AND w.query_id = concat(b.node, '@', CAST(b.rel AS string))),
+best AS (SELECT p, target, last_pri FROM (SELECT *, row_number() OVER (PARTITION BY p, target ORDER BY score DESC NULLS LAST, steps, path, len(last_pri) DESC) AS k FROM went) WHERE k = 1),
+known AS (SELECT dst AS target, list_sort(list_distinct(list(CASE WHEN assembly = 38 THEN 1 ELSE 2 END))) AS pri FROM conn WHERE release = 14 GROUP BY 1),
+hop AS (SELECT dst AS target, src AS final, list_sort(list_distinct(list(CASE WHEN assembly = 38 THEN 1 ELSE 2 END))) AS pri FROM conn WHERE db = 'Brand#11' AND release = 14 GROUP BY 1, 2 HAVING bool_or(assembly = 38)),
+finals AS (SELECT b.*, h.final, 0 AS confidence, h.pri AS final_pri FROM best b JOIN hop h USING (target) UNION ALL SELECT b.*, b.target, NULL, coalesce(k.pri, [2147483647]) FROM best b LEFT JOIN known k USING (target) WHERE b.target NOT IN (SELECT target FROM hop)),
+ever AS (SELECT DISTINCT src FROM conn)"""
+_STATUS = "SELECT q.p AS query_id, CASE WHEN f.target IS NOT NULL THEN q.p END AS node, f.target, f.final, f.confidence, CASE WHEN f.confidence IS NOT NULL THEN 'converted' WHEN f.target IS NOT NULL THEN 'no_target' WHEN q.p IN (SELECT src FROM ever) THEN 'no_conversion' ELSE 'no_corresponding' END AS status"
+_SQL["convert_external"] = _EXTERNAL + f" {_STATUS} FROM {_PART} q LEFT JOIN (SELECT DISTINCT p, target, final, confidence FROM finals) f USING (p)"
+_SQL["convert_to_one"] = _EXTERNAL + f""",
+ranked AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY p ORDER BY coalesce(confidence, 2147483647), list_min(final_pri), list_min(last_pri), -len(last_pri), -len(final_pri)) AS k FROM finals) WHERE k = 1),
+own AS (SELECT * FROM (SELECT *, max(final = p) OVER (PARTITION BY p) AS a FROM ranked) WHERE final = p OR NOT a),
+rich AS (SELECT c.dst AS target, count(DISTINCT CASE WHEN c.db NOT LIKE 'form_%' THEN c.src END) AS x, count(DISTINCT CASE WHEN c.db = 'form_gene' THEN c.src END) AS t, count(DISTINCT l.src) AS l FROM conn c LEFT JOIN conn l ON l.dst = c.src AND l.db = 'form_transcript' AND l.release = 14 WHERE c.release = 14 AND c.db <> 'form_transcript' GROUP BY 1),
+f AS (SELECT * FROM (SELECT o.*, rank() OVER (PARTITION BY p ORDER BY coalesce(x, 0) DESC, coalesce(t, 0) DESC, coalesce(l, 0) DESC) AS z FROM own o LEFT JOIN rich USING (target)) WHERE z = 1)
+{_STATUS} FROM {_PART} q LEFT JOIN f USING (p)"""
+_BINS = """, per AS (SELECT query_id, count(DISTINCT final) AS n, bool_or(status = 'no_target') AS alt, bool_or(status = 'no_conversion') AS lost, bool_or(status = 'no_corresponding') AS unknown, coalesce(bool_or(final = query_id), false) AS same FROM converted GROUP BY 1)
+SELECT bin, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN true THEN 'input_identifiers' END, CASE WHEN unknown THEN 'no_corresponding' END, CASE WHEN lost THEN 'no_conversion' END,
+CASE WHEN NOT alt AND NOT lost AND NOT unknown AND n = 1 THEN 'matching_1_to_1' END, CASE WHEN NOT alt AND NOT lost AND NOT unknown AND n > 1 THEN 'matching_1_to_n' END,
+CASE WHEN NOT alt AND NOT lost AND NOT unknown AND n = 1 AND NOT same THEN 'changed_only_1_to_1' END, CASE WHEN NOT alt AND NOT lost AND NOT unknown AND n > 1 AND NOT same THEN 'changed_only_1_to_n' END,
+CASE WHEN alt AND n = 1 THEN 'alternative_target_1_to_1' END, CASE WHEN alt AND n > 1 THEN 'alternative_target_1_to_n' END], lambda x: x IS NOT NULL)) AS bin FROM per) GROUP BY 1"""
+_Q["conversion_bins"] = lambda spark, sf: plan.bins(_convert_external(spark, sf))
+_SQL["conversion_bins"] = _EXTERNAL + f", converted AS ({_STATUS} FROM {_PART} q LEFT JOIN (SELECT DISTINCT p, target, final, confidence FROM finals) f USING (p))" + _BINS
+_Q["conversion_bins_gene"] = lambda spark, sf: plan.bins(_convert_gene(spark, sf))
+_SQL["conversion_bins_gene"] = _GENES + _BINS
+query("relaxation_ladder", f"SELECT p AS query_id, c.dst AS target, 0 AS stage FROM {_PART} q JOIN (SELECT DISTINCT src, dst FROM conn WHERE db NOT LIKE 'form_%' AND release = 9) c ON c.src = q.p UNION SELECT p, c.dst, 1 FROM {_PART} q JOIN (SELECT DISTINCT src, dst FROM conn WHERE db NOT LIKE 'form_%') c ON c.src = q.p WHERE p NOT IN (SELECT src FROM conn WHERE release = 9 AND db NOT LIKE 'form_%')", "conn")(
+    on(lambda t: search.relaxed(_externals(t).select("query_id", F.col("query_id").alias("node"), F.lit("external").alias("node_type"), F.lit(9).alias("release")), t.conn, "gene").select("query_id", "target", "stage")))
+query("final_hop", f"SELECT i.node AS target, 12 AS to_release, coalesce(a.src, i.node) AS final, CASE WHEN a.src IS NOT NULL THEN 0 END AS confidence FROM (SELECT DISTINCT {V} AS node FROM ids) i LEFT JOIN (SELECT DISTINCT dst, src FROM conn WHERE db = 'Brand#11' AND release = 12 AND assembly = 38) a ON a.dst = i.node", "conn", "ids")(
+    on(lambda t: plan.to_database(plan.Tables(None, t.conn, None, None), t.ids.select(fid.versioned(F.col("stable_id"), F.col("version")).alias("target"), F.lit(12).alias("to_release")).distinct(), "Brand#11").select("target", "to_release", "final", "confidence")))
+_Q["travel_metrics"] = lambda spark, sf: qa.travel(_convert_gene(spark, sf), T(spark, sf).ids.filter("release = 14").select(fid.versioned(F.col("stable_id"), F.col("version")).alias("node")))
+_SQL["travel_metrics"] = _GENES + f""", t AS (SELECT DISTINCT {V} AS target FROM ids WHERE release = 14), per AS (SELECT query_id, count(DISTINCT target) AS n, bool_or(target IS NOT NULL AND target NOT IN (SELECT target FROM t)) AS bad FROM converted GROUP BY 1)
+SELECT count(*) AS queries, count(*) FILTER (WHERE n = 0) AS lost, count(*) FILTER (WHERE n = 1) AS one_to_one, count(*) FILTER (WHERE n > 1) AS one_to_many, count(*) FILTER (WHERE bad) AS inaccurate FROM per"""
+# A fold over the lines of an order: open ones are of the main assembly, closed ones of the other, every third of both.
+query("assembly_jump_fold", """RECURSIVE l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, lo, hi) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, lo, hi FROM (SELECT *, CASE WHEN l_partkey % 3 = 0 THEN 1 WHEN l_suppkey % 2 = 0 THEN 1 ELSE 2 END AS lo, CASE WHEN l_partkey % 3 = 0 THEN 2 WHEN l_suppkey % 2 = 0 THEN 1 ELSE 2 END AS hi FROM lineitem)),
+f AS (SELECT k, 0 AS i, hi AS cur, 0 AS jumps FROM l WHERE i = 1 UNION ALL SELECT f.k, f.i + 1, CASE WHEN least(cur, hi) < lo THEN lo WHEN lo <> hi THEN least(cur, hi) ELSE lo END, jumps + CAST(least(cur, hi) < lo AS int) FROM f JOIN l ON l.k = f.k AND l.i = f.i + 1 WHERE l.i < l.n)
+SELECT k AS l_orderkey, arg_max(jumps, i) AS jumps, arg_max(cur, i) AS cur FROM f GROUP BY 1""")(
+    on(lambda t: t.lineitem.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.when(F.col("l_partkey") % 3 == 0, F.array(F.lit(1), F.lit(2))).when(F.col("l_suppkey") % 2 == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(2))).alias("p")))), lambda x: x["p"]).alias("s")).select("l_orderkey", search.jump_fold("s")["jumps"].alias("jumps"), search.jump_fold("s")["cur"].alias("cur"))))
+_SQL["assembly_jump_fold"] = "WITH " + _SQL["assembly_jump_fold"].lstrip()
+query("global_choice", "SELECT query_id, target FROM (SELECT *, max(own) OVER (PARTITION BY query_id) AS a FROM (SELECT *, CASE WHEN target = 'N1' THEN 1 ELSE 0 END AS own FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY c, j, n DESC) AS r FROM (SELECT o_custkey AS query_id, concat('N', CAST(o_orderkey % 3 AS string)) AS target, min(o_orderkey % 2) AS c, min(o_orderkey % 5) AS j, count(*) AS n FROM orders GROUP BY ALL)) WHERE r = 1)) WHERE own = 1 OR a = 0")(
+    on(lambda t: search.choose_targets(t.orders.groupBy(F.col("o_custkey").alias("query_id"), F.concat(F.lit("N"), (F.col("o_orderkey") % 3).cast("string")).alias("target")).agg(F.min(F.col("o_orderkey") % 2).alias("confidence"), F.min(F.col("o_orderkey") % 5).alias("assembly_jump"), (-F.count("*")).alias("neg_pri")).withColumns({"final_min_pri": F.lit(1), "external_jump": F.lit(0), "min_pri": F.lit(1), "neg_final_pri": F.lit(-1), "node": F.lit("N1"), "final": F.col("target")})).select("query_id", "target")))
 query("qa_invariants", "SELECT unnest(['ids_without_range', 'range_without_ids', 'overlapping_ranges', 'empty_ranges', 'edges_back_in_time', 'unknown_nodes']) AS name, 0 AS violations")(on(lambda t: qa.invariants(t.ids, (e := t.edges), ft.backbone(graph.edge_events(e), ["node"]))))
 
 # -- harmonisation and sets

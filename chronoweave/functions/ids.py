@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Fixed values, on which results depend: the delimiter of versioned ids, the spellings of a missing value (exact, as they
+# stand), what stands for one, the prefix of synonyms' nodes, and the pattern of a trailing number.
 DELIMITER = "."
-MISSING = ["", "na", "n/a", "nan", "none", "null", "nil", "missing", "unknown", "not available", "undefined", "-", "?", "."]
+MISSING = [
+    "na", "NA", "Na", "n/a", "N/A", "n.a.", "N.A.", "na.", "Na.", "NA.", "n-a", "N-A", "Na-", "NA-", "n_a", "N_A",
+    "Na_", "NA_", "none", "None", "NONE", "non", "Non", "NON", "void", "Void", "VOID", "blank", "Blank", "BLANK",
+    "omitted", "Omitted", "OMITTED", "NaN", "nan", "Nan", "NAN", "-", "_", "--", "__", "---", "___", "null", "Null",
+    "NULL", "nil", "Nil", "NIL", "undefined", "Undefined", "UnDefined", "UNDEFINED", "unassigned", "Unassigned",
+    "UnAssigned", "UNASSIGNED", "unspecified", "Unspecified", "UNSPECIFIED", "", " ", "  ", "   ", "    ", ".", "..",
+    "...", "....", "?", "??", "???", "????", "missing", "Missing", "MISSING", "absent", "Absent", "ABSENT", "EMPTY",
+    "empty", "Empty", "not available", "Not Available", "NOT AVAILABLE", "notavailable", "NotAvailable",
+    "NOTAVAILABLE", "unknown", "Unknown", "UnKnown", "UNKNOWN", "not known", "Not Known", "NOT KNOWN", "notknown",
+    "NotKnown", "NOTKNOWN", "undisclosed", "Undisclosed", "UNDISCLOSED", "not disclosed", "Not Disclosed",
+    "NOT DISCLOSED", "notdisclosed", "NotDisclosed", "NOTDISCLOSED", "not applicable", "Not Applicable",
+    "NOT APPLICABLE", "notapplicable", "NotApplicable", "NOTAPPLICABLE", "to be filled", "To Be Filled",
+    "TO BE FILLED", "to be determined", "To Be Determined", "TO BE DETERMINED", "tbd", "TBD", "tba", "TBA", "n.k.",
+    "N.K.", "n.k", "N.K", "n/k", "N/K", "n/k/a", "N/K/A", "n.d.", "N.D.", "n.d", "N.D", "n/d", "N/D", "n/d/a",
+    "N/D/A", "n.a.p.", "N.A.P.", "n.a.p", "N.A.P", "n/a/p", "N/A/P", "n/a/p/a", "N/A/P/A", "xx", "XX", "x", "X",
+    "xxx", "XXX", "xxxx", "XXXX", "N/M", "n/m", "N.M.", "n.m.", "n.m", "N.M", "N/C", "n/c", "N.C.", "n.c.", "n.c",
+    "N.C", "n.s.", "N.S.", "n.s", "N.S", "n/s", "N/S", "n/s/a", "N/S/A",
+]
 PLACEHOLDER = "_PLACEHOLDER_NA_"
 SYNONYM = "synonym_id::"
+SUFFIX = r"^(.+)(_|-|\.)[0-9]+$"
 
 
 def versioned(stable_id: Column, version: Column) -> Column:
@@ -27,7 +45,8 @@ def split_id(node: Column) -> tuple[Column, Column]:
 
 
 def missing_to(value: Column, to: str | None = PLACEHOLDER) -> Column:
-    return F.when(value.isNull() | F.lower(F.trim(value)).isin(MISSING), F.lit(to)).otherwise(value)
+    """The value, or `to` where it is null or a spelling of a missing value, letter by letter."""
+    return F.when(value.isNull() | value.isin(MISSING), F.lit(to)).otherwise(value)
 
 
 def zero_to_null(score: Column) -> Column:
@@ -44,23 +63,17 @@ def uppercase_count(value: Column) -> Column:
 
 def without_suffix(name: Column) -> Column:
     """What precedes a trailing [-_.]digits; null where there is none."""
-    return F.nullif(F.regexp_extract(name, r"^(.+)(_|-|\.)[0-9]+$", 1), F.lit(""))
-
-
-def separator_variants(names: DataFrame, column: str, most: int = 5) -> DataFrame:
-    """names with (variant, variant_no): every choice of - and _ at the places that hold either, fewest _ first, then
-    by place. Names with more than `most` places keep only themselves and all-dash and all-underscore forms, as the
-    count doubles with each place."""
-    pieces = F.split(F.col(column), "[-_]", -1)
-    k = F.size(pieces) - 1
-    masks: Column = F.array(F.lit("").cast("string"))
-    for n in range(1, most + 1):
-        order = ["".join("_" if i in c else "-" for i in range(n)) for r in range(n + 1) for c in combinations(range(n), r)]
-        masks = F.when(k == n, F.array(*map(F.lit, order))).otherwise(masks)
-    masks = F.when(k > most, F.array(F.repeat(F.lit("-"), k), F.repeat(F.lit("_"), k))).otherwise(masks)
-    d = names.withColumn("__p", pieces).select(*names.columns, "__p", F.posexplode(masks).alias("variant_no", "__m"))
-    joined = F.aggregate(F.sequence(F.lit(1), F.size("__p")), F.lit(""), lambda a, i: F.concat(a, F.element_at("__p", i), F.substring(F.col("__m"), i, F.lit(1))))
-    return d.select(*names.columns, "variant_no", joined.alias("variant"))
+    return F.nullif(F.regexp_extract(name, SUFFIX, 1), F.lit(""))
+
+
+def separators_unified(name: Column) -> Column:
+    return F.translate(name, "_", "-")
+
+
+def variant_order(variant: Column) -> tuple[Column, Column]:
+    """Sort keys of the order in which - and _ variants of a name are tried: fewest _ first, then those with _ earlier."""
+    marks = F.regexp_replace(variant, "[^-_]", "")
+    return F.length(F.replace(marks, F.lit("-"), F.lit(""))), F.translate(marks, "_-", "01")
 
 
 def first_hit(candidates: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -1,109 +1,236 @@
-"""Bounded search: names, synonyms, walks through history. Batches of queries move together, one join a step."""
+"""Bounded search: names, synonyms, walks through history. Batches of queries move together, one join a step.
+
+A path is an array of steps (a, b, key, release, w, pri): a step of history has its edge's key and weight, a step through
+names has no key, its release (NULL for any) and the priorities of the assemblies that make it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ids import SYNONYM, first_hit, separator_variants, split_id, without_suffix
-from ..functions.temporal import closed
+from ..functions.ids import SYNONYM, separators_unified, split_id, variant_order, without_suffix
+from ..functions.temporal import closed, contains, entry_points, opened
+from ..schema import PRIORITY
 from ..session import cut
 
-#: Steps that any walk may take; far beyond what release-stamped histories need, as each step moves on in time.
-MAX_STEPS = 64
+STEP = "struct<a: string, b: string, key: string, release: int, w: double, pri: array<int>>"
+SENTINEL = r"\.(Void|Retired)$"
+#: Names that may be walked through either way where the search is shallow.
+BOTH_WAYS = ("external", "base")
 
 
-def resolve(queries: DataFrame, names: DataFrame, most: int = 5) -> DataFrame:
-    """(query, node, was_modified): exact, lower case, without suffix, - and _ variants (with these again), then all of
-    it behind the synonym prefix. The first hit wins; queries without one have node NULL."""
+def resolve(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """(query, node, was_modified): tried in order are the name itself, its lower case, the name without its trailing
+    number, that in lower case; then the same four of every - and _ variant; then all of it behind the synonym prefix. The
+    first hit wins, queries without one have node NULL. No variant is enumerated: names meet on their lower case with one
+    separator for both, and a hit's own separators say which variant it is, so names of any length cost the same."""
     q = queries.toDF("query").distinct()
-    base = separator_variants(q, "query", most).withColumnRenamed("variant", "v")
-    base = base.select("query", (F.col("variant_no") + 1).alias("no"), "v").unionByName(q.select("query", F.lit(0).alias("no"), F.col("query").alias("v")))
-    cut_ = without_suffix(F.col("v"))
-    forms = F.array(*[F.struct((F.col("no") * 10 + i).alias("ord"), x.alias("c"), F.lit(low).alias("low")) for i, (x, low) in enumerate([(F.col("v"), False), (F.col("v"), True), (cut_, False), (cut_, True)])])
-    c = base.select("query", F.explode(forms).alias("f")).select("query", "f.*").filter("c is not null")
-    c = c.unionByName(c.select("query", (F.col("ord") + 1_000_000).alias("ord"), F.concat(F.lit(SYNONYM), "c").alias("c"), "low"))
+    own = F.array(*[F.struct(F.lit(i).alias("prefixed"), x.alias("name")) for i, x in enumerate((F.col("query"), F.concat(F.lit(SYNONYM), "query")))])
+    d = q.select("query", F.explode(own).alias("o")).select("query", "o.*")
+    forms = F.array(*[F.struct(F.lit(i).alias("cut"), x.alias("form")) for i, x in enumerate((F.col("name"), without_suffix(F.col("name"))))])
+    d = d.select("query", "prefixed", "name", F.explode(forms).alias("f")).select("query", "prefixed", "name", "f.*").filter("form is not null")
+    key = lambda c: F.lower(separators_unified(F.col(c)))
     n = names.toDF("node").distinct()
-    exact = c.filter("not low").join(n, F.col("c") == F.col("node")).select("query", "ord", "node")
-    low = c.filter("low").join(n, F.lower("c") == F.lower("node")).select("query", "ord", "node")
-    best = first_hit(exact.unionByName(low), "query", ["ord", "node"])
+    hit = d.join(n, key("form") == key("node"))
+    plain = F.lower("form") == F.lower("node")
+    exact = F.when(plain, F.col("form") == F.col("node")).otherwise(separators_unified(F.col("form")) == separators_unified(F.col("node")))
+    # The separator before a number that was cut off may be either: - is tried first.
+    few, place = variant_order(F.concat("node", F.when((F.col("cut") == 1) & F.substring("name", F.length("form") + 1, F.lit(1)).isin("-", "_"), "-").otherwise("")))
+    order = [F.col("prefixed"), (~plain).cast("int"), F.when(plain, 0).otherwise(few), F.when(plain, "").otherwise(place), F.col("cut") * 2 + (~exact).cast("int"), F.col("node")]
+    hit = hit.select("query", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]).alias("k"))
+    best = hit.groupBy("query").agg(F.min("k").alias("k")).select("query", F.col("k.k5").alias("node"))
     return q.join(best, "query", "left").select("query", "node", (F.col("node") != F.col("query")).alias("was_modified"))
 
 
-def next_edges(states: DataFrame, edges: DataFrame, back: bool = False) -> DataFrame:
-    """states (…, node, release) beside the edges they may take next: later ones forwards (an open loop too), earlier
-    ones backwards; of those that stay on the same id only the first in time. Adds far, at, until, weight, kind."""
-    src, dst = ("dst", "src") if back else ("src", "dst")
-    at, until = ("new_release", "old_release") if back else ("old_release", "new_release")
-    e = edges.select(F.col(src).alias("node"), F.col(dst).alias("far"), F.col(at).alias("at"), F.col(until).alias("until"), "weight", "kind")
-    j = states.join(e, "node")
-    ok = (F.col("at") <= F.col("release")) if back else ((F.col("at") >= F.col("release")) | F.col("until").isNull())
-    j = j.filter(ok & F.col("kind").isin("version", "branch", "retirement", "birth", "rebirth", "open"))
-    if back:
-        j = j.filter("kind <> 'open'")
-    same = split_id(F.col("far"))[0] == split_id(F.col("node"))[0]
-    move = same & (F.col("far") != F.col("node"))
-    w = W.partitionBy(*states.columns, move).orderBy(F.desc("at") if back else F.asc("at"))
-    return j.withColumn("__m", move).withColumn("__r", F.rank().over(w)).filter("not __m or __r = 1").drop("__m", "__r")
-
-
-def walk(queries: DataFrame, edges: DataFrame, back: bool = False) -> DataFrame:
-    """(query_id, target, path, steps, score) of every history that leads from node at from_release to one that lives at
-    to_release. score is the mean of the known weights. path is text, one `src>dst@release` a step."""
-    state = queries.select("query_id", "node", F.col("from_release").alias("release"), "to_release", F.lit("").alias("path"), F.lit(0).alias("steps"), F.lit(0.0).alias("sum_w"), F.lit(0).alias("n_w"))
-    edges = cut(edges, "edges")
+def _step(a, b, key=None, release=None, w=None, pri=None) -> Column:
+    null = lambda x, t: F.lit(None).cast(t) if x is None else x
+    return F.struct(a.alias("a"), b.alias("b"), null(key, "string").alias("key"), null(release, "int").alias("release"), null(w, "double").alias("w"), null(pri, "array<int>").alias("pri"))
+
+
+def two_way(edges: DataFrame) -> DataFrame:
+    """History as it is walked: (node, reverse, far, at, until, weight, key); an open loop leads forwards only."""
+    key = F.concat("src", F.lit(">"), "dst", F.lit("@"), F.col("old_release").cast("string"), F.lit("-"), F.coalesce(F.col("new_release").cast("string"), F.lit("")))
+    e = edges.withColumn("key", key)
+    ahead = e.select(F.col("src").alias("node"), F.lit(False).alias("reverse"), F.col("dst").alias("far"), F.col("old_release").alias("at"), F.col("new_release").alias("until"), "weight", "key", "kind")
+    back = e.filter("new_release is not null").select(F.col("dst").alias("node"), F.lit(True).alias("reverse"), F.col("src").alias("far"), F.col("new_release").alias("at"), F.col("old_release").alias("until"), "weight", "key", "kind")
+    return ahead.unionByName(back)
+
+
+def next_edges(states: DataFrame, edges: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """states (…, node, release, reverse) beside the edges of two_way() that they may take next: later ones forwards (an
+    open loop too), earlier ones backwards; of those that stay on the same id only the first in time. Adds is_loop: a
+    loop at a time when no other edge leaves. `by` names columns that tell states apart (all, if it is not given)."""
+    j = states.join(edges, ["node", "reverse"])
+    ok = F.when(F.col("reverse"), F.col("at") <= F.col("release")).otherwise((F.col("at") >= F.col("release")) | F.col("until").isNull())
+    j = j.filter(ok)
+    by = by or states.columns
+    stays = (split_id(F.col("far"))[0] == split_id(F.col("node"))[0]) & (F.col("far") != F.col("node"))
+    soon = F.when(F.col("reverse"), -F.col("at")).otherwise(F.col("at"))
+    w = W.partitionBy(*by, stays).orderBy(soon)
+    j = j.withColumn("__m", stays).withColumn("__r", F.rank().over(w)).filter("not __m or __r = 1").drop("__m", "__r")
+    alone = F.count("*").over(W.partitionBy(*by, "at")) == 1
+    return j.withColumn("is_loop", (F.col("far") == F.col("node")) & alone)
+
+
+def walk(starts: DataFrame, edges: DataFrame, jump: Callable[[DataFrame], DataFrame] | None = None, jump_limit: int = 2) -> DataFrame:
+    """(query_id, target, path) of every way through history from node, at release, to what lives at to_release.
+
+    starts: (query_id, node, release, to_release, reverse) and optionally path (steps taken before). An edge is used once
+    a path. A loop alone at its time is passed in place: the edges after it have it behind them. A node is reached where
+    an edge leaves it at or beyond to_release, or a loop spans or ends it. jump, if given, takes (node, to_release) and
+    gives entries (node, to_release, entry, release, reverse, steps, via): a path may leave its node for an entry up to
+    jump_limit times, not twice in a row, and never through a name twice. Each step is a table; the walk ends when no
+    state is left, as edges are used once and jumps are few."""
+    add = {"path": f"array<{STEP}>", "via": "array<string>"}
+    state = starts.select("query_id", "node", F.col("release").cast("int").alias("release"), F.col("to_release").cast("int").alias("to_release"), "reverse", *[F.col(c) if c in starts.columns else F.array().cast(t).alias(c) for c, t in add.items()])
+    state = cut(state.withColumns({"jumps": F.lit(0), "beamed": F.col("path").isNotNull() & (F.size("path") > 0), "sid": F.monotonically_increasing_id()}), "starts")
+    hashed = two_way(cut(edges, "edges")).repartition("node", "reverse").persist(StorageLevel.DISK_ONLY)  # shuffled once
     out = None
-    for _ in range(MAX_STEPS):
-        nxt = next_edges(state, edges, back)
-        reached = (F.col("at") <= F.col("to_release")) if back else ((F.col("at") >= F.col("to_release")) | F.col("until").isNull())
-        nxt = cut(nxt.withColumn("__done", reached), "frontier")
-        done = nxt.filter("__done").select("query_id", F.col("node").alias("target"), "path", "steps", "sum_w", "n_w").distinct()
-        out = done if out is None else out.unionByName(done)
-        go = nxt.filter("not __done and far <> node").filter(~F.col("far").rlike(r"\.(Void|Retired)$"))
-        state = go.select("query_id", F.col("far").alias("node"), F.col("until").alias("release"), "to_release",
-                          F.concat("path", F.when(F.col("path") != "", ";").otherwise(""), "node", F.lit(">"), "far", F.lit("@"), F.col("at").cast("string")).alias("path"),
-                          (F.col("steps") + 1).alias("steps"), (F.col("sum_w") + F.coalesce("weight", F.lit(0.0))).alias("sum_w"), (F.col("n_w") + F.col("weight").isNotNull().cast("int")).alias("n_w")).distinct()
-        if state.isEmpty():
-            break
-    score = F.when(F.col("n_w") > 0, F.col("sum_w") / F.col("n_w"))
-    return out.select("query_id", "target", "path", "steps", score.alias("score")).distinct()
+    try:
+        while not state.isEmpty():
+            nxt = next_edges(state, hashed, ["sid"])
+            used = F.exists("path", lambda x: x["key"].eqNullSafe(F.col("key")))
+            reached = F.when(F.col("reverse"), F.col("at") <= F.col("to_release")).otherwise(F.col("at") >= F.col("to_release"))
+            spans = F.when(F.col("reverse"), F.col("until") <= F.col("to_release")).otherwise(F.col("until") >= F.col("to_release"))
+            nxt = nxt.withColumns({"used": used, "reached": reached, "spans": spans, "own": _step(F.col("node"), F.col("far"), F.col("key"), w=F.col("weight"), pri=F.array(F.lit(1)))})
+            passed = F.col("is_loop") & ~F.col("used") & ~F.col("reached") & F.col("until").isNotNull() & ~F.col("spans")
+            turn = lambda c: F.when(F.col("reverse"), -c).otherwise(c)
+            order = W.partitionBy("sid").orderBy(turn(F.col("at")), turn(F.col("is_loop").cast("int")), "far", "key").rowsBetween(W.unboundedPreceding, -1)
+            nxt = nxt.withColumn("path", F.concat("path", F.collect_list(F.when(passed, F.col("own"))).over(order)))
+            every = cut(nxt, "frontier")
+            nxt = every.filter("not used")
+            sentinel = F.col("node").rlike(SENTINEL)
+            here = nxt.filter(F.col("reached") & ~sentinel | ~F.col("reached") & F.col("is_loop") & F.col("until").isNull()).select("query_id", F.col("node").alias("target"), "path")
+            loop = nxt.filter("not reached and is_loop and spans").select("query_id", F.col("node").alias("target"), F.concat("path", F.array("own")).alias("path"))
+            done = here.unionByName(loop).distinct()
+            out = done if out is None else out.unionByName(done)
+            go = nxt.filter("not reached and not is_loop").select("query_id", F.col("far").alias("node"), F.col("at").alias("release"), "to_release", "reverse", F.concat("path", F.array("own")).alias("path"), "via", "jumps", F.lit(False).alias("beamed"))
+            if jump is not None:
+                leave = every.filter(f"not beamed and jumps < {jump_limit}").select("query_id", "node", "to_release", "path", "via", "jumps").distinct()
+                entered = jump(leave.select("node", "to_release").distinct()).withColumnRenamed("via", "names")
+                gone = leave.join(entered, ["node", "to_release"]).filter(~F.arrays_overlap("names", "via"))
+                go = go.unionByName(gone.select("query_id", F.col("entry").alias("node"), "release", "to_release", "reverse", F.concat("path", "steps").alias("path"), F.concat("via", "names").alias("via"), (F.col("jumps") + 1).alias("jumps"), F.lit(True).alias("beamed")))
+            state = cut(go.distinct().withColumn("sid", F.monotonically_increasing_id()), "state")
+    finally:
+        hashed.unpersist()
+    if out is None:
+        out = state.select("query_id", F.col("node").alias("target"), "path")
+    return out.distinct()
+
+
+def path_text(path: str | Column = "path") -> Column:
+    """A path of history as text: its edges' keys; steps through names as a~b."""
+    p = F.col(path) if isinstance(path, str) else path
+    return F.array_join(F.transform(p, lambda x: F.coalesce(x["key"], F.concat(x["a"], F.lit("~"), x["b"]))), ";")
+
+
+def path_score(path: str = "path", reduction: str = "mean", remove_na: str = "omit", empty: float | None = None) -> Column:
+    """The edges' weights reduced to one number (mean, sum, min, max): unknown ones are left out, or count as 1 or 0
+    (to_1, to_0). A path without an edge has the score `empty`."""
+    w = F.transform(F.filter(path, lambda x: x["key"].isNotNull()), lambda x: x["w"])
+    w = F.when(F.size(w) == 0, F.array(F.lit(empty).cast("double"))).otherwise(w)
+    if remove_na == "omit":
+        w = F.filter(w, lambda x: x.isNotNull())
+    elif remove_na in ("to_1", "to_0"):
+        w = F.transform(w, lambda x: F.coalesce(x, F.lit(float(remove_na[-1]))))
+    else:
+        raise ValueError(f"remove_na: {remove_na}")
+    total = F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x)
+    made = {"mean": lambda: total / F.size(w), "sum": lambda: total, "min": lambda: F.array_min(w), "max": lambda: F.array_max(w)}
+    if reduction not in made:
+        raise ValueError(f"reduction: {reduction}")
+    return F.when(F.size(w) > 0, made[reduction]())
 
 
 def typed(conn: DataFrame) -> DataFrame:
-    """Connections both ways with the types of their ends."""
+    """Connections both ways, once for each pair: (src, dst, up, src_type, dst_type, facts); up is the way in which they
+    were made, facts are their (db, assembly, release)."""
     kind = {"form_gene": ("transcript", "gene"), "form_transcript": ("translation", "transcript"), "base": ("base", "gene")}
-    a = F.coalesce(*[F.when(F.col("db") == k, v[0]) for k, v in kind.items()], F.lit("external"))
-    b = F.coalesce(*[F.when(F.col("db") == k, v[1]) for k, v in kind.items()], F.lit("gene"))
-    one = conn.select("src", "dst", "db", "assembly", "release", a.alias("src_type"), b.alias("dst_type"))
-    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "db", "assembly", "release", F.col("dst_type").alias("src_type"), F.col("src_type").alias("dst_type")))
+    end = lambda i, other: F.coalesce(*[F.when(F.col("db") == k, v[i]) for k, v in kind.items()], F.lit(other))
+    to = F.col("dst_form") if "dst_form" in conn.columns else F.lit("gene")
+    one = conn.select("src", "dst", end(0, "external").alias("src_type"), F.when(F.col("db").isin(*kind), end(1, "gene")).otherwise(to).alias("dst_type"), F.struct("db", "assembly", "release").alias("f"))
+    one = one.groupBy("src", "dst", "src_type", "dst_type").agg(F.collect_set("f").alias("facts"), F.lit(True).alias("up"))
+    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dst_type").alias("src_type"), F.col("src_type").alias("dst_type"), "facts", F.lit(False).alias("up")))
 
 
-def synonyms(queries: DataFrame, conn: DataFrame, wanted: str, depth: int = 2, hub: int | None = None, wanted_db: str | None = None) -> DataFrame:
-    """(query_id, target, distance): the nearest nodes of type `wanted` (in `wanted_db`, for externals), all ties at the
-    least distance of each target. queries: (query_id, node, node_type, release or NULL for any). A path holds at most
-    `depth` nodes of one type, no node twice, no two of one type in a row, no hub inside, and edges of that release."""
-    e = typed(conn)
-    if hub is not None:
-        many = conn.select("src", "dst").distinct().groupBy("src").count().filter(F.col("count") > hub).select(F.col("src").alias("dst"))
-        e = e.join(many, "dst", "left_anti").select(*e.columns)
-    e = cut(e, "typed")
-    state = queries.select("query_id", "release", "node", "node_type", F.array("node").alias("path"), F.array("node_type").alias("types"), F.lit("").alias("via"))
+def _priorities(facts) -> Column:
+    of = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
+    return F.array_sort(F.array_distinct(F.transform(facts, lambda f: of[f["assembly"]])))
+
+
+def _expand(state: DataFrame, e: DataFrame, wanted: str, wanted_db: str | None, depth: int, shallow: bool) -> DataFrame:
+    """(query_id, release, target, distance, steps, last): all paths to wanted nodes; last is its last step's facts."""
     out = None
-    for distance in range(2 * depth + 2):
+    while True:
         hit = F.col("node_type") == wanted
         if wanted_db is not None:
-            hit = hit & (F.col("via") == wanted_db)
-        found = state.filter(hit).select("query_id", F.col("node").alias("target"), F.lit(distance).alias("distance")).distinct()
+            hit = hit & F.exists("last", lambda f: f["db"] == wanted_db)
+        found = state.filter(hit).select("query_id", "release", F.col("node").alias("target"), F.size("steps").alias("distance"), "steps", "last")
         out = found if out is None else out.unionByName(found)
-        j = state.filter(F.size(F.filter("types", lambda t: t == F.element_at("types", -1))) <= depth).join(e.withColumnRenamed("release", "e_release"), state["node"] == e["src"])
-        j = j.filter((F.col("release").isNull() | (F.col("e_release") == F.col("release"))) & (F.col("dst_type") != F.col("src_type")) & ~F.array_contains("path", F.col("dst")))
-        j = j.filter(F.size(F.filter("types", lambda t: t == F.col("dst_type"))) < depth)
-        state = j.select("query_id", "release", F.col("dst").alias("node"), F.col("dst_type").alias("node_type"), F.concat("path", F.array("dst")).alias("path"), F.concat("types", F.array("dst_type")).alias("types"), F.col("db").alias("via")).distinct()
+        most = F.array_max(F.transform("types", lambda t: F.size(F.filter("types", lambda u: u == t))))
+        j = state.filter(most < depth).join(e, state["node"] == e["src"])
+        if shallow:
+            j = j.filter(~F.col("up") | F.col("src_type").isin(*BOTH_WAYS))
+        j = j.withColumn("now", F.filter("facts", lambda f: F.col("release").isNull() | (f["release"] == F.col("release")))).filter(F.size("now") > 0)
+        two_back, back_type = F.try_element_at("path", F.lit(-2)), F.try_element_at("types", F.lit(-2))
+        bounce = (back_type == F.col("dst_type")) & ~F.col("dst_type").isin(*BOTH_WAYS) & (split_id(two_back)[0] == split_id(F.col("dst"))[0])
+        j = j.filter((F.col("dst_type") != F.col("src_type")) & ~F.array_contains("path", F.col("dst")) & ~F.coalesce(bounce, F.lit(False)))
+        step = _step(F.col("src"), F.col("dst"), release=F.col("release"), pri=_priorities(F.col("now")))
+        # What can neither be wanted nor go on is not kept.
+        again = F.size(F.filter("types", lambda t: t == F.col("dst_type"))) + 1
+        j = j.filter((F.col("dst_type") == wanted) | ((again < depth) & (most < depth)))
+        state = j.select("query_id", "release", F.col("dst").alias("node"), F.col("dst_type").alias("node_type"), F.concat("path", F.array("dst")).alias("path"), F.concat("types", F.array("dst_type")).alias("types"), F.concat("steps", F.array(step)).alias("steps"), F.col("now").alias("last"))
         state = cut(state, "synonyms")
         if state.isEmpty():
-            break
-    return out.groupBy("query_id", "target").agg(F.min("distance").alias("distance"))
+            return out
+
+
+def synonyms(queries: DataFrame, conn: DataFrame, wanted: str, depth: int = 2, hub: int | None = None, wanted_db: str | None = None, shallow: bool = False, ranges: DataFrame | None = None) -> DataFrame:
+    """(query_id, target, distance, steps, last): the shortest ways to each node of type `wanted` (externals: whose last
+    step is in `wanted_db`), all ties. queries: (query_id, node, node_type, release or NULL for any). A path expands
+    while no type is in it `depth` times, never through a node twice, to the same type, back to another version of the
+    id that it came from, into a hub (a name with more than `hub` neighbours), or by a step that the release lacks;
+    shallow: only away from genes, but for externals and bases. First with a depth of 2; queries that find nothing then
+    search to `depth`. With ranges (node, start, end), genes count while they live at the release."""
+    e = typed(conn)
+    if hub is not None:
+        many = conn.select("src", "dst").distinct().groupBy("src").count().filter(F.col("count") > hub).select(F.col("src").alias("dst"))
+        e = e.join(many, "dst", "left_anti").select(*e.columns)
+    e = cut(e, "typed")
+    state = queries.select("query_id", F.col("release").cast("int").alias("release"), "node", "node_type", F.array("node").alias("path"), F.array("node_type").alias("types"), F.array().cast(f"array<{STEP}>").alias("steps"))
+    if wanted_db is not None:  # a node that begins as external has the facts of all its connections
+        own = e.filter("up").groupBy("src").agg(F.flatten(F.collect_list("facts")).alias("last"))
+        state = state.join(own.withColumnRenamed("src", "node"), "node", "left").withColumn("last", F.filter("last", lambda f: F.col("release").isNull() | (f["release"] == F.col("release"))))
+    else:
+        state = state.withColumn("last", F.lit(None).cast(e.schema["facts"].dataType))
+    state = cut(state, "synonyms")
+
+    def pass_(state: DataFrame, depth: int) -> DataFrame:
+        found = _expand(state, e, wanted, wanted_db, depth, shallow)
+        if ranges is not None and wanted == "gene":
+            alive = found.filter("release is not null").join(ranges.select(F.col("node").alias("target"), "start", "end"), "target").filter(contains(F.col("start"), F.col("end"), F.col("release")))
+            found = alive.select(*found.columns).unionByName(found.filter("release is null"))
+        return found
+
+    found = cut(pass_(state, 2 if depth > 2 else depth), "found")
+    if depth > 2:
+        rest = state.join(found.select("query_id").distinct(), "query_id", "left_anti")
+        if not rest.isEmpty():
+            found = found.unionByName(pass_(rest, depth))
+    w = W.partitionBy("query_id", "target").orderBy("distance")
+    return found.withColumn("__r", F.rank().over(w)).filter("__r = 1").select("query_id", "target", "distance", "steps", "last").distinct()
+
+
+def relaxed(queries: DataFrame, conn: DataFrame, wanted: str, depth: int = 2, hub: int | None = None, **more) -> DataFrame:
+    """synonyms() at each query's release (stage 0), and at any release (1) for queries that find none."""
+    strict = cut(synonyms(queries, conn, wanted, depth, hub, **more).withColumn("stage", F.lit(0)), "strict")
+    rest = queries.join(strict.select("query_id").distinct(), "query_id", "left_anti").withColumn("release", F.lit(None).cast("int"))
+    return strict.unionByName(synonyms(rest, conn, wanted, depth, hub, **more).withColumn("stage", F.lit(1)))
 
 
 def nearest(found: DataFrame, key: str = "query_id") -> DataFrame:
@@ -111,11 +238,59 @@ def nearest(found: DataFrame, key: str = "query_id") -> DataFrame:
     return found.withColumn("__r", F.rank().over(W.partitionBy(key).orderBy("distance"))).filter("__r = 1").drop("__r")
 
 
-def jump_fold(steps: str):
-    """(jumps, priority) of an array column of arrays of priorities, one a step; the last step is left to the final hop.
-    cur sinks to the largest priority <= cur of each step; a step without one costs a jump to its least."""
+def entries(found: DataFrame, ranges: DataFrame, backbone: bool) -> DataFrame:
+    """Where walks towards to_release begin on synonyms: found (query_id, node, to_release, target, steps) of any release
+    gives (query_id, entry, release, reverse, steps), for each gene id what lies nearest to to_release.
+
+    backbone: node is a gene itself. Then releases at which both live are preferred; an id without any is entered where
+    it lies nearest to the node's own end that is nearest to to_release."""
+    r = ranges.select(F.col("node").alias("target"), "start", "end")
+    key = ["query_id", "node", "to_release", "target"]
+    base = found.select(*key).distinct().withColumn("gene", split_id(F.col("target"))[0])
+    if backbone:
+        own = ranges.select("node", F.col("start").alias("s0"), F.col("end").alias("e0"))
+        both = base.join(r, "target").join(own, "node").filter((F.col("start") <= closed(F.col("e0"))) & (F.col("s0") <= closed(F.col("end"))))
+        both = both.withColumns({"start": F.greatest("start", "s0"), "end": opened(F.least(closed(F.col("end")), closed(F.col("e0"))))}).drop("s0", "e0")
+        first = entry_points(both, "to_release").withColumn("distance", F.abs(F.col("entry") - F.col("to_release")))
+        apart = base.join(first.select("query_id", "gene").distinct(), ["query_id", "gene"], "left_anti")
+        ends = apart.select("query_id", "node", "to_release").distinct().join(own, "node").groupBy("query_id", "node", "to_release").agg(
+            F.max(contains(F.col("s0"), F.col("e0"), F.col("to_release"))).alias("alive"), F.collect_set("s0").alias("s"), F.collect_set(closed(F.col("e0"))).alias("e"))
+        far = F.array_union("s", "e")
+        least = F.array_min(F.transform(far, lambda x: F.abs(x - F.col("to_release"))))
+        points = F.when(F.col("alive"), F.array("to_release")).otherwise(F.filter(far, lambda x: F.abs(x - F.col("to_release")) == least))
+        ends = ends.select("query_id", "node", "to_release", F.explode(points).alias("point"))
+        second = entry_points(apart.join(ends, ["query_id", "node", "to_release"]).join(r, "target"), "point")
+        second = second.withColumns({"distance": F.abs(F.col("entry") - F.col("point")), "reverse": F.col("to_release") <= F.col("entry")}).drop("point")
+        all_ = first.unionByName(second)
+    else:
+        all_ = entry_points(base.join(r, "target"), "to_release").withColumn("distance", F.abs(F.col("entry") - F.col("to_release")))
+    best = all_.withColumn("__r", F.rank().over(W.partitionBy("query_id", "gene").orderBy("distance"))).filter("__r = 1").select(*key, F.col("entry").alias("release"), "reverse").distinct()
+    return found.join(best, key).select("query_id", "node", "to_release", F.col("target").alias("entry"), "release", "reverse", "steps")
+
+
+def names_of(steps: str = "steps", types: str | None = None) -> Column:
+    """What a way through names passes that is not its own ends: no name may be passed twice."""
+    inner = F.transform(F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), lambda x: x["a"])
+    return F.array_distinct(inner)
+
+
+def jumper(conn: DataFrame, ranges: DataFrame, depth: int = 2, hub: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """The jump that walk() takes: from a gene through other names to other genes."""
+    def jump(nodes: DataFrame) -> DataFrame:
+        q = nodes.withColumn("query_id", F.concat_ws("|", "node", F.col("to_release").cast("string")))
+        found = synonyms(q.select("query_id", "node", F.lit("gene").alias("node_type"), F.lit(None).cast("int").alias("release")), conn, "gene", depth, hub)
+        found = cut(found.filter("distance > 0").join(q, "query_id").select("query_id", "node", "to_release", "target", "steps"), "jumps")
+        return entries(found, ranges, backbone=True).withColumn("via", names_of()).drop("query_id")
+
+    return jump
+
+
+def jump_fold(steps: str, start: str | None = None) -> Column:
+    """(jumps, cur) of an array of arrays of priorities, one a step; the last step is left to the final hop. cur begins
+    as the largest of the first step (or as column `start`), and sinks to the largest priority <= cur of each step; a
+    step without one costs a jump to its least."""
     s = F.col(steps)
-    start = F.struct(F.lit(0).alias("jumps"), F.array_min(F.element_at(s, 1)).alias("cur"))
+    first = F.array_max(F.get(s, F.lit(0))) if start is None else F.col(start)
 
     def step(acc, own):
         cur = F.least(acc["cur"], F.array_max(own))
@@ -123,21 +298,40 @@ def jump_fold(steps: str):
         below = F.array_max(F.filter(own, lambda x: x <= cur))
         return F.struct((acc["jumps"] + jump.cast("int")).alias("jumps"), F.when(jump, F.array_min(own)).otherwise(below).alias("cur"))
 
-    return F.aggregate(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), start, step)
+    return F.aggregate(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.struct(F.lit(0).alias("jumps"), first.alias("cur")), step)
+
+
+def scored(paths: DataFrame, genes: DataFrame, reduction: str = "mean", remove_na: str = "omit", empty: float | None = None) -> DataFrame:
+    """paths (query_id, target, path) with assembly_jump, external_jump, external_step, score, steps, last_pri and cur.
+    genes: (node, pri: the priorities of all assemblies of a gene), for paths without a step."""
+    through = F.col("path.key")
+    ext = F.size(F.filter(through, lambda k: k.isNull()))
+    runs = F.size(F.filter(F.sequence(F.lit(0), F.greatest(F.size("path") - 1, F.lit(0))), lambda i: F.get(through, i).isNull() & ((i == 0) | F.get(through, i - 1).isNotNull())))
+    p = paths.withColumns({"external_step": F.when(F.size("path") > 0, ext).otherwise(0), "external_jump": F.when(F.size("path") > 0, runs).otherwise(0), "score": path_score("path", reduction, remove_na, empty)})
+    p = p.withColumn("steps", F.size("path") - F.col("external_step"))
+    p = p.join(genes.select(F.col("node").alias("target"), F.col("pri").alias("__all")), "target", "left")
+    pri = F.when(F.size("path") > 0, F.col("path.pri")).otherwise(F.array(F.coalesce("__all", F.array(F.lit(1)))))
+    p = p.withColumn("__pri", pri).withColumn("__fold", jump_fold("__pri"))
+    return p.withColumns({"assembly_jump": F.col("__fold.jumps"), "cur": F.col("__fold.cur"), "last_pri": F.element_at("__pri", -1)}).drop("__pri", "__fold", "__all")
 
 
 def best_per_target(paths: DataFrame) -> DataFrame:
     """One path for each (query_id, target): least assembly jumps, external jumps and steps, best score (unknown last),
     fewest steps, then by path."""
-    w = W.partitionBy("query_id", "target").orderBy("assembly_jump", "external_jump", "external_step", F.col("score").desc_nulls_last(), "steps", "path")
+    text = path_text() if paths.schema["path"].dataType.typeName() == "array" else F.col("path")
+    w = W.partitionBy("query_id", "target").orderBy("assembly_jump", "external_jump", "external_step", F.col("score").desc_nulls_last(), "steps", text)
     return paths.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
+#: Columns by which targets are ranked, the most important first; all are better when smaller.
+TARGET_KEYS = ["confidence", "final_min_pri", "assembly_jump", "external_jump", "min_pri", "neg_pri", "neg_final_pri"]
+
+
 def choose_targets(best: DataFrame) -> DataFrame:
-    """Of a query's targets those of the least keys, all ties; of these the query itself, if it is one."""
-    w = W.partitionBy("query_id").orderBy("confidence", "assembly_jump", "external_jump", F.desc("n_final"))
+    """Of a query's (target, final) those of the least keys, all ties; of these the query's own name, if it is a final."""
+    w = W.partitionBy("query_id").orderBy(*TARGET_KEYS)
     d = best.withColumn("__r", F.rank().over(w)).filter("__r = 1").drop("__r")
-    own = F.col("target") == F.col("node")
+    own = F.col("final") == F.col("node")
     return d.withColumn("__any", F.max(own).over(W.partitionBy("query_id"))).filter(own | ~F.col("__any")).drop("__any")
 
 

@@ -56,11 +56,21 @@ def availability(conn: DataFrame) -> DataFrame:
     return conn.groupBy("db", "assembly").agg(text_set("release").alias("releases"), F.count_distinct("src").alias("n_names"))
 
 
+def richness_at(conn: DataFrame, by: tuple[str, ...] = ("release",)) -> DataFrame:
+    """(node, *by, externals, transcripts, translations) distinct neighbours of each gene, at each release: translations
+    by its transcripts, externals also by both of these."""
+    form = F.when(F.col("db") == "form_gene", "transcript").when(F.col("db") == "form_transcript", "translation").when(F.col("db") == "base", "base").otherwise("external")
+    c = conn.select("src", "dst", form.alias("form"), *by).distinct().filter("form <> 'base'")
+    gene = c.filter("form = 'transcript'").select(F.col("dst").alias("gene"), F.col("src").alias("mid"), *by)
+    below = c.join(gene.withColumnRenamed("mid", "dst"), ["dst", *by]).select("gene", "src", "form", *by)
+    lower = c.filter("form = 'external'").join(below.filter("form = 'translation'").select("gene", F.col("src").alias("dst"), *by), ["dst", *by]).select("gene", "src", "form", *by)
+    others = c.filter("form in ('transcript', 'translation')").select(F.col("src").alias("dst")).distinct()
+    direct = c.filter("form <> 'translation'").join(others, "dst", "left_anti").select(F.col("dst").alias("gene"), "src", "form", *by)
+    every = direct.unionByName(below).unionByName(lower)
+    n = lambda x: F.count_distinct(F.when(F.col("form") == x, F.col("src")))
+    return every.groupBy(F.col("gene").alias("node"), *by).agg(n("external").alias("externals"), n("transcript").alias("transcripts"), n("translation").alias("translations"))
+
+
 def richness(conn: DataFrame) -> DataFrame:
-    """(node, externals, transcripts, translations) distinct neighbours of each gene; translations by its transcripts."""
-    ext = F.when(~F.col("db").startswith("form_"), F.col("src"))
-    gene = conn.filter("db <> 'form_transcript'").groupBy(F.col("dst").alias("node")).agg(F.count_distinct(ext).alias("externals"), F.count_distinct(F.when(F.col("db") == "form_gene", F.col("src"))).alias("transcripts"))
-    up = conn.filter("db = 'form_gene'").select(F.col("dst").alias("node"), F.col("src").alias("transcript")).distinct()
-    below = conn.filter("db = 'form_transcript'").select(F.col("dst").alias("transcript"), F.col("src").alias("translation")).distinct()
-    p = up.join(below, "transcript").groupBy("node").agg(F.count_distinct("translation").alias("translations"))
-    return gene.join(p, "node", "left").withColumn("translations", F.coalesce("translations", F.lit(0)))
+    """(node, externals, transcripts, translations) over all releases."""
+    return richness_at(conn, ())

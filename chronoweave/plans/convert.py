@@ -5,10 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.temporal import backbone
+from ..functions.temporal import backbone, direction, entry_points, to_ranges
 from ..operators import graph, search
+from ..operators.prep import prefer
+from ..operators.summary import richness_at
+from ..schema import PRIORITY
 from ..session import cut
 
 
@@ -27,55 +31,168 @@ def build(ids: DataFrame, events: DataFrame, xref: DataFrame, relation: DataFram
     return Tables(h, cut(graph.connection_edges(xref, relation), "connections"), graph.nodes(ids), backbone(graph.edge_events(h), ["node"]))
 
 
-def to_gene(t: Tables, queries: DataFrame) -> DataFrame:
-    """(query_id, node, target, path, steps, score) for queries (query_id, node, from_release, to_release) on genes, the
-    best path for each target; forwards or backwards by the releases."""
-    q = search.alive(t.ranges, queries.select("query_id", "node", "from_release", "to_release"))
-    ahead = search.walk(q.filter("from_release <= to_release"), t.history)
-    behind = search.walk(q.filter("from_release > to_release"), t.history, back=True)
-    paths = ahead.unionByName(behind).withColumns({k: F.lit(0) for k in ("assembly_jump", "external_jump", "external_step")})
-    return search.best_per_target(paths).join(queries.select("query_id", "node"), "query_id").select("query_id", "node", "target", "path", "steps", "score")
-
-
-def from_external(t: Tables, queries: DataFrame) -> DataFrame:
-    """Queries on external names as queries on the genes they name at from_release; those without one there take the
-    genes of any release, which is the ladder's relaxed stage. Adds stage (0 strict, 1 relaxed)."""
-    c = t.connections.filter(~F.col("db").startswith("form_")).select(F.col("src").alias("name"), F.col("dst").alias("node"), "release")
-    strict = queries.join(c, (F.col("query_id") == F.col("name")) & (F.col("from_release") == F.col("release"))).select(*queries.columns, "node", F.lit(0).alias("stage")).distinct()
-    left = queries.join(strict.select("query_id").distinct(), "query_id", "left_anti")
-    relaxed = left.join(c, F.col("query_id") == F.col("name")).select(*queries.columns, "node", F.lit(1).alias("stage")).distinct()
-    return strict.unionByName(relaxed)
-
-
-def to_database(t: Tables, genes: DataFrame, db: str) -> DataFrame:
-    """(query_id, node, target, final, confidence): names of the targets in db; 0 at to_release, 1 at any release, else the
-    target itself with NULL (no target)."""
-    c = t.connections.filter(F.col("db") == db).select(F.col("dst").alias("target"), F.col("src").alias("final"), "release").distinct()
-    at = genes.join(c.withColumnRenamed("release", "to_release"), ["target", "to_release"]).select("query_id", "node", "target", "final", F.lit(0).alias("confidence")).distinct()
-    rest = genes.join(at.select("query_id", "target").distinct(), ["query_id", "target"], "left_anti")
-    any_ = rest.join(c.select("target", "final").distinct(), "target", "left")
-    some = any_.select("query_id", "node", "target", F.coalesce("final", "target").alias("final"), F.when(F.col("final").isNotNull(), F.lit(1)).alias("confidence")).distinct()
-    return at.unionByName(some)
-
-
-def convert(t: Tables, queries: DataFrame, db: str | None = None) -> DataFrame:
-    """End to end for queries (query_id, from_release, to_release): names are resolved, external ones go to genes, genes
-    through history, and on to db; without db the gene is the result. One row for each query, target and name; a query
-    without a node or a path has a row with a NULL target and its status."""
-    base = queries.select("query_id", "from_release", "to_release")
-    gene = t.nodes.select("node").join(base, F.col("node") == F.col("query_id")).select("query_id", "from_release", "to_release", "node")
-    names = search.resolve(base.join(gene.select("query_id"), "query_id", "left_anti").select("query_id"), t.connections.select("src").distinct())
-    known = names.filter("node is not null").withColumnsRenamed({"query": "query_id", "node": "name"}).join(base, "query_id")
-    ext = from_external(t, known.select(F.col("name").alias("query_id"), "from_release", "to_release").distinct()).withColumnRenamed("query_id", "name")
-    ext = known.join(ext, ["name", "from_release", "to_release"]).select("query_id", "from_release", "to_release", "node", "stage")
-    start = cut(gene.withColumn("stage", F.lit(0)).unionByName(ext), "start").withColumn("key", F.concat_ws("|", "query_id", "node", F.col("from_release").cast("string"), F.col("to_release").cast("string")))
-    went = to_gene(t, start.select(F.col("key").alias("query_id"), "node", "from_release", "to_release"))
-    got = start.join(went.select(F.col("query_id").alias("key"), "target", "steps", "score"), "key").select("query_id", "node", "to_release", "target", "steps", "score").distinct()
-    final = to_database(t, got.select("query_id", "node", "target", "to_release"), db) if db else got.select("query_id", "node", "target", F.col("target").alias("final"), F.lit(0).alias("confidence"))
-    out = base.select("query_id").distinct().join(final, "query_id", "left")
-    seen = start.select("query_id").distinct().withColumn("__seen", F.lit(True))
+INT_MAX = 2147483647
+NODE = ("gene", "transcript", "translation", "base", "external")
+
+
+def node_types(t: Tables) -> DataFrame:
+    """(node, node_type) of all that has a connection or a history; a gene is a gene, whatever else bears its name."""
+    ends = search.typed(t.connections).select(F.col("src").alias("node"), F.col("src_type").alias("node_type"))
+    genes = t.nodes.select("node", F.lit("gene").alias("node_type"))
+    order = F.array_position(F.array(*map(F.lit, NODE)), F.col("node_type"))
+    best = ends.unionByName(genes).groupBy("node").agg(F.min_by("node_type", order).alias("node_type"))
+    return best
+
+
+def all_ranges(t: Tables) -> DataFrame:
+    """(node, start, end): genes as they live in history, others as they are connected."""
+    genes = t.nodes.select("node").distinct()
+    others = t.connections.select(F.col("src").alias("node"), "release").join(genes, "node", "left_anti")
+    return t.ranges.select("node", "start", "end").unionByName(to_ranges(others, ["node"]).select("node", "start", "end"))
+
+
+def started(t: Tables, queries: DataFrame) -> DataFrame:
+    """(qid, query_id, node, node_type, release, to_release, reverse) for queries (query_id, from_release, to_release):
+    names are resolved; a query without from_release begins where its node lives nearest to to_release, both ways if
+    that lies inside its life. Queries without a node are left out."""
+    types = cut(node_types(t), "types")
+    last = F.broadcast(t.connections.agg(F.max("release").alias("__last")))  # one row
+    q = queries.select("query_id", F.col("from_release").cast("int").alias("from_release"), F.col("to_release").cast("int").alias("to_release")).distinct().crossJoin(last)
+    q = q.withColumn("to_release", F.coalesce("to_release", "__last")).drop("__last")
+    q = q.withColumn("qid", F.concat_ws("|", "query_id", F.coalesce(F.col("from_release").cast("string"), F.lit("")), F.col("to_release").cast("string")))
+    names = search.resolve(q.select("query_id"), types.select("node")).filter("node is not null").select(F.col("query").alias("query_id"), "node")
+    q = cut(q.join(names, "query_id").join(types, "node"), "known")
+    given = q.filter("from_release is not null").select("qid", "query_id", "node", "node_type", F.col("from_release").alias("release"), "to_release", (F.col("from_release") > F.col("to_release")).alias("reverse"))
+    open_ = q.filter("from_release is null")
+    points = entry_points(open_.join(all_ranges(t), "node"), "to_release")
+    way = direction(points, ["qid", "query_id", "node", "node_type", "to_release"])
+    both = F.array_compact(F.array(F.when(F.col("forward_from").isNotNull(), F.struct(F.col("forward_from").alias("release"), F.lit(False).alias("reverse"))), F.when(F.col("reverse_from").isNotNull(), F.struct(F.col("reverse_from").alias("release"), F.lit(True).alias("reverse")))))
+    inferred = way.withColumn("w", F.explode(both)).select("qid", "query_id", "node", "node_type", "w.release", "to_release", "w.reverse")
+    return given.unionByName(inferred)
+
+
+def _paths(t: Tables, rows: DataFrame, any_release: bool, jump, depth: int, hub: int | None, jump_limit: int) -> DataFrame:
+    """(qid, target, path) of started() rows: genes walk from where they are, others from the genes that they name at
+    their release (with any_release, or where that gives none, at any)."""
+    genes = rows.filter("node_type = 'gene'").select(F.col("qid").alias("query_id"), "node", "release", "to_release", "reverse", F.array().cast(f"array<{search.STEP}>").alias("path"), F.array().cast("array<string>").alias("via"))
+    others = rows.filter("node_type <> 'gene'")
+    starts = genes
+    if not others.isEmpty():
+        own = others.withColumn("rid", F.concat_ws("|", "qid", F.col("reverse").cast("string")))
+        ask = own.select(F.col("rid").alias("query_id"), "node", "node_type", "release")
+        parts, rest = [], own
+        if not any_release:
+            found = cut(search.synonyms(ask, t.connections, "gene", depth, hub, ranges=t.ranges), "strict")
+            parts.append(found.withColumnRenamed("query_id", "rid").join(own, "rid").select("qid", "node", F.col("target").alias("entry"), "release", "to_release", (F.col("release") > F.col("to_release")).alias("reverse"), "steps"))
+            rest = own.join(found.select(F.col("query_id").alias("rid")).distinct(), "rid", "left_anti")
+        if not rest.isEmpty():
+            found = search.synonyms(rest.select(F.col("rid").alias("query_id"), "node", "node_type", F.lit(None).cast("int").alias("release")), t.connections, "gene", depth, hub)
+            found = cut(found.join(rest.select(F.col("rid").alias("query_id"), "node", "to_release"), "query_id"), "any")
+            at = search.entries(found, t.ranges, backbone=False)
+            parts.append(at.withColumnRenamed("query_id", "rid").join(rest.select("rid", "qid"), "rid").select("qid", "node", "entry", "release", "to_release", "reverse", "steps"))
+        for part in parts:
+            names = F.array_union(F.array("node"), search.names_of())
+            starts = starts.unionByName(part.select(F.col("qid").alias("query_id"), F.col("entry").alias("node"), "release", "to_release", "reverse", F.col("steps").alias("path"), names.alias("via")))
+    return search.walk(starts.distinct(), t.history, jump, jump_limit).withColumnRenamed("query_id", "qid")
+
+
+def possible_paths(t: Tables, rows: DataFrame, go_external: bool = True, depth: int = 2, deeper: int = 2, jump_limit: int = 2, hub: int | None = None) -> DataFrame:
+    """(qid, target, path, stage) of started() rows by a ladder of ever looser searches, each for what the ones before
+    left without a path: 0 history only, 1 with jumps through names, 2 and 3 the same from any release of a name."""
+    out, rest = None, rows
+    for stage, (any_release, jumps) in enumerate([(False, False), (False, True), (True, False), (True, True)]):
+        if jumps and not go_external:
+            continue
+        if any_release:  # changes nothing for genes
+            rest = rest.filter("node_type <> 'gene'")
+        for d in range(depth, depth + deeper + 1) if jumps else [depth]:
+            if rest.isEmpty():
+                break
+            jump = search.jumper(t.connections, t.ranges, d, hub) if jumps else None
+            got = cut(_paths(t, rest, any_release, jump, d, hub, jump_limit).withColumn("stage", F.lit(stage)), "paths")
+            out = got if out is None else out.unionByName(got)
+            rest = cut(rest.join(got.select("qid").distinct(), "qid", "left_anti").select(*rest.columns), "rest")
+    if out is None:
+        out = _paths(t, rows, False, None, depth, hub, jump_limit).withColumn("stage", F.lit(0))
+    return out
+
+
+def to_gene(t: Tables, rows: DataFrame, reduction: str = "mean", remove_na: str = "omit", empty: float | None = None, **ladder) -> DataFrame:
+    """(qid, target, path, stage, ...): the best path to each gene with its scores."""
+    pri = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
+    genes = t.connections.groupBy(F.col("dst").alias("node")).agg(F.array_sort(F.collect_set(pri[F.col("assembly")])).alias("pri"))
+    paths = possible_paths(t, rows, **ladder).withColumnRenamed("qid", "query_id")
+    return search.best_per_target(search.scored(paths, genes, reduction, remove_na, empty)).withColumnRenamed("query_id", "qid")
+
+
+def priorities_at(connections: DataFrame) -> DataFrame:
+    """(target, to_release, final_pri): assemblies that know a gene at a release, as sorted priorities."""
+    pri = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
+    return connections.groupBy(F.col("dst").alias("target"), F.col("release").alias("to_release")).agg(F.array_sort(F.collect_set(pri[F.col("assembly")])).alias("final_pri"))
+
+
+def to_database(t: Tables, genes: DataFrame, db: str | None, alternative: bool = True, hub: int | None = None) -> DataFrame:
+    """(target, to_release, final, confidence, pris, final_pri) for genes (target, to_release): the names in db that the
+    main assembly has at to_release (confidence 0), else those that it reaches by connections of any release whose last
+    is of to_release (1), else with `alternative` the gene itself (NULL). Without db the gene is the result."""
+    genes = genes.select("target", "to_release").distinct()
+    at = priorities_at(t.connections)
+    own = genes.join(at, ["target", "to_release"], "left").withColumn("final_pri", F.coalesce("final_pri", F.array(F.lit(INT_MAX))))
+    own = own.select("target", "to_release", F.col("target").alias("final"), F.array().cast("array<array<int>>").alias("pris"), "final_pri")
+    if db is None:
+        return own.withColumn("confidence", F.lit(0))
+    key = F.concat_ws("|", "target", F.col("to_release").cast("string"))
+    genes = cut(genes.withColumn("query_id", key), "genes")
+    main = min(PRIORITY, key=PRIORITY.get)
+    out, rest = None, genes
+    for confidence, release in enumerate((F.col("to_release"), F.lit(None).cast("int"))):
+        ask = rest.select("query_id", F.col("target").alias("node"), F.lit("gene").alias("node_type"), release.alias("release"))
+        found = search.synonyms(ask, t.connections, "external", 2, hub, db, shallow=True).withColumnRenamed("target", "final").join(rest, "query_id")
+        ends = F.exists("last", lambda f: (f["db"] == db) & (f["assembly"] == main) & (f["release"] == F.col("to_release")))
+        found = found.filter(F.exists("steps", lambda x: F.array_contains(x["pri"], PRIORITY[main])) & ends)
+        found = cut(found.select("query_id", "target", "to_release", "final", F.col("steps.pri").alias("pris"), F.element_at("steps.pri", -1).alias("final_pri"), F.lit(confidence).alias("confidence")), "named")
+        rest = cut(rest.join(found.select("query_id").distinct(), "query_id", "left_anti").select(*rest.columns), "unnamed")
+        out = found if out is None else out.unionByName(found)
+    out = out.drop("query_id").distinct()
+    if alternative:
+        alone = own.join(rest.select("target", "to_release"), ["target", "to_release"])
+        out = out.unionByName(alone.withColumn("confidence", F.lit(None).cast("int")))
+    return out
+
+
+def convert(t: Tables, queries: DataFrame, db: str | None = None, one: bool = False, return_path: bool = False, alternative: bool = True, low: str | None = "lrg", reduction: str = "mean", remove_na: str = "omit", empty: float | None = None, hub: int | None = None, **ladder) -> DataFrame:
+    """End to end for queries (query_id, from_release or NULL, to_release or NULL for the last): names are resolved,
+    names of other kinds go to genes, genes through history (possible_paths), and on to db; without db the gene is the
+    result. One row for each query, target and final name; a query without a node or a path has a row with a NULL target
+    and its status. `one` keeps the best targets only (choose_targets). Genes whose names begin with `low` stay only
+    where there is no other. return_path adds path, stage and the scores."""
+    rows = cut(started(t, queries), "started")
+    best = cut(to_gene(t, rows, reduction, remove_na, empty, hub=hub, **ladder), "best")
+    best = best.join(rows.select("qid", "query_id", "node", "to_release").distinct(), "qid")
+    if low is not None:
+        best = prefer(best, "qid", F.lower("target").startswith(low))
+    best = cut(best, "targets")
+    final = to_database(t, best, db, alternative, hub)
+    got = best.join(final, ["target", "to_release"])
+    got = got.withColumn("__hop", F.concat(F.array("last_pri"), "pris")).withColumn("__add", F.when(F.size("pris") > 0, search.jump_fold("__hop", "cur")["jumps"]).otherwise(0))
+    keys = {"final_min_pri": F.array_min("final_pri"), "assembly_jump": F.col("assembly_jump") + F.col("__add"), "min_pri": F.array_min("last_pri"), "neg_pri": -F.size("last_pri"), "neg_final_pri": -F.size("final_pri")}
+    got = got.withColumns(keys)
+    # Two ways to one name differ in their keys only: the better one counts.
+    w = W.partitionBy("qid", "target", "final").orderBy(F.coalesce("confidence", F.lit(INT_MAX)), *search.TARGET_KEYS[1:], search.path_text())
+    got = got.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__hop", "__add")
+    if one:
+        ranked = got.withColumns({"confidence": F.coalesce("confidence", F.lit(INT_MAX)), "query_id": F.col("qid"), "__q": F.col("query_id")})
+        d = search.choose_targets(ranked)
+        rich = richness_at(t.connections).select(F.col("node").alias("target"), F.col("release").alias("to_release"), "externals", "transcripts", "translations")
+        counts = [F.coalesce(c, F.lit(0)).desc() for c in ("externals", "transcripts", "translations")]
+        d = d.join(rich, ["target", "to_release"], "left").withColumn("__r", F.rank().over(W.partitionBy("qid").orderBy(*counts))).filter("__r = 1")
+        got = d.withColumns({"query_id": F.col("__q"), "confidence": F.when(F.col("confidence") < INT_MAX, F.col("confidence"))}).select(*got.columns)
+    extra = ["path", "stage", "score", "assembly_jump", "external_jump", "external_step", "steps"] if return_path else []
+    got = got.withColumn("path", search.path_text()).select("query_id", "node", "target", "final", "confidence", *extra).distinct()
+    out = queries.select("query_id").distinct().join(got, "query_id", "left")
+    seen = rows.select("query_id").distinct().withColumn("__seen", F.lit(True))
     status = F.when(F.col("target").isNotNull() & F.col("confidence").isNotNull(), "converted").when(F.col("target").isNotNull(), "no_target").when(F.col("__seen"), "no_conversion").otherwise("no_corresponding")
-    return out.join(seen, "query_id", "left").select("query_id", "node", "target", "final", "confidence", status.alias("status"))
+    return out.join(seen, "query_id", "left").select("query_id", "node", "target", "final", "confidence", *extra, status.alias("status"))
 
 
 def bins(converted: DataFrame) -> DataFrame:
