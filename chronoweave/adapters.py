@@ -23,6 +23,11 @@ RELATION = """SELECT DISTINCT i.release, concat(i.stable_id, '.', CAST(i.version
   concat('T', CAST(x.o_orderkey AS string)) AS transcript,
   CASE WHEN x.l_linenumber = 7 THEN NULL ELSE concat('L', CAST(x.o_orderkey AS string), '-', CAST(x.l_linenumber AS string)) END AS translation
 FROM lines x JOIN ids i ON x.stable_id = i.stable_id AND x.release = i.release"""
+#: Both of these in one row, of each line.
+LINKED = """SELECT i.release, concat(i.stable_id, '.', CAST(i.version AS string)) AS gene, concat('P', CAST(x.l_partkey AS string)) AS id_db, p.p_brand AS name_db,
+  CASE WHEN x.l_linestatus = 'O' THEN 38 ELSE 37 END AS assembly, concat('T', CAST(x.o_orderkey AS string)) AS transcript,
+  CASE WHEN x.l_linenumber = 7 THEN NULL ELSE concat('L', CAST(x.o_orderkey AS string), '-', CAST(x.l_linenumber AS string)) END AS translation
+FROM lines x JOIN part p ON x.l_partkey = p.p_partkey JOIN ids i ON x.stable_id = i.stable_id AND x.release = i.release"""
 #: Every tenth customer hands over to the next one at its last release; every seventh has a lossy self-loop.
 HISTORY = f"""SELECT a.stable_id AS old_id, a.version AS old_version, b.stable_id AS new_id, b.version AS new_version,
   (k % 100) / CAST(100 AS double) AS score, a.release AS old_release, b.release AS new_release
@@ -33,7 +38,7 @@ UNION ALL
 SELECT a.stable_id, a.version, b.stable_id, b.version, (a.k % 100) / CAST(100 AS double), a.release, b.release
 FROM (SELECT *, CAST(substr(stable_id, 2) AS int) AS k FROM ids) a JOIN ids b ON a.stable_id = b.stable_id AND b.release = a.release + 1 AND a.version = b.version
 WHERE a.k % 7 = 0"""
-DERIVED = {"ids": ((), IDS), "lines": ((), LINES), "xref": (("lines", "ids"), XREF), "relation": (("lines", "ids"), RELATION), "history": (("ids",), HISTORY)}
+DERIVED = {"ids": ((), IDS), "lines": ((), LINES), "xref": (("lines", "ids"), XREF), "relation": (("lines", "ids"), RELATION), "linked": (("lines", "ids"), LINKED), "history": (("ids",), HISTORY)}
 RAW = ("orders", "lineitem", "part", "customer", "supplier", "nation", "region", "events", "documents")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,6 @@ from .functions import ids as fid
 from .functions import temporal as ft
 from .operators import graph, harmonize, prep, qa, search, summary
 from .plans import convert as plan
-from .session import cut
 from .sources import store
 from .streaming import releases as streams
 
@@ -83,10 +81,10 @@ class T:
     def __getattr__(self, name: str) -> DataFrame:
         return adapters.table(self.spark, self.sf, name)
 
-    @cached_property
+    @property
     def edges(self) -> DataFrame:
-        ids = cut(self.ids, "ids")
-        return cut(graph.history_edges(ids, adapters.history_of(self.spark, ids)), "edges")
+        ids = self.ids
+        return graph.history_edges(ids, adapters.history_of(self.spark, ids))
 
     @property
     def ranges(self) -> DataFrame:
@@ -94,7 +92,7 @@ class T:
 
     @property
     def conn(self) -> DataFrame:
-        return graph.connection_edges(self.xref, self.relation)
+        return graph.connections_of(self.linked)
 
     @property
     def matches(self) -> DataFrame:
@@ -206,7 +204,7 @@ query("lossy_loops", "SELECT * FROM e_loop", "e_loop")(on(lambda t: graph.lossy_
 query("branch_edges", "SELECT * FROM e_branch", "e_branch")(on(lambda t: graph.branch_edges(t.history, 0)))
 query("open_loops", "SELECT * FROM e_open", "e_open")(on(lambda t: graph.open_loops(t.ids, t.history)))
 query("history_edges", "SELECT * FROM edges", "edges")(on(lambda t: t.edges))
-query("connection_edges", "SELECT * FROM conn", "conn")(on(lambda t: graph.checked(t.conn)))
+query("connection_edges", "SELECT * FROM conn", "conn")(on(lambda t: graph.connection_edges(t.xref, t.relation)))
 query("graph_nodes", f"SELECT {V} AS node, stable_id AS id, CAST(version AS string) AS version, 'gene' AS node_type, max(release) = (SELECT max(release) FROM ids) AS is_latest FROM ids GROUP BY stable_id, version", "ids")(on(lambda t: graph.nodes(t.ids)))
 query("base_edges", f"SELECT DISTINCT stable_id AS src, {V} AS dst, 'base' AS db, 38 AS assembly, release FROM ids", "ids")(on(lambda t: graph.base_edges(t.ids)))
 query("problem_nodes", f"SELECT DISTINCT node FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) WHERE node NOT LIKE '%.Void' AND node NOT LIKE '%.Retired' AND node NOT IN (SELECT {V} FROM ids WHERE release < 18)", "edges")(on(lambda t: graph.problem_nodes(t.edges, t.ids.filter("release < 18"))))

@@ -119,7 +119,7 @@ def history_edges(ids: DataFrame, events: DataFrame, first: int = 0) -> DataFram
     e = branch_edges(events, first).unionByName(lossy_loops(events)).distinct()
     known = ids.select(versioned(F.col("stable_id"), F.col("version")).alias("src")).distinct()
     e = e.join(known, "src", "left_semi").join(known.withColumnRenamed("src", "dst"), "dst", "left_semi").select(*EDGE)
-    return e.unionByName(weighted(step_edges(ids), events)).unionByName(open_loops(ids, events)).distinct()
+    return e.unionByName(weighted(step_edges(ids), events)).unionByName(open_loops(ids, events))
 
 
 def problem_nodes(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -129,16 +129,26 @@ def problem_nodes(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return n.filter(~F.col("node").rlike(r"\.(Void|Retired)$")).join(known, "node", "left_anti")
 
 
-def connection_edges(xref: DataFrame, relation: DataFrame) -> DataFrame:
-    x = xref.select(F.col("id_db").alias("src"), F.col("graph_id").alias("dst"), F.col("name_db").alias("db"), "assembly", "release")
-    r = relation.filter("transcript is not null").select(F.col("transcript").alias("src"), F.col("gene").alias("dst"), F.lit("form_gene").alias("db"), F.lit(38).alias("assembly"), "release")
-    t = relation.filter("translation is not null").select(F.col("translation").alias("src"), F.col("transcript").alias("dst"), F.lit("form_transcript").alias("db"), F.lit(38).alias("assembly"), "release")
-    return x.unionByName(r).unionByName(t).distinct()
+def connection_edges(xref: DataFrame, relation: DataFrame, main: int = 38) -> DataFrame:
+    """External names, transcripts and translations to what they name; kinds cannot clash, so each is made distinct on
+    its own."""
+    x = xref.select(F.col("id_db").alias("src"), F.col("graph_id").alias("dst"), F.col("name_db").alias("db"), "assembly", "release").distinct()
+    r = relation.filter("transcript is not null").select(F.col("transcript").alias("src"), F.col("gene").alias("dst"), F.lit("form_gene").alias("db"), F.lit(main).alias("assembly"), "release").distinct()
+    t = relation.filter("translation is not null").select(F.col("translation").alias("src"), F.col("transcript").alias("dst"), F.lit("form_transcript").alias("db"), F.lit(main).alias("assembly"), "release").distinct()
+    return x.unionByName(r).unionByName(t)
 
 
-def checked(conn: DataFrame) -> DataFrame:
-    """Adding the same fact twice is an error."""
-    return assert_unique(conn, "src", "dst", "db", "assembly", "release")
+def connections_of(rows: DataFrame, main: int = 38) -> DataFrame:
+    """connection_edges() of rows that hold a cross-reference and a relation each (id_db, name_db, assembly, gene,
+    transcript, translation, release): one pass, one shuffle."""
+    edge = lambda src, dst, db, assembly: F.when(F.col(src).isNotNull(), F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), db.alias("db"), assembly.alias("assembly"), "release"))
+    own = F.array_compact(F.array(edge("id_db", "gene", F.col("name_db"), F.col("assembly")), edge("transcript", "gene", F.lit("form_gene"), F.lit(main)), edge("translation", "transcript", F.lit("form_transcript"), F.lit(main))))
+    return rows.select(F.explode(own).alias("e")).select("e.*").distinct()
+
+
+def checked(facts: DataFrame) -> DataFrame:
+    """facts to be added to a graph; the same fact twice is an error."""
+    return assert_unique(facts, "src", "dst", "db", "assembly", "release")
 
 
 def nodes(ids: DataFrame) -> DataFrame:
