@@ -118,7 +118,7 @@ def on(fn: Callable[[T], DataFrame]):
 query("scan_project_filter", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")(on(lambda t: t.orders.filter("o_orderstatus = 'F' and o_totalprice > 100000").select("o_orderkey", "o_custkey")))
 query("release_window", "SELECT release, stable_id, version FROM ids WHERE release BETWEEN 9 AND 14", "ids")(on(lambda t: t.ids.filter(F.col("release").between(9, 14))))
 query("allowlist_semi", "SELECT * FROM xref WHERE name_db IN (SELECT p_brand FROM part WHERE p_size = 50)", "xref")(on(lambda t: prep.allow_list(t.xref, "name_db", t.part.filter("p_size = 50").select("p_brand"))))
-query("allowlist_missing", "SELECT count(*) AS n FROM (SELECT DISTINCT p_brand FROM part) WHERE p_brand NOT IN (SELECT name_db FROM xref)", "xref")(on(lambda t: prep.absent_from(t.xref, "name_db", t.part.select("p_brand")).agg(F.count("*").alias("n"))))
+query("allowlist_missing", "SELECT DISTINCT p_brand AS name_db FROM (SELECT p_brand FROM part UNION ALL SELECT concat('No', p_brand) FROM part WHERE p_size > 25) WHERE p_brand NOT IN (SELECT name_db FROM xref)", "xref")(on(lambda t: prep.absent_from(t.xref, "name_db", t.part.select("p_brand").union(t.part.filter("p_size > 25").select(F.concat(F.lit("No"), "p_brand"))))))
 _SPELLINGS = ", ".join("'" + x + "'" for x in fid.MISSING)
 query("missing_value_normalise", f"SELECT k, CASE WHEN s IS NULL OR list_contains([{_SPELLINGS}], s) THEN '_PLACEHOLDER_NA_' ELSE s END AS segment FROM (SELECT CAST(c_custkey AS bigint) AS k, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN ' unknown ' WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS s FROM customer UNION ALL SELECT CAST(i AS bigint), [{_SPELLINGS}][i] FROM range(1, {len(fid.MISSING) + 1}) AS u(i))")(
     on(lambda t: t.customer.select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, None).when(F.col("c_custkey") % 7 == 0, " unknown ").when(F.col("c_custkey") % 3 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("s")).unionByName(
@@ -126,8 +126,8 @@ query("missing_value_normalise", f"SELECT k, CASE WHEN s IS NULL OR list_contain
 query("numeric_check", "SELECT count(*) FILTER (WHERE try_cast(s AS double) IS NOT NULL) AS numeric, count(*) FILTER (WHERE try_cast(s AS double) IS NULL) AS other FROM (SELECT CASE WHEN p_partkey % 9 = 0 THEN p_brand ELSE CAST(p_size AS string) END AS s FROM part)")(
     on(lambda t: t.part.select(fid.is_numeric(F.when(F.col("p_partkey") % 9 == 0, F.col("p_brand")).otherwise(F.col("p_size").cast("string"))).alias("ok")).agg(F.sum(F.col("ok").cast("long")).alias("numeric"), F.sum((~F.col("ok")).cast("long")).alias("other"))))
 query("null_normalise", "SELECT old_id, old_release, nullif(score, 0) AS score, coalesce(nullif(new_id, ''), 'none') AS new_id FROM history", "history")(on(lambda t: t.history.select("old_id", "old_release", fid.zero_to_null(F.col("score")).alias("score"), F.coalesce(F.nullif("new_id", F.lit("")), F.lit("none")).alias("new_id"))))
-query("case_insensitive_equality", "SELECT count(*) AS n FROM part a JOIN (SELECT DISTINCT p_brand AS b FROM part) x ON lower(a.p_brand) = lower(upper(x.b))")(on(lambda t: t.part.join(t.part.select(F.upper("p_brand").alias("b")).distinct(), F.lower("p_brand") == F.lower("b")).agg(F.count("*").alias("n"))))
-query("delimiter_absence", "SELECT count(*) AS n FROM ids WHERE position('.' IN stable_id) > 0", "ids")(on(lambda t: t.ids.filter(F.instr("stable_id", ".") > 0).agg(F.count("*").alias("n"))))
+query("case_insensitive_equality", "SELECT p_partkey, b FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN lower(p_brand) ELSE p_brand END AS b FROM part) WHERE lower(b) = 'brand#12'")(on(lambda t: t.part.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.lower("p_brand")).otherwise(F.col("p_brand")).alias("b")).filter(F.lower("b") == F.lower(F.lit("BRAND#12")))))
+query("delimiter_absence", "SELECT stable_id FROM (SELECT DISTINCT CASE WHEN release = 9 THEN concat(stable_id, '.', CAST(version AS string)) ELSE stable_id END AS stable_id FROM ids) WHERE position('.' IN stable_id) > 0", "ids")(on(lambda t: fid.with_delimiter(t.ids.select(F.when(F.col("release") == 9, fid.versioned(F.col("stable_id"), F.col("version"))).otherwise(F.col("stable_id")).alias("stable_id")).distinct(), "stable_id")))
 query("low_priority_filter", "SELECT graph_id, name_db FROM (SELECT *, max(CASE WHEN name_db NOT LIKE 'Brand#1%' THEN 1 ELSE 0 END) OVER (PARTITION BY graph_id) AS a FROM (SELECT DISTINCT graph_id, name_db FROM xref)) WHERE name_db NOT LIKE 'Brand#1%' OR a = 0", "xref")(
     on(lambda t: prep.prefer(t.xref.select("graph_id", "name_db").distinct(), "graph_id", F.col("name_db").startswith("Brand#1"))))
 query("versioned_names", "SELECT DISTINCT concat(stable_id, '.', CAST(version AS string)) AS node, stable_id AS id, CAST(version AS string) AS v FROM ids", "ids")(on(lambda t: t.ids.select(fid.versioned(F.col("stable_id"), F.col("version")).alias("node")).distinct().select("node", fid.split_id(F.col("node"))[0].alias("id"), fid.split_id(F.col("node"))[1].alias("v"))))
@@ -137,8 +137,8 @@ query("relation_left_joins", "SELECT DISTINCT concat('T', CAST(l.l_orderkey AS s
     on(lambda t: prep.relation(t.lineitem.select(F.col("l_orderkey").alias("gene_id"), F.col("l_orderkey").alias("transcript_id"), F.concat(F.lit("T"), F.col("l_orderkey").cast("string")).alias("transcript")).distinct(),
                                t.orders.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("gene_id"), F.concat(F.lit("G"), F.col("o_custkey").cast("string")).alias("gene")),
                                t.customer.select(F.col("c_custkey").alias("transcript_id"), F.col("c_name").alias("translation"))).select("transcript", "gene", "translation")))
-query("history_full_outer", "SELECT coalesce(e.old_release, s.r) AS k, count(e.old_id) AS n_events, count(s.r) AS n_sessions FROM history e FULL OUTER JOIN (SELECT DISTINCT release + 1 AS r FROM ids) s ON e.old_release = s.r GROUP BY 1", "history", "ids")(
-    on(lambda t: t.history.join(t.ids.select((F.col("release") + 1).alias("r")).distinct(), F.col("old_release") == F.col("r"), "full_outer").groupBy(F.coalesce("old_release", "r").alias("k")).agg(F.count("old_id").alias("n_events"), F.count("r").alias("n_sessions"))))
+query("history_full_outer", "SELECT DISTINCT e.old_id, e.new_id, nullif(e.score, 0) AS score, s.mapping_session_id, s.old_release, s.new_release FROM (SELECT *, old_release * 100 + new_release AS k FROM history) e FULL OUTER JOIN (SELECT release * 100 + release + 1 AS mapping_session_id, release AS old_release, release + 1 AS new_release FROM (SELECT DISTINCT release FROM ids)) s ON e.k = s.mapping_session_id WHERE s.old_release BETWEEN 8 AND 19 AND s.new_release BETWEEN 8 AND 19", "history", "ids")(
+    on(lambda t: prep.history(t.history.select("old_id", "new_id", "score", (F.col("old_release") * 100 + F.col("new_release")).alias("mapping_session_id")), t.ids.select("release").distinct().select((F.col("release") * 101 + 1).alias("mapping_session_id"), F.col("release").alias("old_release"), (F.col("release") + 1).alias("new_release")), 8, 19).select("old_id", "new_id", "score", "mapping_session_id", "old_release", "new_release")))
 query("xref_star_join", "SELECT DISTINCT p.p_brand AS name_db, concat('P', CAST(p.p_partkey AS string)) AS id_db, n.n_name AS graph_id, s.s_name FROM lineitem l LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey LEFT JOIN part p ON l.l_partkey = p.p_partkey WHERE n.n_name IS NOT NULL AND p.p_brand IS NOT NULL")(
     on(lambda t: prep.external(t.lineitem.select(F.col("l_suppkey").alias("ensembl_id"), F.col("l_partkey").alias("external_db_id")).distinct(),
                                t.supplier.select(F.col("s_suppkey").alias("ensembl_id"), F.col("s_nationkey").alias("xref_id"), F.col("s_suppkey").alias("object_xref_id")),
@@ -153,9 +153,38 @@ query("drop_all_duplicates", "SELECT graph_id, release, name_db FROM (SELECT *,
 query("dup_groups", "SELECT graph_id, release, name_db, id_db, assembly FROM (SELECT *, count(*) OVER (PARTITION BY graph_id, release, name_db) AS n FROM xref) WHERE n > 1", "xref")(on(lambda t: prep.only_copies(t.xref, ["graph_id", "release", "name_db"])))
 for _mode, _sql in {"all": "SELECT * FROM xref", "unique": "SELECT release, graph_id, id_db, name_db, max(assembly) AS assembly FROM xref GROUP BY ALL", "duplicated": "SELECT release, graph_id, id_db, name_db, assembly FROM (SELECT *, count(*) OVER (PARTITION BY release, graph_id, id_db, name_db) AS n FROM xref) WHERE n > 1"}.items():
     query(f"across_assemblies_{_mode}", _sql, "xref")(on(lambda t, m=_mode: prep.across_assemblies(t.xref, t.spark.createDataFrame([(38, 1), (37, 2)], "assembly int, priority int"), m)))
-query("db_counts", "SELECT name_db, count(*) AS n FROM xref GROUP BY 1", "xref")(on(lambda t: t.xref.groupBy("name_db").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name_db")))
-query("conn_summary", "SELECT src AS node, db, assembly, string_agg(DISTINCT CAST(release AS string), ',' ORDER BY CAST(release AS string)) AS releases, count(*) AS n FROM conn GROUP BY ALL", "conn")(
-    on(lambda t: t.conn.groupBy(F.col("src").alias("node"), "db", "assembly").agg(F.array_join(F.array_sort(F.collect_set(F.col("release").cast("string"))), ",").alias("releases"), F.count("*").alias("n"))))
+query("db_counts", "SELECT name_db, count(*) AS n FROM xref GROUP BY 1", "xref")(on(lambda t: summary.frequency(t.xref, "name_db")))
+query("conn_summary", "SELECT src AS node, db, assembly, string_agg(CAST(release AS string), ',' ORDER BY release) AS releases FROM (SELECT DISTINCT src, db, assembly, release FROM conn) GROUP BY ALL", "conn")(on(lambda t: summary.by_database(t.conn)))
+query("trios_of_sentinels", "SELECT node, 'assembly_38_gene' AS db, 38 AS assembly, r AS release FROM (SELECT dst AS node, new_release AS s, coalesce((SELECT min(b.old_release) FROM edges b WHERE b.src = a.dst AND b.old_release >= a.new_release), 20) AS e FROM edges a WHERE dst LIKE '%.Retired'), unnest(range(s, e + 1)) AS u(r) GROUP BY ALL", "edges")(
+    on(lambda t: summary.trios(t.conn.limit(0), graph.sentinel_ranges(t.edges), 20).select("node", "db", "assembly", "release")))
+query("external_nodes", "SELECT DISTINCT src AS node FROM conn WHERE db = 'Brand#23'", "conn")(on(lambda t: summary.external_nodes(t.conn, "Brand#23")))
+query("id_list_of_form", "SELECT DISTINCT dst AS node FROM conn WHERE assembly = 38 AND release = 14", "conn")(on(lambda t: summary.id_list(summary.trios(t.conn), "gene", 38, 14)))
+query("ranges_of_all", "SELECT node, seq, s AS start, e AS \"end\" FROM ranges UNION ALL SELECT node, CAST(row_number() OVER (PARTITION BY node ORDER BY min(release)) AS int), min(release), max(release) FROM (SELECT *, release - row_number() OVER (PARTITION BY node ORDER BY release) AS g FROM (SELECT src AS node, release FROM conn UNION SELECT dst, release FROM conn) WHERE node NOT IN (SELECT node FROM ranges)) GROUP BY node, g", "ranges", "conn")(on(lambda t: summary.ranges_of_all(t.conn, t.ranges)))
+query("ranges_all_inclusive", "SELECT node, CAST(row_number() OVER (PARTITION BY node ORDER BY min(release)) AS int) AS seq, min(release) AS start, max(release) AS \"end\" FROM (SELECT *, release - row_number() OVER (PARTITION BY node ORDER BY release) AS g FROM (SELECT node, r AS release FROM ranges, unnest(range(s, least(coalesce(e, 20), 20) + 1)) AS u(r) UNION SELECT dst, release FROM conn WHERE assembly = 37 AND dst IN (SELECT node FROM ranges))) GROUP BY node, g", "ranges", "conn")(on(lambda t: summary.ranges_all_inclusive(t.conn, t.ranges, 20)))
+query("archive_relation", "SELECT DISTINCT concat(stable_id, '.', CAST(version AS string)) AS gene, CASE WHEN version % 3 = 0 THEN '' ELSE concat('T', stable_id) END AS transcript, CASE WHEN version % 2 = 0 THEN '' ELSE concat('L', stable_id, '.', CAST(version AS string)) END AS translation FROM ids", "ids")(
+    on(lambda t: prep.archive_relation(t.ids.select(F.col("stable_id").alias("gene_stable_id"), F.col("version").alias("gene_version"), F.when(F.col("version") % 3 != 0, F.concat(F.lit("T"), "stable_id")).alias("transcript_stable_id"), F.lit(0).alias("transcript_version"), F.when(F.col("version") % 2 != 0, F.concat(F.lit("L"), "stable_id")).otherwise("").alias("translation_stable_id"), F.col("version").alias("translation_version")))))
+query("any_member", "SELECT release, gene, transcript, translation FROM relation WHERE gene LIKE '%7.1' OR transcript LIKE '%5' OR translation IN (SELECT concat('L', CAST(o_orderkey AS string), '-1') FROM orders WHERE o_orderstatus = 'P')", "relation")(
+    on(lambda t: prep.any_member(t.relation, {"gene": t.relation.select("gene").filter(F.col("gene").endswith("7.1")), "transcript": t.relation.select("transcript").filter(F.col("transcript").endswith("5")), "translation": t.orders.filter("o_orderstatus = 'P'").select(F.concat(F.lit("L"), F.col("o_orderkey").cast("string"), F.lit("-1")))})))
+query("last_active_version", "SELECT stable_id, release, CASE WHEN release % 3 <> 0 THEN version END AS version, last_value(CASE WHEN release % 3 <> 0 THEN version END IGNORE NULLS) OVER (PARTITION BY stable_id ORDER BY release) AS active_version FROM ids", "ids")(on(lambda t: prep.last_active_version(t.ids.select("stable_id", "release", F.when(F.col("release") % 3 != 0, F.col("version")).alias("version")))))
+query("session_attributes", "SELECT e.*, 'm' || CAST(s.r AS string) AS created FROM edges e LEFT JOIN (SELECT DISTINCT release AS r FROM ids WHERE release % 2 = 0) s ON e.old_release = s.r AND e.new_release = s.r + 1", "edges", "ids")(
+    on(lambda t: graph.with_sessions(t.edges, t.ids.filter("release % 2 = 0").select(F.col("release").alias("old_release"), (F.col("release") + 1).alias("new_release"), F.concat(F.lit("m"), F.col("release").cast("string")).alias("created")).distinct()).select(*graph.EDGE, "created")))
+query("columns_beside", "SELECT coalesce(a.id, b.id) AS id, a.n, b.m FROM (SELECT stable_id AS id, count(*) AS n FROM ids WHERE release <= 12 GROUP BY 1) a FULL OUTER JOIN (SELECT stable_id AS id, max(version) AS m FROM ids WHERE release > 12 GROUP BY 1) b ON a.id = b.id", "ids")(
+    on(lambda t: prep.beside(t.ids.filter("release <= 12").groupBy(F.col("stable_id").alias("id")).agg(F.count("*").alias("n")), t.ids.filter("release > 12").groupBy(F.col("stable_id").alias("id")).agg(F.max("version").alias("m")), "id")))
+query("every_combination", "SELECT 'gene' AS form, assembly, count(DISTINCT dst) AS n FROM conn WHERE db NOT LIKE 'form_%' GROUP BY ALL UNION ALL SELECT 'name', assembly, count(DISTINCT src) FROM conn WHERE db NOT LIKE 'form_%' GROUP BY ALL", "conn")(
+    on(lambda t: prep.every_combination({(f, a): t.conn.filter((F.col("assembly") == a) & ~F.col("db").startswith("form_")).agg(F.count_distinct(c).alias("n")) for f, c in (("gene", "dst"), ("name", "src")) for a in (37, 38)}, ("form", "assembly"))))
+_FULL = "SELECT node, arg_min(node_type, o) AS node_type FROM (SELECT " + V + " AS node, 'gene' AS node_type, 0 AS o FROM ids UNION ALL SELECT stable_id, 'base', 1 FROM ids UNION ALL SELECT concat('Z', CAST(p_partkey AS string), '.1'), 'assembly_37_gene', 2 FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT transcript, 'transcript', 3 FROM relation UNION ALL SELECT translation, 'translation', 4 FROM relation WHERE translation IS NOT NULL UNION ALL SELECT id_db, 'external', 5 FROM xref UNION ALL SELECT concat('P', CAST(p_partkey AS string)), 'external', 5 FROM part WHERE p_partkey % 10 = 0) GROUP BY 1"
+
+
+def _full(t: T) -> tuple[DataFrame, DataFrame]:
+    """With genes that assembly 37 only knows, and names in lower case beside their capitals."""
+    p = t.part.filter("p_partkey % 10 = 0").select(F.lit(9).alias("release"), F.concat(F.lit("Z"), F.col("p_partkey").cast("string"), F.lit(".1")).alias("graph_id"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id_db"), F.lit("Old").alias("name_db"), F.lit(37).alias("assembly"))
+    return graph.full(t.ids, t.relation, t.xref.unionByName(p))
+
+
+query("full_graph_nodes", _FULL, "ids", "relation", "xref")(on(lambda t: _full(t)[0]))
+query("full_graph_edges", f"SELECT DISTINCT * FROM (SELECT * FROM conn UNION ALL SELECT concat('P', CAST(p_partkey AS string)), concat('Z', CAST(p_partkey AS string), '.1'), 'Old', 37, 9 FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT stable_id, {V}, 'base', 38, release FROM ids)", "conn", "ids")(on(lambda t: _full(t)[1]))
+query("merge_case", "SELECT DISTINCT w AS src, dst, db, assembly, release FROM (SELECT *, first_value(src) OVER (PARTITION BY lower(src) ORDER BY n, length(regexp_replace(src, '[^A-Z]', '', 'g')), src) AS w FROM (SELECT *, count(*) OVER (PARTITION BY src) AS n FROM (SELECT CASE WHEN release % 2 = 0 THEN lower(src) ELSE src END AS src, dst, db, assembly, release FROM conn)))", "conn")(
+    on(lambda t: graph.merge_case(t.conn.withColumn("src", F.when(F.col("release") % 2 == 0, F.lower("src")).otherwise(F.col("src"))))))
 query("conn_summary_genes", "SELECT dst AS node, concat('assembly_', CAST(assembly AS string), '_gene') AS db, assembly, count(DISTINCT release) AS n FROM conn GROUP BY ALL", "conn")(on(lambda t: summary.genes_by_assembly(t.conn).select("node", "db", "assembly", F.size(F.split("releases", ",")).cast("long").alias("n"))))
 query("release_sets", "SELECT db, assembly, string_agg(r, ',' ORDER BY CAST(r AS int)) AS releases FROM (SELECT DISTINCT db, assembly, CAST(release AS string) AS r FROM conn) GROUP BY ALL", "conn")(on(lambda t: summary.availability(t.conn).select("db", "assembly", "releases")))
 query("hub_nodes", "SELECT src AS node, count(DISTINCT dst) AS degree FROM conn GROUP BY 1 HAVING count(DISTINCT dst) > 20", "conn")(on(lambda t: summary.hubs(t.conn, 20)))
@@ -346,7 +375,7 @@ _START = "SELECT DISTINCT concat(node, '@', CAST(rel AS string)) AS q, node, rel
 _EXTERNAL = _with("ranges", "conn") + _STRICT + _walk_sql(_START.format("strict"), 14, False, "sf") + _LOOSE + _walk_sql(_START.format("begin WHERE NOT rev"), 14, False, "fw") + _walk_sql(_START.format("begin WHERE rev"), 14, True, "bk") + """
 , went AS (SELECT b.p, w.target, w.score, w.steps, w.path, CASE WHEN w.steps = 0 THEN b.pri ELSE [1] END AS last_pri FROM begin b JOIN (SELECT *, false AS rev FROM fw UNION ALL SELECT *, true FROM bk) w ON w.rev = b.rev AND w.query_id = concat(b.node, '@', CAST(b.rel AS string))),
 best AS (SELECT p, target, last_pri FROM (SELECT *, row_number() OVER (PARTITION BY p, target ORDER BY score DESC NULLS LAST, steps, path, len(last_pri) DESC) AS k FROM went) WHERE k = 1),
-known AS (SELECT dst AS target, list_sort(list_distinct(list(CASE WHEN assembly = 38 THEN 1 ELSE 2 END))) AS pri FROM conn WHERE release = 14 GROUP BY 1),
+known AS (SELECT dst AS target, list_sort(list_distinct(list(CASE WHEN assembly = 38 THEN 1 ELSE 2 END))) AS pri FROM (SELECT dst, assembly, release FROM conn UNION ALL SELECT """ + V + """, 38, release FROM ids) WHERE release = 14 GROUP BY 1),
 hop AS (SELECT dst AS target, src AS final, list_sort(list_distinct(list(CASE WHEN assembly = 38 THEN 1 ELSE 2 END))) AS pri FROM conn WHERE db = 'Brand#11' AND release = 14 GROUP BY 1, 2 HAVING bool_or(assembly = 38)),
 finals AS (SELECT b.*, h.final, 0 AS confidence, h.pri AS final_pri FROM best b JOIN hop h USING (target) UNION ALL SELECT b.*, b.target, NULL, coalesce(k.pri, [2147483647]) FROM best b LEFT JOIN known k USING (target) WHERE b.target NOT IN (SELECT target FROM hop)),
 ever AS (SELECT DISTINCT src FROM conn)"""
@@ -382,7 +411,20 @@ SELECT k AS l_orderkey, arg_max(jumps, i) AS jumps, arg_max(cur, i) AS cur FROM
 _SQL["assembly_jump_fold"] = "WITH " + _SQL["assembly_jump_fold"].lstrip()
 query("global_choice", "SELECT query_id, target FROM (SELECT *, max(own) OVER (PARTITION BY query_id) AS a FROM (SELECT *, CASE WHEN target = 'N1' THEN 1 ELSE 0 END AS own FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY c, j, n DESC) AS r FROM (SELECT o_custkey AS query_id, concat('N', CAST(o_orderkey % 3 AS string)) AS target, min(o_orderkey % 2) AS c, min(o_orderkey % 5) AS j, count(*) AS n FROM orders GROUP BY ALL)) WHERE r = 1)) WHERE own = 1 OR a = 0")(
     on(lambda t: search.choose_targets(t.orders.groupBy(F.col("o_custkey").alias("query_id"), F.concat(F.lit("N"), (F.col("o_orderkey") % 3).cast("string")).alias("target")).agg(F.min(F.col("o_orderkey") % 2).alias("confidence"), F.min(F.col("o_orderkey") % 5).alias("assembly_jump"), (-F.count("*")).alias("neg_pri")).withColumns({"final_min_pri": F.lit(1), "external_jump": F.lit(0), "min_pri": F.lit(1), "neg_final_pri": F.lit(-1), "node": F.lit("N1"), "final": F.col("target")})).select("query_id", "target")))
-query("qa_invariants", "SELECT unnest(['ids_without_range', 'range_without_ids', 'overlapping_ranges', 'empty_ranges', 'edges_back_in_time', 'unknown_nodes']) AS name, 0 AS violations")(on(lambda t: qa.invariants(t.ids, (e := t.edges), ft.backbone(graph.edge_events(e), ["node"]))))
+query("qa_invariants", """SELECT 'ids_without_range' AS name, count(*) AS violations FROM (SELECT DISTINCT """ + V + """ AS node, release FROM ids WHERE release > 18)
+UNION ALL SELECT 'range_without_ids', 0 UNION ALL SELECT 'overlapping_ranges', 0 UNION ALL SELECT 'empty_ranges', 0
+UNION ALL SELECT 'edges_back_in_time', count(*) FROM edges WHERE kind = 'branch' UNION ALL SELECT 'unknown_nodes', 0""", "edges", "ranges")(on(lambda t: _broken(t)))
+
+
+def _broken(t: T) -> DataFrame:
+    """Invariants of a graph that is broken on purpose: ranges end at release 18, and branches run back in time."""
+    e = t.edges
+    r = ft.backbone(graph.edge_events(e), ["node"]).filter("start <= 18").withColumn("end", F.least(ft.closed(F.col("end")), F.lit(18)))
+    back = e.withColumns({"old_release": F.when(F.col("kind") == "branch", F.col("new_release")).otherwise(F.col("old_release")), "new_release": F.when(F.col("kind") == "branch", F.col("old_release")).otherwise(F.col("new_release"))})
+    return qa.invariants(t.ids, back, r)
+
+
+query("qa_invariants_hold", "SELECT unnest(['ids_without_range', 'range_without_ids', 'overlapping_ranges', 'empty_ranges', 'edges_back_in_time', 'unknown_nodes']) AS name, 0 AS violations")(on(lambda t: qa.invariants(t.ids, (e := t.edges), ft.backbone(graph.edge_events(e), ["node"]))))
 
 # -- harmonisation and sets
 query("dataset_presence", "SELECT query, count(DISTINCT dataset) AS n_datasets FROM matches GROUP BY 1", "matches")(on(lambda t: harmonize.presence(t.matches)))
@@ -392,11 +434,27 @@ query("issue_reasons", f"SELECT * FROM {_REASON} WHERE reason <> ''", "matches")
 query("failure_sets", f"SELECT query, count(DISTINCT dataset) = (SELECT count(DISTINCT dataset) FROM matches) AS consistent FROM {_REASON} WHERE reason <> '' GROUP BY 1", "matches")(on(lambda t: harmonize.failures(t.matches)))
 query("gene_name_inconsistency", "SELECT DISTINCT query FROM matches WHERE gene IN (SELECT gene FROM matches WHERE target IS NOT NULL GROUP BY 1 HAVING count(DISTINCT target) > 1) AND target IS NOT NULL", "matches")(on(lambda t: harmonize.inconsistencies(t.matches.filter("target is not null"))[0]))
 query("name_to_smallest_gene", "SELECT target, min(gene) AS gene FROM matches WHERE target IS NOT NULL GROUP BY 1 HAVING count(DISTINCT gene) > 1", "matches")(on(lambda t: harmonize.inconsistencies(t.matches.filter("target is not null"))[1]))
-query("multiple_target_index", "SELECT target, string_agg(DISTINCT gene, ',' ORDER BY gene) AS genes FROM matches WHERE target IS NOT NULL GROUP BY 1", "matches")(on(lambda t: t.matches.filter("target is not null").groupBy("target").agg(summary.text_set("gene").alias("genes"))))
+query("multiple_target_index", "SELECT target, string_agg(DISTINCT gene, ',' ORDER BY gene) AS genes FROM matches WHERE target IS NOT NULL GROUP BY 1", "matches")(on(lambda t: harmonize.genes_of_names(t.matches)))
 query("mapping_table", f"SELECT query, any_value(name) AS name FROM (SELECT DISTINCT query, target AS name FROM matches WHERE target IS NOT NULL AND query NOT IN (SELECT query FROM {_REASON} WHERE reason <> '') UNION ALL SELECT query, query FROM {_REASON} WHERE reason <> '' GROUP BY query HAVING count(DISTINCT dataset) = (SELECT count(DISTINCT dataset) FROM matches)) GROUP BY query HAVING count(*) = 1", "matches")(on(lambda t: harmonize.mapping_table(t.matches)))
 query("matrix_union", "SELECT * FROM matrix", "matrix")(on(lambda t: harmonize.combine(t.matrix)))
 query("matrix_intersect", "SELECT * FROM matrix WHERE feature IN (SELECT feature FROM matrix GROUP BY 1 HAVING count(DISTINCT dataset) = (SELECT count(DISTINCT dataset) FROM matrix))", "matrix")(on(lambda t: harmonize.combine(t.matrix, "intersect")))
 query("intersection_flag", "SELECT feature, CAST(count(DISTINCT dataset) = (SELECT count(DISTINCT dataset) FROM matrix) AS int) AS intersection FROM matrix GROUP BY 1", "matrix")(on(lambda t: harmonize.in_all(t.matrix)))
+_BRANDS = "(SELECT concat('D', CAST(l_suppkey % 4 AS string)) AS dataset, stable_id AS obs, p_brand AS feature, sum(l_quantity) AS value FROM lines JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3)"
+query("matrix_filled", f"SELECT o.dataset, o.obs, f.feature, coalesce(m.value, 0) AS value FROM (SELECT DISTINCT dataset, obs FROM {_BRANDS}) o CROSS JOIN (SELECT DISTINCT feature FROM {_BRANDS}) f LEFT JOIN {_BRANDS} m USING (dataset, obs, feature)", "lines")(
+    on(lambda t: harmonize.combine(t.lines.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(t._dataset, F.col("stable_id").alias("obs"), F.col("p_brand").alias("feature")).agg(F.sum("l_quantity").alias("value")), fill=True)))
+query("obs_annotations", "SELECT concat('D', CAST(c_nationkey % 3 AS string)) AS dataset, c_name AS obs, CASE WHEN c_nationkey % 3 = 2 THEN '_PLACEHOLDER_NA_' WHEN c_custkey % 4 = 0 THEN '_PLACEHOLDER_NA_' ELSE c_mktsegment END AS segment, c_acctbal AS balance FROM customer")(
+    on(lambda t: harmonize.annotations({f"D{k}": t.customer.filter(F.col("c_nationkey") % 3 == k).select(F.col("c_name").alias("obs"), *([F.when(F.col("c_custkey") % 4 == 0, "n/a").otherwise(F.col("c_mktsegment")).alias("segment")] if k < 2 else []), F.col("c_acctbal").alias("balance")) for k in range(3)}, ["segment", "balance"], ["balance"])))
+
+
+def _datasets(t: T) -> DataFrame:
+    """(dataset, feature): the parts that each supplier group delivers."""
+    return t.lineitem.select(F.concat(F.lit("D"), (F.col("l_suppkey") % 4).cast("string")).alias("dataset"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("feature")).distinct()
+
+
+_DATASETS = ", datasets AS (SELECT DISTINCT concat('D', CAST(l_suppkey % 4 AS string)) AS dataset, concat('P', CAST(l_partkey AS string)) AS feature FROM lineitem)"
+_UNIFIED = _DATASETS + ", matched AS (SELECT DISTINCT d.dataset, d.feature AS query, f.final AS target, f.target AS gene FROM datasets d LEFT JOIN finals f ON f.p = d.feature AND f.confidence IS NOT NULL)"
+_Q["unified_matches"] = lambda spark, sf: harmonize.unified(_datasets(T(spark, sf)), _convert_external(spark, sf))
+_SQL["unified_matches"] = _EXTERNAL + _UNIFIED + " SELECT * FROM matched"
 for _op, _f in {"union": lambda a, b: a.union(b).distinct(), "intersect": lambda a, b: a.intersect(b), "except": lambda a, b: a.subtract(b)}.items():
     query(f"set_{_op}", f"SELECT stable_id FROM ids WHERE release = 9 {_op.upper()} SELECT stable_id FROM ids WHERE release = 14", "ids")(on(lambda t, f=_f: f(t.ids.filter("release = 9").select("stable_id"), t.ids.filter("release = 14").select("stable_id"))))
 query("reduce_mean", "SELECT old_id, round(avg(score), 6) AS score FROM history GROUP BY 1", "history")(on(lambda t: t.history.groupBy("old_id").agg(F.round(F.avg("score"), 6).alias("score"))))
@@ -409,3 +467,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+

@@ -79,3 +79,8 @@ def variant_order(variant: Column) -> tuple[Column, Column]:
 def first_hit(candidates: DataFrame, key: str, order: list[str]) -> DataFrame:
     w = W.partitionBy(key).orderBy(*order)
     return candidates.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def with_delimiter(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose value holds the delimiter of versioned ids, which no id may."""
+    return df.filter(F.instr(column, DELIMITER) > 0)

@@ -212,3 +212,44 @@ def edge_events(edges: DataFrame) -> DataFrame:
     births = e.filter("src <> dst").select(F.col("dst").alias("node"), F.col("new_release").alias("release"), F.lit(True).alias("is_birth"))
     ends = e.select(F.col("src").alias("node"), F.when(F.col("src") == F.col("dst"), F.lit(OPEN)).otherwise(F.col("old_release")).alias("release"), F.lit(False).alias("is_birth"))
     return births.unionByName(ends).filter(~F.col("node").rlike(r"\.(Void|Retired)$"))
+
+
+def full(ids: DataFrame, relation: DataFrame, xref: DataFrame, main: int = 38) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of all forms. relation and xref may cover several assemblies (relation: a column `assembly`, else
+    the main one). Nodes (node, node_type): genes, their bases, genes that other assemblies only know
+    (assembly_<a>_gene), transcripts, translations, externals; a name of several kinds has the first of these. Edges
+    (src, dst, db, assembly, release): names that are genes get none, names that differ in case only are one."""
+    gene = ids.select(versioned(F.col("stable_id"), F.col("version")).alias("node")).distinct()
+    rel = relation if "assembly" in relation.columns else relation.withColumn("assembly", F.lit(main))
+    wrong = misplaced_external(xref, gene).withColumnRenamed("node", "id_db")
+    named = xref.join(wrong, "id_db", "left_anti").select(F.col("id_db").alias("src"), F.col("graph_id").alias("dst"), F.col("name_db").alias("db"), "assembly", "release").distinct()
+    form = lambda src, dst, db: rel.filter(F.col(src).isNotNull() & (F.col(src) != "")).select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(db).alias("db"), "assembly", "release").distinct()
+    edges = merge_case(named).unionByName(form("transcript", "gene", "form_gene")).unionByName(form("translation", "transcript", "form_transcript")).unionByName(base_edges(ids, main))
+    other = assembly_only(xref, main).withColumnRenamed("graph_id", "node").join(gene, "node", "left_anti")
+    kinds = [
+        gene.withColumn("node_type", F.lit("gene")),
+        ids.select(F.col("stable_id").alias("node"), F.lit("base").alias("node_type")).distinct(),
+        other.select("node", F.concat(F.lit("assembly_"), F.col("assembly").cast("string"), F.lit("_gene")).alias("node_type")),
+        rel.filter("transcript <> ''").select(F.col("transcript").alias("node"), F.lit("transcript").alias("node_type")).distinct(),
+        rel.filter("translation <> ''").select(F.col("translation").alias("node"), F.lit("translation").alias("node_type")).distinct(),
+        merge_case(named).select(F.col("src").alias("node"), F.lit("external").alias("node_type")).distinct(),
+    ]
+    out = None
+    for i, df in enumerate(kinds):
+        d = df.withColumn("__o", F.lit(i))
+        out = d if out is None else out.unionByName(d)
+    return prep.keep_first(out, ["node"], ["__o", "node_type"]).drop("__o"), edges
+
+
+def with_sessions(edges: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Edges of history beside the attributes of the one session that led from old_release to new_release."""
+    return edges.join(assert_unique(sessions, "old_release", "new_release"), ["old_release", "new_release"], "left")
+
+
+def sentinel_ranges(edges: DataFrame) -> DataFrame:
+    """(node, start, end) in which ids are retired: from each retirement to the next rebirth, open where there is none."""
+    ends = edges.filter(F.col("dst").endswith(".Retired")).select(F.col("dst").alias("node"), F.col("new_release").alias("start"))
+    back = edges.filter(F.col("src").endswith(".Retired")).select(F.col("src").alias("node"), F.col("old_release").alias("until"))
+    j = ends.join(back, "node", "left").filter("until is null or until >= start").groupBy("node", "start").agg(F.min("until").alias("end"))
+    alone = ends.join(j.select("node", "start"), ["node", "start"], "left_anti").withColumn("end", F.lit(None).cast("int"))
+    return j.unionByName(alone)

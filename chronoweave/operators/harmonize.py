@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ids import is_numeric, missing_to
+from ..schema import ContractError, assert_unique
 from . import prep
+from .summary import text_set
 
 
 def presence(matches: DataFrame) -> DataFrame:
@@ -62,11 +65,46 @@ def in_all(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("feature").agg(F.count_distinct("dataset").alias("n")).join(F.broadcast(n)).select("feature", (F.col("n") == F.col("all")).cast("int").alias("intersection"))
 
 
-def combine(matrix: DataFrame, mode: str = "union") -> DataFrame:
-    """union keeps all features, absent cells being zero as COO leaves them out; intersect those of all datasets."""
-    if mode == "union":
+def combine(matrix: DataFrame, mode: str = "union", fill: bool = False) -> DataFrame:
+    """union keeps all features, intersect those of all datasets. Absent cells are zero, as COO leaves them out; fill
+    writes them, for every observation and feature of the result."""
+    if mode == "intersect":
+        matrix = matrix.join(in_all(matrix).filter("intersection = 1").select("feature"), "feature", "left_semi").select(*matrix.columns)
+    elif mode != "union":
+        raise ValueError(mode)
+    if not fill:
         return matrix
-    return matrix.join(in_all(matrix).filter("intersection = 1").select("feature"), "feature", "left_semi").select(*matrix.columns)
+    # Dense by request: observations times features, dealt by observation.
+    features = matrix.select("feature").distinct().agg(F.array_sort(F.collect_list("feature")).alias("f"))
+    every = matrix.select("dataset", "obs").distinct().crossJoin(F.broadcast(features)).select("dataset", "obs", F.explode("f").alias("feature"))
+    return every.join(matrix, ["dataset", "obs", "feature"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+def annotations(parts: dict[str, DataFrame], keep: list[str], numeric: list[str] = (), key: str = "obs") -> DataFrame:
+    """Columns of observations (or features) of all datasets: those named in keep, absent ones and spellings of missing
+    values as the placeholder; numeric ones as numbers, where a value that is none is an error."""
+    out = None
+    for name, df in parts.items():
+        if bad := [c for c in numeric if c in df.columns and not df.filter(~is_numeric(F.col(c).cast("string"))).isEmpty()]:
+            raise ContractError(f"not numeric in {name}: {bad}")
+        col = lambda c: (F.col(c) if c in df.columns else F.lit(None)).cast("double" if c in numeric else "string")  # noqa: B023, E731
+        d = df.select(F.lit(name).alias("dataset"), key, *[(col(c) if c in numeric else missing_to(col(c))).alias(c) for c in keep])
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def unified(features: DataFrame, converted: DataFrame) -> DataFrame:
+    """matches (dataset, query, target, gene) of features (dataset, feature): each distinct name was converted once
+    (query_id, target: its gene, final: its name), and comes back to every dataset that has it."""
+    c = converted.select(F.col("query_id").alias("query"), F.col("final").alias("to"), F.col("target").alias("gene"), "confidence")
+    known = c.filter("confidence is not null").select("query", F.col("to").alias("target"), "gene").distinct()
+    return features.select("dataset", F.col("feature").alias("query")).distinct().join(known, "query", "left").select("dataset", "query", "target", "gene")
+
+
+def harmonise(matrix: DataFrame, matches: DataFrame, dataset: str) -> DataFrame:
+    """One dataset under the names of mapping_table(); two features that come to one name are an error."""
+    own = apply_mapping(matrix.filter(F.col("dataset") == dataset), mapping_table(matches))
+    return assert_unique(own, "dataset", "obs", "feature")
 
 
 def clashes(converted: DataFrame) -> DataFrame:
@@ -74,3 +112,8 @@ def clashes(converted: DataFrame) -> DataFrame:
     d = converted.select("query_id", "target").filter("target is not null").distinct().withColumn("n", F.count("*").over(W.partitionBy("query_id")))
     g = d.groupBy("target").agg(F.count("*").alias("n_queries"), F.bool_or(F.col("n") == 1).alias("one_to_one"), F.bool_or(F.col("n") > 1).alias("one_to_many"))
     return g.filter("n_queries > 1")
+
+
+def genes_of_names(matches: DataFrame) -> DataFrame:
+    """(target, genes): the genes behind each name, as sorted text."""
+    return matches.filter("target is not null").groupBy("target").agg(text_set("gene").alias("genes"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ids import DELIMITER, zero_to_null
+from ..functions.ids import DELIMITER, versioned, zero_to_null
 from ..schema import assert_absent, assert_unique
 
 
@@ -95,3 +95,41 @@ def across_assemblies(x: DataFrame, priority: DataFrame, mode: str = "all") -> D
 def prefer(df: DataFrame, key: str, low: Column) -> DataFrame:
     """Drops rows of low priority from groups that have others."""
     return df.withColumn("__any", F.max(~low).over(W.partitionBy(key))).filter(~low | ~F.col("__any")).drop("__any")
+
+
+def archive_relation(archive: DataFrame) -> DataFrame:
+    """(gene, transcript, translation) as versioned names from an archive of ids (gene_stable_id, gene_version, …), once
+    each; an absent one is ""."""
+    of = {"gene": "gene", "transcript": "transcript", "translation": "translation"}
+    return archive.select(*[F.coalesce(versioned(F.nullif(f"{c}_stable_id", F.lit("")), F.col(f"{c}_version")), F.lit("")).alias(k) for k, c in of.items()]).dropDuplicates()
+
+
+def any_member(df: DataFrame, sets: dict[str, DataFrame]) -> DataFrame:
+    """Rows of which some column (key of sets) is in that column's set."""
+    out = df
+    for i, (c, names) in enumerate(sets.items()):
+        out = out.join(names.select(F.col(names.columns[0]).alias(c)).distinct().withColumn(f"__in{i}", F.lit(True)), c, "left")
+    some = F.lit(False)
+    for i in range(len(sets)):
+        some = some | F.coalesce(f"__in{i}", F.lit(False))
+    return out.filter(some).select(*df.columns)
+
+
+def last_active_version(events: DataFrame) -> DataFrame:
+    """Events (stable_id, release, version or NULL) with the version that was last known before or at each."""
+    w = W.partitionBy("stable_id").orderBy("release").rowsBetween(W.unboundedPreceding, 0)
+    return events.withColumn("active_version", F.last("version", ignorenulls=True).over(w))
+
+
+def beside(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Columns of both, by key: rows that either has."""
+    return left.join(assert_unique(right, key), key, "full_outer")
+
+
+def every_combination(parts: dict[tuple, DataFrame], names: tuple[str, ...]) -> DataFrame:
+    """All parts in one table with what tells them apart, such as form, assembly and release, as columns."""
+    out = None
+    for key, df in parts.items():
+        d = df.select(*[F.lit(v).alias(n) for n, v in zip(names, key, strict=True)], *df.columns)
+        out = d if out is None else out.unionByName(d)
+    return out

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.temporal import to_points, to_ranges
+from ..schema import FORMS, ContractError
 from . import prep
 
+SENTINEL = r"\.(Void|Retired)$"
+
 
 def text_set(c: str) -> Column:
     """A set as sorted text."""
@@ -35,13 +39,45 @@ def modal_form(conn: DataFrame, form_of: DataFrame) -> DataFrame:
     return prep.keep_first(c, ["db"], [F.desc("n"), "form"])
 
 
-def trios(conn: DataFrame) -> DataFrame:
-    return conn.select(F.col("src").alias("node"), "db", "assembly", "release").unionByName(conn.select(F.col("dst").alias("node"), F.concat(F.lit("assembly_"), F.col("assembly").cast("string"), F.lit("_gene")).alias("db"), "assembly", "release")).distinct()
+def trios(conn: DataFrame, ranges: DataFrame | None = None, last: int | None = None, main: int = 38) -> DataFrame:
+    """(node, db, assembly, release): names by their databases, genes by the assemblies that connect them. With ranges
+    (node, start, end) of sentinels, these have a trio for each release in which they hold, to `last` where open."""
+    gene = F.concat(F.lit("assembly_"), F.col("assembly").cast("string"), F.lit("_gene")).alias("db")
+    out = conn.select(F.col("src").alias("node"), "db", "assembly", "release").unionByName(conn.select(F.col("dst").alias("node"), gene, "assembly", "release"))
+    if ranges is not None:
+        held = to_points(ranges.filter(F.col("node").rlike(SENTINEL)), ["node"], last)
+        out = out.unionByName(held.select("node", F.lit(f"assembly_{main}_gene").alias("db"), F.lit(main).alias("assembly"), "release"))
+    return out.distinct()
 
 
 def id_list(t: DataFrame, db: str, assembly: int, release: int) -> DataFrame:
+    """Nodes of a source; the forms' own names stand for those of the assembly, sentinels are left out."""
+    if db in FORMS:
+        db = f"assembly_{assembly}_gene" if db == "gene" else {"transcript": "form_gene", "translation": "form_transcript"}[db]
     f = t.filter((F.col("db") == db) & (F.col("assembly") == assembly) & (F.col("release") == release))
-    return f.select("node").filter(~F.col("node").rlike(r"\.(Void|Retired)$")).distinct()
+    return f.select("node").filter(~F.col("node").rlike(SENTINEL)).distinct()
+
+
+def external_nodes(conn: DataFrame, db: str) -> DataFrame:
+    """All names that a database ever had."""
+    return conn.filter(F.col("db") == db).select(F.col("src").alias("node")).distinct()
+
+
+def ranges_of_all(conn: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(node, seq, start, end) of every node: genes by their history, others by the releases of their connections."""
+    genes = ranges.select("node").distinct()
+    others = conn.select(F.col("src").alias("node"), "release").unionByName(conn.select(F.col("dst").alias("node"), "release")).join(genes, "node", "left_anti")
+    return ranges.select("node", "seq", "start", "end").unionByName(to_ranges(others, ["node"]))
+
+
+def ranges_all_inclusive(conn: DataFrame, ranges: DataFrame, last: int, main: int = 38) -> DataFrame:
+    """Ranges of genes over all assemblies: their own, and the releases at which others know them. That the main
+    assembly's connections lie inside a gene's own ranges is an error where it does not hold."""
+    own = to_points(ranges, ["node"], last)
+    seen = conn.select(F.col("dst").alias("node"), "assembly", "release").distinct().join(ranges.select("node").distinct(), "node", "left_semi")
+    if bad := seen.filter(F.col("assembly") == main).join(own, ["node", "release"], "left_anti").take(3):
+        raise ContractError(f"connected outside their ranges: {bad}")
+    return to_ranges(own.unionByName(seen.filter(F.col("assembly") != main).select("node", "release")), ["node"])
 
 
 def infer_source(t: DataFrame, names: DataFrame, mode: str = "complete") -> DataFrame:
@@ -74,3 +110,8 @@ def richness_at(conn: DataFrame, by: tuple[str, ...] = ("release",)) -> DataFram
 def richness(conn: DataFrame) -> DataFrame:
     """(node, externals, transcripts, translations) over all releases."""
     return richness_at(conn, ())
+
+
+def frequency(df: DataFrame, column: str) -> DataFrame:
+    """(column, n), most frequent first."""
+    return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -14,6 +15,7 @@ from ..operators.prep import prefer
 from ..operators.summary import richness_at
 from ..schema import PRIORITY
 from ..session import cut
+from ..sources.store import Store
 
 
 @dataclass
@@ -27,8 +29,30 @@ class Tables:
 
 
 def build(ids: DataFrame, events: DataFrame, xref: DataFrame, relation: DataFrame) -> Tables:
+    """Genes by history and all names of genes, transcripts and translations, with bases (ids without their version)."""
     h = cut(graph.history_edges(ids, events), "history")
-    return Tables(h, cut(graph.connection_edges(xref, relation), "connections"), graph.nodes(ids), backbone(graph.edge_events(h), ["node"]))
+    c = graph.connection_edges(xref, relation).unionByName(graph.base_edges(ids))
+    return Tables(h, cut(c, "connections"), graph.nodes(ids), backbone(graph.edge_events(h), ["node"]))
+
+
+def save(t: Tables, store: Store, prefix: str = "graph", overwrite: bool = False) -> None:
+    for name in ("history", "connections", "nodes", "ranges"):
+        store.write(f"{prefix}_{name}", getattr(t, name), overwrite=overwrite)
+
+
+def load(store: Store, prefix: str = "graph") -> Tables:
+    return Tables(*[store.read(f"{prefix}_{name}") for name in ("history", "connections", "nodes", "ranges")])
+
+
+def get_graph(store: Store, make: Callable[[], Tables], prefix: str = "graph", create: bool = False, keep: bool = True, overwrite: bool = False) -> Tables:
+    """The stored graph, or what make() gives, stored; create makes it even where one is stored."""
+    if not create and all(f"{prefix}_{name}" in store for name in ("history", "connections", "nodes", "ranges")):
+        return load(store, prefix)
+    made = make()
+    if not keep:
+        return made
+    save(made, store, prefix, overwrite or create)
+    return load(store, prefix)
 
 
 INT_MAX = 2147483647

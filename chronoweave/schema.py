@@ -54,3 +54,17 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     if lost := [n for n, _ in fields if n not in df.columns]:
         raise ContractError(f"{table} lacks {lost}")
     return df.select(*[F.col(n).cast(t).alias(n) for n, t in fields])
+
+
+#: Types that a stored table may have.
+STORABLE = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "string", "date", "timestamp", "timestamp_ntz", "binary")
+
+
+def assert_storable(df: DataFrame) -> DataFrame:
+    """No column of a type that the store does not take; names are text and differ also in lower case."""
+    if bad := [(n, t) for n, t in df.dtypes if not (t in STORABLE or t.startswith(("decimal", "interval")))]:
+        raise ContractError(f"can't be stored: {bad}")
+    names = [c.lower() for c in df.columns]
+    if twice := sorted({c for c in names if names.count(c) > 1}):
+        raise ContractError(f"columns occur twice: {twice}")
+    return df

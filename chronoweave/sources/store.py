@@ -48,11 +48,15 @@ class Store:
         p, fs = self._fs()
         fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, key), True)
 
-    def get(self, key: str, build: Callable[[], DataFrame], create: bool = False, save: bool = True, overwrite: bool = False) -> DataFrame:
-        """The stored table, or what build() gives, saved; create builds even where one is stored."""
+    def get(self, key: str, build: Callable[[], DataFrame], create: bool = False, save: bool = True, overwrite: bool = False, columns: list[str] | None = None) -> DataFrame:
+        """The stored table, or what build() gives, saved; create builds even where one is stored. Columns are part of
+        what is stored: another choice of them is another table."""
+        if columns:
+            key = f"{key}__{'_'.join(sorted(columns))}"
         if key in self and not create:
             return self.read(key)
         df = build()
+        df = df.select(*columns) if columns else df
         if save:
             self.write(key, df, overwrite=overwrite or create)
             return self.read(key)
@@ -63,19 +67,168 @@ class Store:
         found = [(int(k[len(prefix) :]), k) for k in self.keys() if k.startswith(prefix) and k[len(prefix) :].isdigit()]
         return max((x for x in found if x[0] >= release), default=(0, None))[1]
 
+    def reuse(self, prefix: str, release: int, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that later releases hold as well: the latest stored one serves, and older ones go."""
+        key = self.latest(prefix, release)
+        if key is None:
+            key = f"{prefix}{release}"
+            self.write(key, build())
+        for k in self.keys():
+            if k.startswith(prefix) and k[len(prefix) :].isdigit() and k != key:
+                self.remove(k)
+        return self.read(key)
+
     def compact(self, key: str, files: int = 1) -> None:
-        """Rewrites a table into so many files, beside it first."""
+        """Rewrites a table into so many files. The old one is moved aside before the new one takes its place, and
+        removed last; recover() puts right what an interruption leaves."""
         self.write(f"{key}__new", self.read(key).repartition(files), overwrite=True)
-        self.remove(key)
-        jvm, (p, fs) = self.spark.sparkContext._jvm, self._fs()
-        fs.rename(jvm.org.apache.hadoop.fs.Path(p, f"{key}__new"), jvm.org.apache.hadoop.fs.Path(p, key))
-
-
-def releases_of(names: DataFrame, organism: str, column: str = "name") -> DataFrame:
-    """(database, release) of schema names `<organism>_core_<release>_<build>`; other names do not count."""
+        self._move(key, f"{key}__old")
+        self._move(f"{key}__new", key)
+        self.remove(f"{key}__old")
+
+    def _move(self, a: str, b: str) -> None:
+        path, (p, fs) = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path, self._fs()
+        if not fs.rename(path(p, a), path(p, b)):
+            raise OSError(f"can't move {a} to {b}")
+
+    def recover(self) -> None:
+        for k in self.keys():
+            if k.endswith("__old"):
+                if k[:-5] in self:
+                    self.remove(k)
+                else:
+                    self._move(k, k[:-5])
+        for k in self.keys():
+            if k.endswith("__new"):
+                self.remove(k)
+
+
+class Matches:
+    """Stored results of conversions by dataset, which hold as long as the dataset's names are the same."""
+
+    def __init__(self, store: Store):
+        self.store = store
+
+    def get(self, dataset: str, names: DataFrame, convert: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        asked = names.toDF("query_id").distinct()
+        key, old = f"match_{dataset}", f"match_{dataset}_names"
+        if key in self.store and old in self.store:
+            was = self.store.read(old)
+            if asked.exceptAll(was).isEmpty() and was.exceptAll(asked).isEmpty():
+                return self.store.read(key)
+        self.store.write(key, convert(asked), overwrite=True)
+        self.store.write(old, asked, overwrite=True)
+        return self.store.read(key)
+
+
+def table_name(kind: str, release: int, *parts: str, form: str | None = None) -> str:
+    """The name under which a table of a release is stored."""
+    return "_".join([f"ens{release}", kind, *parts, *([form] if form else [])])
+
+
+def releases_of(names: DataFrame, organism: str, column: str = "name", first: int | None = None, last: int | None = None) -> DataFrame:
+    """(database, release) of schema names `<organism>_core_<release>_<build>`, first to last; other names do not count,
+    and neither do releases that are no whole number above 0."""
     rx = rf"^{organism}_core_([0-9]+)_.+$"
     d = names.filter(F.col(column).rlike(rx))
-    return d.select(F.col(column).alias("database"), F.regexp_extract(column, rx, 1).cast("int").alias("release")).orderBy("release", "database")
+    d = d.select(F.col(column).alias("database"), F.regexp_extract(column, rx, 1).try_cast("int").alias("release")).filter("release > 0")
+    if first is not None:
+        d = d.filter(F.col("release") >= first)
+    if last is not None:
+        d = d.filter(F.col("release") <= last)
+    return d.orderBy("release", "database")
+
+
+def database_of(names: DataFrame, organism: str, release: int, column: str = "name") -> str:
+    """The one schema of a release."""
+    found = [r.database for r in releases_of(names, organism, column, release, release).take(2)]
+    if len(found) != 1:
+        raise LookupError(f"{len(found) or 'no'} schemas of {organism} {release}: {found}")
+    return found[0]
+
+
+class Indicators:
+    """Builders of tables by name, `base` or `base_parameter`, with a store in front of them."""
+
+    def __init__(self, store: Store | None = None):
+        self.builders: dict[str, Callable[..., DataFrame]] = {}
+        self.store = store
+
+    def add(self, name: str, build: Callable[..., DataFrame]) -> Indicators:
+        self.builders[name] = build
+        return self
+
+    def get(self, indicator: str, create: bool = False, save: bool = True, overwrite: bool = False) -> DataFrame:
+        base = max((n for n in self.builders if indicator == n or indicator.startswith(f"{n}_")), key=len, default=None)
+        if base is None:
+            raise KeyError(f"{indicator}: not one of {sorted(self.builders)}")
+        more = [indicator[len(base) + 1 :]] if indicator != base else []
+        build = lambda: self.builders[base](*more)
+        return self.store.get(indicator, build, create, save, overwrite) if self.store else build()
+
+
+def payload(spark: SparkSession, source: str, timeout: float = 10.0) -> DataFrame:
+    """(json) of a file that Spark reads, or of an http(s) address."""
+    if source.startswith(("http://", "https://")):
+        from urllib.request import urlopen
+
+        with urlopen(source, timeout=timeout) as got:  # noqa: S310
+            return spark.createDataFrame([(got.read().decode(),)], "json string")
+    return spark.read.text(source, wholetext=True).toDF("json")
+
+
+def read_config(spark: SparkSession, path: str, default: str | None = None) -> DataFrame:
+    """A configuration tree from a YAML (or JSON) file, the default one where there is none at path."""
+    import json
+    import os
+
+    use = path if os.path.exists(path) else default
+    if use is None:
+        raise FileNotFoundError(path)
+    with open(use) as f:
+        text = f.read()
+    try:
+        tree = json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError as e:
+            raise ImportError(f"{use} is no JSON, and there is no yaml package to read it with") from e
+        tree = yaml.safe_load(text)
+    return flatten_config(spark, tree)
+
+
+def config_paths(folder: str, organism: str) -> dict[str, str]:
+    """Where the template of an organism's configuration and its edited form lie."""
+    return {"template": f"{folder.rstrip('/')}/{organism}_externals_template.yml", "modified": f"{folder.rstrip('/')}/{organism}_externals_modified.yml"}
+
+
+def write_template(config: DataFrame, organism: str, form: str, path: str) -> None:
+    """config_template() as a tree, in JSON, which YAML readers take: a row for each database and assembly."""
+    import json
+
+    tree: dict = {organism: {form: {}}}
+    for r in config.orderBy("db", "assembly").collect():
+        spec = tree[organism][form].setdefault(r["db"], {"assembly": {}, "db_index": r["db_index"]})
+        spec["assembly"][str(r["assembly"])] = {"release": r["releases"], "include": bool(r["include"])}
+    with open(path, "w") as f:
+        json.dump(tree, f, indent=1, sort_keys=True)
+
+
+def matrix(spark: SparkSession, path: str, dataset: str, fmt: str = "parquet", obs: str = "obs", feature: str = "feature", value: str = "value", wide: bool = False, **options) -> DataFrame:
+    """(dataset, obs, feature, value) of a table with a row a cell, or with `wide` a column a feature; cells that are
+    zero or null are left out."""
+    df = read(spark, path, fmt, **options)
+    if wide:
+        df = df.unpivot(obs, [c for c in df.columns if c != obs], feature, value)
+    out = df.select(F.lit(dataset).alias("dataset"), F.col(obs).cast("string").alias("obs"), F.col(feature).alias("feature"), F.col(value).cast("double").alias("value"))
+    return out.filter("value is not null and value <> 0")
+
+
+def features(spark: SparkSession, path: str, fmt: str = "parquet", column: str = "feature", **options) -> DataFrame:
+    """(feature, place): a matrix's names in the order of their first appearance; only their column is read."""
+    d = read(spark, path, fmt, columns=[column], **options).select(F.col(column).alias("feature"), F.monotonically_increasing_id().alias("place"))
+    return d.groupBy("feature").agg(F.min("place").alias("place"))
 
 
 def species(payload: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,10 +14,19 @@ def id_counts(stream: DataFrame, watermark: str = "1 hour", window: str = "1 hou
 
 
 def append_releases(stream: DataFrame, path: str, checkpoint: str):
-    """Writes each micro-batch of (release, stable_id, version), once a row, under its release; a replayed batch
-    overwrites the releases that it holds, so a restart repeats nothing."""
+    """Keeps a table of (release, stable_id, version), one row an id and release, under path. A micro-batch brings rows of
+    any releases: those of its releases that are there already stay, so a release may come in several batches; of an id
+    that comes twice the later batch counts. A batch is written beside the table under its number and a restart replays
+    it to the same rows, so nothing is lost or doubled; read_releases() takes the last row of each id."""
 
-    def save(batch: DataFrame, _: int) -> None:
-        batch.dropDuplicates(["release", "stable_id"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("release").parquet(path)
+    def save(batch: DataFrame, number: int) -> None:
+        rows = batch.dropDuplicates(["release", "stable_id"]).withColumn("batch", F.lit(number).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "release").parquet(path)
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_releases(spark: SparkSession, path: str) -> DataFrame:
+    """(release, stable_id, version) as all batches so far have left it."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy("release", "stable_id").agg(F.max_by("version", "batch").alias("version"))
