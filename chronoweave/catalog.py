@@ -201,7 +201,7 @@ for _p, _v in {"add": "1", "drop": "NULL", "keep": "version"}.items():
     query(f"version_policy_{_p}", f"SELECT release, stable_id, CAST({_v} AS int) AS version FROM ids", "ids")(on(lambda t, p=_p: prep.version_policy(t.ids, p)))
 query("config_template", "SELECT db, assembly, string_agg(CAST(release AS string), ',' ORDER BY release) AS releases, false AS include, CAST(dense_rank() OVER (ORDER BY db) - 1 AS int) AS db_index FROM (SELECT DISTINCT db, assembly, release FROM conn) GROUP BY db, assembly", "conn")(on(lambda t: store.config_template(t.conn)))
 query("config_allowed", "SELECT DISTINCT db FROM conn WHERE release = 9 AND db LIKE 'Brand#2%'", "conn")(on(lambda t: store.allowed(store.config_template(t.conn).withColumn("include", F.col("db").startswith("Brand#2")), 9)))
-query("release_discovery", "SELECT concat('world_core_', CAST(r_regionkey AS string), '_1') AS database, r_regionkey AS release FROM region")(on(lambda t: store.releases_of(t.region.select(F.explode(F.array(F.concat(F.lit("world_core_"), F.col("r_regionkey").cast("string"), F.lit("_1")), F.concat(F.lit("world_core_x_"), "r_name"))).alias("name")), "world")))
+query("release_discovery", "SELECT concat('world_core_', CAST(r_regionkey AS string), '_1') AS database, r_regionkey AS release FROM region WHERE r_regionkey > 0")(on(lambda t: store.releases_of(t.region.select(F.explode(F.array(F.concat(F.lit("world_core_"), F.col("r_regionkey").cast("string"), F.lit("_1")), F.concat(F.lit("world_core_x_"), "r_name"))).alias("name")), "world")))
 
 # -- ranges
 query("active_ranges", "SELECT stable_id AS node, CAST(row_number() OVER (PARTITION BY stable_id ORDER BY min(release)) AS int) AS seq, min(release) AS start, max(release) AS \"end\" FROM (SELECT *, release - row_number() OVER (PARTITION BY stable_id ORDER BY release) AS g FROM ids) GROUP BY stable_id, g", "ids")(on(lambda t: ft.to_ranges(t.ids.withColumnRenamed("stable_id", "node"), ["node"])))
