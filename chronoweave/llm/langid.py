@@ -8,8 +8,8 @@ state has been carried through the `HALO` bytes before (backwards: behind) them;
 depend on their text only, so a document's score does not depend on its neighbours.
 
 Training: up to `per_lang` documents of each language from folds 1-4, those of at most `fit_bytes` bytes first, then by
-hash of the id; their whole texts reach the driver, so the bound is `per_lang` documents of each of at most `most_labels`
-languages (the most frequent; rarer ones are never predicted). Backpropagation through time over stretches of `STRETCH`
+hash of the id, and no more than `fit_rows` of all; their whole texts reach the driver. Learned are at most `most_labels`
+languages, the most frequent; rarer ones are never predicted. Backpropagation through time over stretches of `STRETCH`
 bytes with Adam, seeded.
 
 A null text or one without a letter is `und` with score 0; so is every text if no labelled row was there to learn from.
@@ -218,11 +218,12 @@ def score(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     return out
 
 
-def train(docs: DataFrame, per_lang: int = 400, fit_bytes: int = 8192, most_labels: int = 100, hidden: int = 8, updates: int = 600) -> Model:
+def train(docs: DataFrame, per_lang: int = 400, fit_rows: int = 4000, fit_bytes: int = 8192, most_labels: int = 100, hidden: int = 8, updates: int = 600) -> Model:
     d = docs.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), F.octet_length("text").alias("__b")).filter("__id is not null and __lang is not null and __b > 0").filter(fold("__id") != 0)
     short = F.col("__b") <= fit_bytes
     n = materialise(d.groupBy("__lang").agg(F.count("*").alias("__all"), F.count_if(short).alias("__short")), "languages")
-    n = n.orderBy(F.desc("__all"), "__lang").limit(most_labels)
+    n = materialise(n.orderBy(F.desc("__all"), "__lang").limit(most_labels), "learned")
+    per_lang = max(1, min(per_lang, fit_rows // max(1, n.count())))
     # A hash thins each language to about twice per_lang documents before they are ranked, so none meets whole in a task.
     enough = F.col("__short") >= per_lang
     n = n.select("__lang", enough.alias("__enough"), (2.0 * per_lang / F.when(enough, F.col("__short")).otherwise(F.col("__all"))).alias("__share"))

@@ -13,6 +13,7 @@ from chronoweave.llm import mixing, queries
 
 def test_dealt_is_what_the_quotas_foretell(spark):
     d = docs_of(spark, 400)
+    d = d.unionByName(spark.createDataFrame([(10**9, "w " * 200_000, "hot", "x", 1)], d.schema))
     d = d.unionByName(d.filter("doc_id < 20")).unionByName(d.filter("doc_id < 3").selectExpr("cast(null as long) doc_id", "text", "source", "`__size`", "draws"))
     assert sorted(map(str, mixing.dealt(d).collect())) == sorted(map(str, mixing.taken(d).collect()))
     assert mixing.dealt(d.limit(0)).count() == 0
