@@ -247,6 +247,9 @@ query("compose_forms", "SELECT node, form FROM (SELECT c_name AS node, CASE WHEN
 query("prune_history", "SELECT * FROM edges WHERE src LIKE '%.Void' OR src LIKE '%.Retired' OR dst LIKE '%.Retired' OR CAST(substr(split_part(src, '.', 1), 2) AS int) % 2 = 0 OR CAST(substr(split_part(dst, '.', 1), 2) AS int) % 2 = 0", "edges")(
     on(lambda t: graph.prune_history(t.edges, graph.nodes(t.ids).select("node", F.when(F.substring("id", 2, 6).cast("int") % 2 == 1, "transcript").otherwise("gene").alias("node_type")), ["transcript"])))
 
+query("forms_history", "SELECT * FROM edges", "edges")(on(lambda t: graph.forms_history({"gene": (t.ids, t.history), "transcript": (t.relation.select("release", F.col("transcript").alias("stable_id"), F.lit(1).alias("version")).distinct(), t.history.limit(0))})[0]))
+query("aligned_rows", "SELECT c_custkey, c_name FROM customer", )(on(lambda t: harmonize.aligned(t.customer.select("c_custkey", "c_name"), t.customer.select("c_custkey", (-F.col("c_custkey")).alias("place")), "c_custkey")))
+
 # -- search
 query("name_resolution", "SELECT q AS query, CASE WHEN k % 4 <> 3 THEN n END AS node, CASE WHEN k % 4 <> 3 THEN n <> q END AS was_modified FROM (SELECT k, concat('part-', CAST(k AS string), '_x') AS n, CASE k % 4 WHEN 0 THEN concat('part-', CAST(k AS string), '_x') WHEN 1 THEN concat('PART-', CAST(k AS string), '_X') WHEN 2 THEN concat('part_', CAST(k AS string), '-x.2') ELSE concat('none', CAST(k AS string)) END AS q FROM (SELECT p_partkey AS k FROM part))")(
     on(lambda t: search.resolve(t.part.select(F.col("p_partkey").alias("k"), (k := F.col("p_partkey").cast("string"))).select(F.when(F.col("k") % 4 == 0, F.concat(F.lit("part-"), "p_partkey", F.lit("_x"))).when(F.col("k") % 4 == 1, F.concat(F.lit("PART-"), "p_partkey", F.lit("_X"))).when(F.col("k") % 4 == 2, F.concat(F.lit("part_"), "p_partkey", F.lit("-x.2"))).otherwise(F.concat(F.lit("none"), "p_partkey")).alias("query")), t.part.select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string"), F.lit("_x")).alias("name")))))
@@ -259,6 +262,11 @@ def _walks(t: T, to: int, back: bool = False) -> DataFrame:
     return search.walk(q, t.edges).select("query_id", "target", search.path_text().alias("path"), F.size("path").alias("steps"), search.path_score().alias("score"))
 
 
+def _reductions(t: T) -> DataFrame:
+    q = t.ids.filter("release <= 12").select(F.concat("stable_id", F.lit("@"), F.col("release").cast("string")).alias("query_id"), fid.versioned(F.col("stable_id"), F.col("version")).alias("node"), "release", F.lit(12).alias("to_release"), F.lit(False).alias("reverse"))
+    return search.walk(q, t.edges).select("query_id", "target", search.path_text().alias("path"), search.path_score(reduction="sum").alias("total"), *[F.when(F.size("path") > 0, search.path_score(remove_na=how)).alias(name) for name, how in (("as_zero", "to_0"), ("as_one", "to_1"))])
+
+
 #: The most steps that SQL unrolls; more than any path of the given tables has.
 _STEPS = 14
 
@@ -281,7 +289,7 @@ def _walk_sql(starts: str, to: int, back: bool, name: str = "paths", steps: int
 {p}x{i} AS (SELECT * REPLACE (concat(path, coalesce(string_agg(CASE WHEN passed THEN concat(';', key) END, '') OVER o, '')) AS path, steps + coalesce(sum(CAST(passed AS int)) OVER o, 0) AS steps, sw + coalesce(sum(CASE WHEN passed THEN weight END) OVER o, 0) AS sw, nw + coalesce(sum(CASE WHEN passed AND weight IS NOT NULL THEN 1 END) OVER o, 0) AS nw) FROM {p}c{i} WINDOW o AS (PARTITION BY q, node, rel, path ORDER BY hop{d}, flag{d}, far, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 {p}{i + 1} AS (SELECT DISTINCT q, far AS node, hop AS rel, concat(path, ';', key) AS path, steps + 1 AS steps, sw + coalesce(weight, 0) AS sw, nw + CAST(weight IS NOT NULL AS int) AS nw FROM {p}x{i} WHERE NOT used AND NOT reached AND NOT flag)"""
     done = " UNION ALL ".join(f"SELECT q, node, path, steps, sw, nw FROM {p}x{i} WHERE NOT used AND (reached AND node NOT LIKE '%.Void' AND node NOT LIKE '%.Retired' OR NOT reached AND flag AND until IS NULL) UNION ALL SELECT q, node, concat(path, ';', key), steps + 1, sw + coalesce(weight, 0), nw + CAST(weight IS NOT NULL AS int) FROM {p}x{i} WHERE NOT used AND NOT reached AND flag AND spans" for i in range(steps))
-    return text + f",\n{name} AS (SELECT DISTINCT q AS query_id, node AS target, substr(path, 2) AS path, CAST(steps AS int) AS steps, CASE WHEN nw > 0 THEN sw / nw END AS score FROM ({done}))"
+    return text + f",\n{name} AS (SELECT DISTINCT q AS query_id, node AS target, substr(path, 2) AS path, CAST(steps AS int) AS steps, CASE WHEN nw > 0 THEN sw / nw END AS score, sw, nw FROM ({done}))"
 
 
 def _walk_query(name: str, to: int, tail: str, fn, back: bool = False) -> None:
@@ -290,10 +298,11 @@ def _walk_query(name: str, to: int, tail: str, fn, back: bool = False) -> None:
     _SQL[name] = _with("edges") + _walk_sql(starts, to, back) + tail
 
 
-_walk_query("walk_forward", 12, " SELECT * FROM paths", on(lambda t: _walks(t, 12)))
-_walk_query("walk_reverse", 15, " SELECT * FROM paths", on(lambda t: _walks(t, 15, back=True)), back=True)
+_walk_query("walk_forward", 12, " SELECT query_id, target, path, steps, score FROM paths", on(lambda t: _walks(t, 12)))
+_walk_query("walk_reverse", 15, " SELECT query_id, target, path, steps, score FROM paths", on(lambda t: _walks(t, 15, back=True)), back=True)
 _BEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, target ORDER BY score DESC NULLS LAST, steps, path) AS n FROM paths) WHERE n = 1)"
 _walk_query("path_score_best", 14, f" SELECT query_id, target, path, steps, score FROM {_BEST}", on(lambda t: search.best_per_target(_walks(t, 14).withColumns({k: F.lit(0) for k in ("assembly_jump", "external_jump", "external_step")})).select("query_id", "target", "path", "steps", "score")))
+_walk_query("path_reductions", 12, " SELECT query_id, target, path, CASE WHEN nw > 0 THEN sw END AS total, CASE WHEN steps > 0 THEN sw / steps END AS as_zero, CASE WHEN steps > 0 THEN (sw + steps - nw) / steps END AS as_one FROM paths", on(lambda t: _reductions(t)))
 _walk_query("path_density", 14, " SELECT i.q AS query_id, any_value(n) AS n_paths FROM (SELECT concat(stable_id, '@', CAST(release AS string)) AS q FROM ids) i LEFT JOIN (SELECT query_id, count(*) AS n FROM paths GROUP BY 1) p ON p.query_id = i.q GROUP BY 1", on(lambda t: qa.path_density(t.ids.select(F.concat("stable_id", F.lit("@"), F.col("release").cast("string")).alias("query_id")), _walks(t, 14))))
 _walk_query("clash_stats", 14, " SELECT target, count(*) AS n_queries, bool_or(n = 1) AS one_to_one, bool_or(n > 1) AS one_to_many FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM (SELECT DISTINCT query_id, target FROM paths)) GROUP BY 1 HAVING count(*) > 1", on(lambda t: harmonize.clashes(_walks(t, 14))))
 query("next_edges_forward", "SELECT *, (far = node) AND count(*) OVER (PARTITION BY node, release, hop) = 1 AS is_loop FROM (SELECT node, release, far, hop, until FROM (SELECT s.node, s.release, e.dst AS far, e.old_release AS hop, e.new_release AS until, split_part(e.dst, '.', 1) = split_part(s.node, '.', 1) AND e.dst <> s.node AS mv, rank() OVER (PARTITION BY s.node, s.release, split_part(e.dst, '.', 1) = split_part(s.node, '.', 1) AND e.dst <> s.node ORDER BY e.old_release) AS rk FROM (SELECT DISTINCT " + V + " AS node, release FROM ids) s JOIN edges e ON e.src = s.node WHERE e.old_release >= s.release OR e.new_release IS NULL) WHERE NOT mv OR rk = 1)", "edges")(

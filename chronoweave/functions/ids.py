@@ -29,6 +29,8 @@ MISSING = [
 ]
 PLACEHOLDER = "_PLACEHOLDER_NA_"
 SYNONYM = "synonym_id::"
+#: Nodes before an id's birth and after its end.
+SENTINEL = r"\.(Void|Retired)$"
 SUFFIX = r"^(.+)(_|-|\.)[0-9]+$"
 
 

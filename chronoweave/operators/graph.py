@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ids import uppercase_count, versioned
+from ..functions.ids import SENTINEL, split_id, uppercase_count, versioned
 from ..functions.temporal import to_ranges
 from ..schema import FORMS, OPEN, assert_unique
 from . import prep
@@ -126,7 +126,7 @@ def problem_nodes(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Nodes of edges that are neither ids of any release nor sentinels."""
     n = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     known = ids.select(versioned(F.col("stable_id"), F.col("version")).alias("node")).distinct()
-    return n.filter(~F.col("node").rlike(r"\.(Void|Retired)$")).join(known, "node", "left_anti")
+    return n.filter(~F.col("node").rlike(SENTINEL)).join(known, "node", "left_anti")
 
 
 def connection_edges(xref: DataFrame, relation: DataFrame, main: int = 38) -> DataFrame:
@@ -211,7 +211,7 @@ def edge_events(edges: DataFrame) -> DataFrame:
     e = edges.filter("src <> dst or new_release is null")
     births = e.filter("src <> dst").select(F.col("dst").alias("node"), F.col("new_release").alias("release"), F.lit(True).alias("is_birth"))
     ends = e.select(F.col("src").alias("node"), F.when(F.col("src") == F.col("dst"), F.lit(OPEN)).otherwise(F.col("old_release")).alias("release"), F.lit(False).alias("is_birth"))
-    return births.unionByName(ends).filter(~F.col("node").rlike(r"\.(Void|Retired)$"))
+    return births.unionByName(ends).filter(~F.col("node").rlike(SENTINEL))
 
 
 def full(ids: DataFrame, relation: DataFrame, xref: DataFrame, main: int = 38) -> tuple[DataFrame, DataFrame]:
@@ -253,3 +253,20 @@ def sentinel_ranges(edges: DataFrame) -> DataFrame:
     j = ends.join(back, "node", "left").filter("until is null or until >= start").groupBy("node", "start").agg(F.min("until").alias("end"))
     alone = ends.join(j.select("node", "start"), ["node", "start"], "left_anti").withColumn("end", F.lit(None).cast("int"))
     return j.unionByName(alone)
+
+
+def forms_history(forms: dict[str, tuple[DataFrame, DataFrame]], keep: str = "gene") -> tuple[DataFrame, DataFrame]:
+    """(edges, types) of the histories of several forms (ids, events), of which only that of `keep` stays: nodes of the
+    others keep their type, and lose their edges to each other and their sentinels."""
+    edges, types = None, {}
+    for form, (ids, events) in forms.items():
+        h = history_edges(ids, events)
+        edges = h if edges is None else edges.unionByName(h)
+        own = ids.select(versioned(F.col("stable_id"), F.col("version")).alias("node")).distinct()
+        types[form] = own.withColumn("form", F.lit(form))
+    types = compose(types).withColumnRenamed("form", "node_type")
+    # A sentinel has the type of the id that it stands for.
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().filter(F.col("node").rlike(SENTINEL))
+    bare = types.select(split_id(F.col("node"))[0].alias("id"), "node_type").distinct()
+    ends = ends.withColumn("id", split_id(F.col("node"))[0]).join(bare, "id").select("node", "node_type")
+    return prune_history(edges, types.unionByName(ends), [f for f in forms if f != keep]), types

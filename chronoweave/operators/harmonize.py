@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ids import is_numeric, missing_to
-from ..schema import ContractError, assert_unique
+from ..schema import ContractError, assert_subset, assert_unique
 from . import prep
 from .summary import text_set
 
@@ -117,3 +117,9 @@ def clashes(converted: DataFrame) -> DataFrame:
 def genes_of_names(matches: DataFrame) -> DataFrame:
     """(target, genes): the genes behind each name, as sorted text."""
     return matches.filter("target is not null").groupBy("target").agg(text_set("gene").alias("genes"))
+
+
+def aligned(df: DataFrame, order: DataFrame, key: str) -> DataFrame:
+    """Rows of df in the order of another table (key, place), every key of which must be there once."""
+    assert_subset(order.select(key), df, [key])
+    return order.join(assert_unique(df, key), key).orderBy("place").select(*df.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import versioned
+from ..functions.ids import SENTINEL, versioned
 from ..functions.temporal import closed, contains, to_points
 from ..session import cut
 
@@ -24,7 +24,7 @@ def invariants(ids: DataFrame, history: DataFrame, ranges: DataFrame) -> DataFra
         "overlapping_ranges": a.join(b, "node").filter((F.col("q2") == F.col("seq") + 1) & (F.col("s2") <= closed(F.col("end")))),
         "empty_ranges": ranges.filter(F.col("start") > closed(F.col("end"))),
         "edges_back_in_time": history.filter("new_release < old_release"),
-        "unknown_nodes": history.select("src").distinct().filter(~F.col("src").rlike(r"\.(Void|Retired)$")).join(have.select(F.col("node").alias("src")).distinct(), "src", "left_anti"),
+        "unknown_nodes": history.select("src").distinct().filter(~F.col("src").rlike(SENTINEL)).join(have.select(F.col("node").alias("src")).distinct(), "src", "left_anti"),
     }
     out = None
     for name, df in checks.items():

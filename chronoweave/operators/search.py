@@ -13,13 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ids import SYNONYM, separators_unified, split_id, variant_order, without_suffix
+from ..functions.ids import SENTINEL, SYNONYM, separators_unified, split_id, variant_order, without_suffix
 from ..functions.temporal import closed, contains, entry_points, opened
 from ..schema import PRIORITY
 from ..session import cut
 
 STEP = "struct<a: string, b: string, key: string, release: int, w: double, pri: array<int>>"
-SENTINEL = r"\.(Void|Retired)$"
 #: Names that may be walked through either way where the search is shallow.
 BOTH_WAYS = ("external", "base")
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import SENTINEL
 from ..functions.temporal import to_points, to_ranges
 from ..schema import FORMS, ContractError
 from . import prep
 
-SENTINEL = r"\.(Void|Retired)$"
 
 
 def text_set(c: str) -> Column:

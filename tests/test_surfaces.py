@@ -189,6 +189,10 @@ def test_harmonise(spark):
     with pytest.raises(ValueError):
         harmonize.combine(x, "other")
     assert harmonize.combine(x, fill=True).count() == 4
+    rows = df(spark, "k string, v int", ("a", 1), ("b", 2))
+    assert [r.k for r in harmonize.aligned(rows, df(spark, "k string, place int", ("b", 1), ("a", 2)), "k").collect()] == ["b", "a"]
+    with pytest.raises(schema.ContractError):
+        harmonize.aligned(rows, df(spark, "k string, place int", ("c", 1)), "k")
     drawn = [r.obs for r in qa.draw(spark.range(100).selectExpr("cast(id as string) obs"), "obs", 7).collect()]
     assert len(drawn) == 7 and drawn == [r.obs for r in qa.draw(spark.range(100).repartition(3).selectExpr("cast(id as string) obs"), "obs", 7).collect()]
 
