@@ -196,11 +196,10 @@ def synonyms(queries: DataFrame, conn: DataFrame, wanted: str, depth: int = 2, h
     id that it came from, into a hub (a name with more than `hub` neighbours), or by a step that the release lacks;
     shallow: only away from genes, but for externals and bases. First with a depth of 2; queries that find nothing then
     search to `depth`. With ranges (node, start, end), genes count while they live at the release."""
-    e = typed(conn)
+    e = conn if "facts" in conn.columns else cut(typed(conn), "typed")  # or typed() already
     if hub is not None:
-        many = conn.select("src", "dst").distinct().groupBy("src").count().filter(F.col("count") > hub).select(F.col("src").alias("dst"))
-        e = e.join(many, "dst", "left_anti").select(*e.columns)
-    e = cut(e, "typed")
+        many = e.filter("up").groupBy("src").count().filter(F.col("count") > hub).select(F.col("src").alias("dst"))
+        e = cut(e.join(many, "dst", "left_anti").select(*e.columns), "typed")
     state = queries.select("query_id", F.col("release").cast("int").alias("release"), "node", "node_type", F.array("node").alias("path"), F.array("node_type").alias("types"), F.array().cast(f"array<{STEP}>").alias("steps"))
     if wanted_db is not None:  # a node that begins as external has the facts of all its connections
         own = e.filter("up").groupBy("src").agg(F.flatten(F.collect_list("facts")).alias("last"))
