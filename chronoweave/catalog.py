@@ -363,32 +363,42 @@ def _convert_to_one(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("convert_unknown_release")
 def _convert_unknown_release(spark: SparkSession, sf: str) -> DataFrame:
-    """Names of parts without a release, towards the last one, with the way that each took."""
+    """Names of parts without a release, towards the last one."""
     t = T(spark, sf)
-    return plan.convert(_tables(t), _externals(t).withColumns({"from_release": F.lit(None).cast("int"), "to_release": F.lit(None).cast("int")}), go_external=False, return_path=True)
+    return plan.convert(_tables(t), _externals(t).withColumns({"from_release": F.lit(None).cast("int"), "to_release": F.lit(None).cast("int")}), go_external=False)
 
 
 # Strict: genes that a part names at release 9. Loose, for parts that this leaves without a path: for each gene id that
 # it ever names, where that lies nearest to 14.
 _PRI = "list_sort(list_distinct(list(CASE WHEN c.assembly = 38 THEN 1 ELSE 2 END))) AS pri"
-_STRICT = f"""
-, strict AS (SELECT DISTINCT c.src AS p, c.dst AS node, 9 AS rel, {_PRI} FROM conn c JOIN ranges r ON r.node = c.dst AND r.s <= 9 AND 9 <= coalesce(r.e, 2147483647) WHERE c.release = 9 AND c.db NOT LIKE 'form_%' GROUP BY c.src, c.dst)"""
-_LOOSE = f"""
+_START = "SELECT DISTINCT concat(node, '@', CAST(rel AS string)) AS q, node, rel FROM {}"
+
+
+def _external_sql(begin: str, to: int) -> str:
+    """What parts become at `to`: begin gives (p, rel), the release at which each is asked."""
+    strict = f"""
+, asked AS ({begin}), strict AS (SELECT c.src AS p, c.dst AS node, a.rel, {_PRI} FROM conn c JOIN asked a ON a.p = c.src AND a.rel = c.release JOIN ranges r ON r.node = c.dst AND r.s <= a.rel AND a.rel <= coalesce(r.e, 2147483647) WHERE c.db NOT LIKE 'form_%' GROUP BY c.src, c.dst, a.rel)"""
+    loose = f"""
 , solved AS (SELECT DISTINCT b.p FROM strict b JOIN sf w ON w.query_id = concat(b.node, '@', CAST(b.rel AS string))),
 named AS (SELECT c.src AS p, c.dst AS node, {_PRI} FROM conn c WHERE c.db NOT LIKE 'form_%' AND c.src NOT IN (SELECT p FROM solved) GROUP BY c.src, c.dst),
 points AS (SELECT n.p, n.node, n.pri, r.s, r.e, coalesce(r.e, 2147483647) AS f FROM named n JOIN ranges r USING (node)),
-entered AS (SELECT p, node, pri, s AS rel, s > 14 AS rev FROM points WHERE s >= 14 UNION ALL SELECT p, node, pri, f, false FROM points WHERE s < 14 AND f <= 14 UNION ALL SELECT p, node, pri, s, true FROM points WHERE s < 14 AND f > 14 UNION ALL SELECT p, node, pri, f, false FROM points WHERE s < 14 AND f > 14),
-loose AS (SELECT DISTINCT p, node, pri, rel, rev FROM (SELECT *, rank() OVER (PARTITION BY p, split_part(node, '.', 1) ORDER BY abs(rel - 14)) AS k FROM entered) WHERE k = 1),
+entered AS (SELECT p, node, pri, s AS rel, s > {to} AS rev FROM points WHERE s >= {to} UNION ALL SELECT p, node, pri, f, false FROM points WHERE s < {to} AND f <= {to} UNION ALL SELECT p, node, pri, s, true FROM points WHERE s < {to} AND f > {to} UNION ALL SELECT p, node, pri, f, false FROM points WHERE s < {to} AND f > {to}),
+loose AS (SELECT DISTINCT p, node, pri, rel, rev FROM (SELECT *, rank() OVER (PARTITION BY p, split_part(node, '.', 1) ORDER BY abs(rel - {to})) AS k FROM entered) WHERE k = 1),
 begin AS (SELECT p, node, pri, rel, false AS rev FROM strict WHERE p IN (SELECT p FROM solved) UNION ALL SELECT * FROM loose)"""
-_START = "SELECT DISTINCT concat(node, '@', CAST(rel AS string)) AS q, node, rel FROM {}"
-_EXTERNAL = _with("ranges", "conn") + _STRICT + _walk_sql(_START.format("strict"), 14, False, "sf") + _LOOSE + _walk_sql(_START.format("begin WHERE NOT rev"), 14, False, "fw") + _walk_sql(_START.format("begin WHERE rev"), 14, True, "bk") + """
+    return _with("ranges", "conn") + strict + _walk_sql(_START.format("strict"), to, False, "sf") + loose + _walk_sql(_START.format("begin WHERE NOT rev"), to, False, "fw") + _walk_sql(_START.format("begin WHERE rev"), to, True, "bk") + """
 , went AS (SELECT b.p, w.target, w.score, w.steps, w.path, CASE WHEN w.steps = 0 THEN b.pri ELSE [1] END AS last_pri FROM begin b JOIN (SELECT *, false AS rev FROM fw UNION ALL SELECT *, true FROM bk) w ON w.rev = b.rev AND w.query_id = concat(b.node, '@', CAST(b.rel AS string))),
+ever AS (SELECT DISTINCT src FROM conn)"""
+
+
+_EXTERNAL = _external_sql(f"SELECT p, 9 AS rel FROM {_PART}", 14) + """,
 best AS (SELECT p, target, last_pri FROM (SELECT *, row_number() OVER (PARTITION BY p, target ORDER BY score DESC NULLS LAST, steps, path, len(last_pri) DESC) AS k FROM went) WHERE k = 1),
 known AS (SELECT dst AS target, list_sort(list_distinct(list(CASE WHEN assembly = 38 THEN 1 ELSE 2 END))) AS pri FROM (SELECT dst, assembly, release FROM conn UNION ALL SELECT """ + V + """, 38, release FROM ids) WHERE release = 14 GROUP BY 1),
 hop AS (SELECT dst AS target, src AS final, list_sort(list_distinct(list(CASE WHEN assembly = 38 THEN 1 ELSE 2 END))) AS pri FROM conn WHERE db = 'Brand#11' AND release = 14 GROUP BY 1, 2 HAVING bool_or(assembly = 38)),
-finals AS (SELECT b.*, h.final, 0 AS confidence, h.pri AS final_pri FROM best b JOIN hop h USING (target) UNION ALL SELECT b.*, b.target, NULL, coalesce(k.pri, [2147483647]) FROM best b LEFT JOIN known k USING (target) WHERE b.target NOT IN (SELECT target FROM hop)),
-ever AS (SELECT DISTINCT src FROM conn)"""
+finals AS (SELECT b.*, h.final, 0 AS confidence, h.pri AS final_pri FROM best b JOIN hop h USING (target) UNION ALL SELECT b.*, b.target, NULL, coalesce(k.pri, [2147483647]) FROM best b LEFT JOIN known k USING (target) WHERE b.target NOT IN (SELECT target FROM hop))"""
 _STATUS = "SELECT q.p AS query_id, CASE WHEN f.target IS NOT NULL THEN q.p END AS node, f.target, f.final, f.confidence, CASE WHEN f.confidence IS NOT NULL THEN 'converted' WHEN f.target IS NOT NULL THEN 'no_target' WHEN q.p IN (SELECT src FROM ever) THEN 'no_conversion' ELSE 'no_corresponding' END AS status"
+# Where a name's own releases all end before the last, the walk begins at the first of these ends.
+_ISLANDS = "SELECT p, min(e) AS rel FROM (SELECT p, max(release) AS e FROM (SELECT *, release - row_number() OVER (PARTITION BY p ORDER BY release) AS g FROM (SELECT DISTINCT src AS p, release FROM conn WHERE db NOT LIKE 'form_%')) GROUP BY p, g) GROUP BY p"
+_SQL["convert_unknown_release"] = _external_sql(_ISLANDS, 20) + f" {_STATUS} FROM {_PART} q LEFT JOIN (SELECT DISTINCT p, target, target AS final, 0 AS confidence FROM went) f USING (p)"
 _SQL["convert_external"] = _EXTERNAL + f" {_STATUS} FROM {_PART} q LEFT JOIN (SELECT DISTINCT p, target, final, confidence FROM finals) f USING (p)"
 _SQL["convert_to_one"] = _EXTERNAL + f""",
 ranked AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY p ORDER BY coalesce(confidence, 2147483647), list_min(final_pri), list_min(last_pri), -len(last_pri), -len(final_pri)) AS k FROM finals) WHERE k = 1),
