@@ -399,6 +399,21 @@ _STATUS = "SELECT q.p AS query_id, CASE WHEN f.target IS NOT NULL THEN q.p END A
 # Where a name's own releases all end before the last, the walk begins at the first of these ends.
 _ISLANDS = "SELECT p, min(e) AS rel FROM (SELECT p, max(release) AS e FROM (SELECT *, release - row_number() OVER (PARTITION BY p ORDER BY release) AS g FROM (SELECT DISTINCT src AS p, release FROM conn WHERE db NOT LIKE 'form_%')) GROUP BY p, g) GROUP BY p"
 _SQL["convert_unknown_release"] = _external_sql(_ISLANDS, 20) + f" {_STATUS} FROM {_PART} q LEFT JOIN (SELECT DISTINCT p, target, target AS final, 0 AS confidence FROM went) f USING (p)"
+query("richness_sets", "SELECT DISTINCT CASE db WHEN 'form_gene' THEN 'transcript' WHEN 'form_transcript' THEN 'translation' ELSE 'external' END AS kind, db FROM conn", "conn")(on(lambda t: summary.richness_sets(t.conn)))
+query("gene_priorities", "SELECT dst AS target, release AS to_release, string_agg(p, ',' ORDER BY p) AS priorities FROM (SELECT DISTINCT dst, release, CASE WHEN assembly = 38 THEN '1' ELSE '2' END AS p FROM conn) GROUP BY 1, 2", "conn")(on(lambda t: plan.priorities_at(t.conn).select("target", "to_release", F.array_join(F.transform("final_pri", lambda x: x.cast("string")), ",").alias("priorities"))))
+
+
+@query("relevant_synonyms", """, points AS (SELECT DISTINCT c.src AS p, r.node, r.s, coalesce(r.e, 2147483647) AS f FROM conn c JOIN ranges r ON r.node = c.dst WHERE c.db NOT LIKE 'form_%'),
+entered AS (SELECT p, node, s AS rel, s > 14 AS rev FROM points WHERE s >= 14 UNION SELECT p, node, f, false FROM points WHERE s < 14 UNION SELECT p, node, s, true FROM points WHERE s < 14 AND f > 14)
+SELECT p AS query_id, node AS entry, rel AS release, rev AS reverse FROM (SELECT *, rank() OVER (PARTITION BY p, split_part(node, '.', 1) ORDER BY abs(rel - 14)) AS k FROM entered) WHERE k = 1""", "conn", "ranges")
+def _relevant(spark: SparkSession, sf: str) -> DataFrame:
+    """Genes that parts name at any release, each id where it lies nearest to release 14."""
+    t = T(spark, sf)
+    q = _externals(t).select("query_id", F.col("query_id").alias("node"), F.lit("external").alias("node_type"), F.lit(None).cast("int").alias("release"))
+    found = search.synonyms(q, t.conn, "gene").join(q.select("query_id", "node"), "query_id").withColumn("to_release", F.lit(14))
+    return search.entries(found, t.ranges, backbone=False).select("query_id", "entry", "release", "reverse").distinct()
+
+
 _SQL["convert_external"] = _EXTERNAL + f" {_STATUS} FROM {_PART} q LEFT JOIN (SELECT DISTINCT p, target, final, confidence FROM finals) f USING (p)"
 _SQL["convert_to_one"] = _EXTERNAL + f""",
 ranked AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY p ORDER BY coalesce(confidence, 2147483647), list_min(final_pri), list_min(last_pri), -len(last_pri), -len(final_pri)) AS k FROM finals) WHERE k = 1),

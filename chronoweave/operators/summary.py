@@ -115,3 +115,9 @@ def richness(conn: DataFrame) -> DataFrame:
 def frequency(df: DataFrame, column: str) -> DataFrame:
     """(column, n), most frequent first."""
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
+
+
+def richness_sets(conn: DataFrame) -> DataFrame:
+    """(kind, db): the databases and forms whose names count towards a gene's richness."""
+    kind = F.when(F.col("db") == "form_gene", "transcript").when(F.col("db") == "form_transcript", "translation").otherwise("external")
+    return conn.filter("db <> 'base'").select(kind.alias("kind"), "db").distinct()
