@@ -3,9 +3,13 @@
 Sets: A-Z lower-cased, words are runs of anything but ASCII white space, a shingle is the hash of `WORDS` words in
 order; a shorter text is one shingle; no words (null too) give the empty set. Rows of equal sets are one class.
 
-Candidates are classes that agree in one of 24 bands of 4 MinHash values; at a similarity of exactly 0.8 a pair is
+First SimHash: each class has the 64-bit fingerprint of its shingles, and fingerprints within 3 bits are found through
+the shards and BK-trees of simhash.links; of each shard's links as many as span them are candidates, and classes of one
+fingerprint with one of them. At 0.8 fingerprints differ in about 10 bits, so an exact way for the rest follows:
+candidates there are classes that agree in one of 24 bands of 4 MinHash values; at a similarity of exactly 0.8 a pair is
 missed with a probability of (1 - 0.8^4)^24, 3 in a million, and less above. Every link is verified on whole sets, so no
-pair below 0.8 is ever one. First each member of a bucket is compared with the bucket's most connected one, its pivot.
+pair below 0.8 is ever one. What fingerprints joined is not compared again: each member of a bucket that is not yet
+joined with the bucket's most connected one, its pivot, is compared with it.
 Buckets whose other members these links do not join go to tasks, each member as what it has of the pivot's shingles
 (bits) and what it has beside them; so a task knows all common shingles exactly from one product of matrices and gives a
 spanning forest, no pairs. Large buckets are dealt as pairs of blocks.
@@ -21,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import components, groups, hash_blocks, local_forest, materialise, row_key, scratch, ship, worker_state
 
 WORDS, ROWS, BANDS = 5, 4, 24
@@ -70,23 +75,25 @@ def _name(shingles: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(__kn, __kd, __kh, sig, bands) of (doc_id, text): sig names the set of shingles."""
+    """(__kn, __kd, __kh, sig, fp, bands) of (doc_id, text): sig names the set of shingles, fp is its fingerprint as a
+    signed long."""
     ship(docs.sparkSession)
     d = docs.select(*row_key("doc_id", "text"), F.col("text").alias("__t"))
 
     def run(batches):
         worker_state("near_copies", lambda: None)  # an earlier stage's model goes
         for batch in batches:
-            sigs, keys = [], []
+            sigs, fps, keys = [], [], []
             for t in batch.column(3).to_pylist():
                 s = shingle_set(t)
                 sigs.append(_name(s))
+                fps.append(simhash.majority(s))
                 keys.append(band_keys(s))
             ends = np.cumsum([0, *map(len, keys)])
             bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sigs, pa.int64()), bands], names=["__kn", "__kd", "__kh", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sigs, pa.int64()), pa.array(np.array(fps, "u8").view("i8")), bands], names=["__kn", "__kd", "__kh", "sig", "fp", "bands"])
 
-    return d.mapInArrow(run, "__kn boolean, __kd long, __kh long, sig long, bands array<long>")
+    return d.mapInArrow(run, "__kn boolean, __kd long, __kh long, sig long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -182,20 +189,36 @@ def _bucket_links(ids: np.ndarray, bits, rest, block: np.ndarray, i: int, j: int
     return ids[keep], ids[root[keep]]
 
 
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """(u, v): pairs of classes (sig, fp), each within 3 bits, that join all classes which such pairs join."""
+    fps = materialise(classes.groupBy("fp").agg(F.min("sig").alias("rep")), "fps")
+    same = classes.join(fps, "fp").filter("sig <> rep").select(F.col("rep").alias("u"), F.col("sig").alias("v"))
+    return same.unionByName(simhash.links(fps, direct=True)).distinct()
+
+
 def _links(docs: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame | None:
     """(u, v): verified links that join exactly what all similar candidates join; None without candidates."""
+    near = materialise(fingerprint_pairs(classes), "near")
     rows = classes.select("sig", "__kd", F.explode("bands").alias("k"))
     shared = materialise(rows.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     members = materialise(rows.join(shared, "k"), "members")
-    if members.isEmpty():
+    if members.isEmpty() and near.isEmpty():
         return None
-    sets = materialise(_sets(docs, members.select("__kd").distinct()), "sets")
+    ends = near.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
+    wanted = members.select("__kd").unionByName(classes.join(ends, "sig").select("__kd")).distinct()
+    sets = materialise(_sets(docs, wanted), "sets")
+    by_bits = materialise(_verified(near, sets), "by_bits")
+    at = materialise(components(by_bits).toDF("sig", "at"), "at")
     # How many others a class meets in its buckets: of a group of edits of one text, the text meets the most.
     met = members.groupBy("sig").agg(F.sum("n").alias("met"))
     pivots = members.select("k", "sig").join(met, "sig").groupBy("k").agg(F.max(F.struct("met", "sig"))["sig"].alias("pivot"))
+    pivots = pivots.join(at.toDF("pivot", "pivot_at"), "pivot", "left").select("k", "pivot", F.coalesce("pivot_at", "pivot").alias("pivot_at"))
     pivots = materialise(pivots, "pivots")  # so that the join below has plain exchanges, which can be split where a bucket is hot
-    members = materialise(members.select("k", "sig").join(pivots, "k").filter("sig <> pivot"), "beside")
-    links = materialise(_verified(members.select(F.col("pivot").alias("u"), F.col("sig").alias("v")).distinct(), sets), "similar")
+    members = members.select("k", "sig").join(at, "sig", "left").select("k", "sig", F.coalesce("at", "sig").alias("at"))
+    members = materialise(members.join(pivots, "k").filter("sig <> pivot"), "beside")
+    apart = members.filter("at <> pivot_at").select(F.col("pivot").alias("u"), F.col("sig").alias("v")).distinct()
+    links = materialise(by_bits.unionByName(_verified(apart, sets)), "similar")
+    members = members.select("k", "sig", "pivot")
     at = components(links).toDF("sig", "at")
     own = members.join(at, "sig", "left").select("k", "pivot", "sig", F.coalesce("at", "sig").alias("at"))
     open_ = materialise(own.groupBy("k").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo <> hi").select("k"), "open")
@@ -217,7 +240,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     with scratch(spark):
         rows = materialise(sketches(docs), "sketches")
-        classes = materialise(rows.filter("not __kn").groupBy("sig").agg(F.min("__kd").alias("__kd"), F.first("bands").alias("bands")), "classes")
+        classes = materialise(rows.filter("not __kn").groupBy("sig").agg(F.min("__kd").alias("__kd"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
         with scratch(spark):
             links = _links(docs, classes)
             if links is not None:
@@ -227,5 +250,5 @@ def near_copies(docs: DataFrame) -> DataFrame:
         named = materialise(named, "grouped")
         first = named.groupBy("component").agg(F.min("__kd").alias("first"))
         named = materialise(named.join(first, "component").select("sig", "component", "first"), "named")
-        out = rows.drop("bands").join(named, "sig", "left").drop("sig")
+        out = rows.drop("fp", "bands").join(named, "sig", "left").drop("sig")
         return materialise(out.withColumns({c: F.when(~F.col("__kn"), F.col(c)) for c in ("component", "first")}), "copies", keep=True)

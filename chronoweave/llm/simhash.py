@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEY, components, groups, hash_blocks, local_forest, map_batches, materialise, own_names, row_key, scratch, ship
-from .near_copies import near_copies
 
 RADIUS = 3
 #: Fingerprints of a shard, as planned from the number of all; and bits of the four parts and of the parts of the rest.
@@ -52,6 +51,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint of shingles given by their hashes; zero without any."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 8192):
+        chunk = hashes[at : at + 8192].astype("<u8", copy=False)
+        total += np.unpackbits(chunk.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__kn, __kd, __kh, fp): fp as a signed long, by the row's key."""
     d = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("__t"))
@@ -101,9 +109,27 @@ class BKTree:
                 todo += [(child, q[a:b]) for child, a, b in zip(nodes, low.tolist(), high.tolist(), strict=True) if b > a]
 
 
-def _shard_links(fp: np.ndarray, rep: np.ndarray, block: np.ndarray, i: int, j: int, radius: int):
-    """A spanning forest of the links of one shard, or between its blocks i and j."""
+def _direct(fp: np.ndarray, tree: np.ndarray, ask: np.ndarray, radius: int):
+    """Links of tree with ask that join what all of them join, each only where it joins more; no list of pairs."""
+    label, left, right = np.arange(len(fp)), [], []
+    for node, near in BKTree(fp[tree]).within(fp[ask], radius):
+        own, q = tree[node], ask[near]
+        q = q[label[q] != label[own]]
+        if len(q):
+            others, first = np.unique(label[q], return_index=True)
+            left.append(np.full(len(first), own))
+            right.append(q[first])
+            label[np.isin(label, others)] = label[own]
+    return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+
+
+def _shard_links(fp: np.ndarray, rep: np.ndarray, block: np.ndarray, i: int, j: int, radius: int, direct: bool = False):
+    """A spanning forest of the links of one shard, or between its blocks i and j; direct: of links themselves, where
+    otherwise each node hangs on the least that it reaches."""
     tree, ask = (np.arange(len(fp)),) * 2 if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
+    if direct:
+        a, b = _direct(fp, tree, ask, radius)
+        return rep[a], rep[b]
     pairs = [(np.full(len(q), tree[n]), ask[q]) for n, q in BKTree(fp[tree]).within(fp[ask], radius)]
     a, b = (np.concatenate(x) if pairs else np.zeros(0, int) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
     root = local_forest(len(fp), a, b)
@@ -126,8 +152,9 @@ def shards(classes: DataFrame, bits: int, block: int) -> DataFrame:
     return rows.select("fp", "rep", F.shiftleft("__k", REST + 3).bitwiseOR(F.col("__w")).alias("__k"))
 
 
-def links(classes: DataFrame, radius: int = RADIUS, block: int = 2048, shard: int = SHARD) -> DataFrame:
-    """(u, v): links that join exactly the classes (fp, rep) within radius bits, as forests of each shard."""
+def links(classes: DataFrame, radius: int = RADIUS, block: int = 2048, shard: int = SHARD, direct: bool = False) -> DataFrame:
+    """(u, v): links that join exactly the classes (fp, rep) within radius bits, as forests of each shard; with direct
+    each is of two classes that are within radius bits themselves."""
     if radius > 3:
         raise ValueError("four parts find up to 3 differing bits")
     ship(classes.sparkSession)
@@ -137,7 +164,7 @@ def links(classes: DataFrame, radius: int = RADIUS, block: int = 2048, shard: in
 
     def run(batches):
         for (_, i, j), (block_of, fps, reps) in groups(batches, 3):
-            a, b = _shard_links(fps.view("u8"), reps, block_of, i, j, radius)
+            a, b = _shard_links(fps.view("u8"), reps, block_of, i, j, radius, direct)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
 
@@ -160,9 +187,11 @@ def simhash_dedup(docs: DataFrame, words: int = 3, radius: int = RADIUS, id_col:
 
 @own_names
 def stage(docs: DataFrame) -> DataFrame:
-    """The pipeline's form, by five-word shingles at a similarity of 0.8 (near_copies), not by fingerprints, which at 3
-    bits see hardly an edit: of each group the document with the smallest id stays, once. Documents without any word
-    are one group."""
+    """The pipeline's form, by five-word shingles at a similarity of 0.8 (near_copies): first by fingerprints through the
+    BK-trees, then for edits that differ in more bits by bands. Of each group the document with the smallest id stays,
+    once. Documents without any word are one group."""
+    from .near_copies import near_copies  # which is built on this module
+
     out = near_copies(docs).filter("__kn or __kd = first")
     # An id with several texts in one group stays once; rows equal in id and text are one document.
     keep = out.groupBy("__kn", "__kd", F.coalesce("component", "__kh")).agg(F.min("__kh").alias("__kh")).select(*KEY)
