@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from .functions import ids as fid
 from .functions import temporal as ft
 from .operators import graph, harmonize, prep, qa, search, summary
 from .plans import convert as plan
+from .session import cut
 from .sources import store
 from .streaming import releases as streams
 
@@ -73,7 +75,7 @@ def query(name: str, sql: str | None = None, *needs: str):
 
 
 class T:
-    """Tables of one folder."""
+    """Tables of one folder. Ids, their events and history are written at first use, as most of a query hangs on them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf = spark, sf_dir
@@ -81,10 +83,25 @@ class T:
     def __getattr__(self, name: str) -> DataFrame:
         return adapters.table(self.spark, self.sf, name)
 
+    @cached_property
+    def ids(self) -> DataFrame:
+        return cut(adapters.ids(self.spark, self.sf), "ids")
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return cut(adapters.history_of(self.spark, self.ids), "events")
+
+    @property
+    def xref(self) -> DataFrame:
+        return adapters.xref(self.spark, self.sf, self.ids)
+
+    @property
+    def relation(self) -> DataFrame:
+        return adapters.relation(self.spark, self.sf, self.ids)
+
     @property
     def edges(self) -> DataFrame:
-        ids = self.ids
-        return graph.history_edges(ids, adapters.history_of(self.spark, ids))
+        return graph.history_edges(self.ids, self.history)
 
     @property
     def ranges(self) -> DataFrame:
@@ -92,7 +109,7 @@ class T:
 
     @property
     def conn(self) -> DataFrame:
-        return graph.connections_of(self.linked)
+        return adapters.connections(self.spark, self.sf, self.ids)
 
     @property
     def matches(self) -> DataFrame:
@@ -194,7 +211,7 @@ query("node_trios", "SELECT * FROM trio", "trio")(on(lambda t: summary.trios(t.c
 query("id_list", "SELECT DISTINCT node FROM trio WHERE db = 'Brand#12' AND assembly = 38 AND release = 14", "trio")(on(lambda t: summary.id_list(summary.trios(t.conn), "Brand#12", 38, 14)))
 for _mode, _by in {"complete": "db, assembly, release", "release": "release", "assembly": "assembly", "assembly_release": "assembly, release"}.items():
     query(f"infer_source_{_mode}", f"SELECT {_by}, count(DISTINCT node) AS n_ids FROM trio WHERE node IN (SELECT concat('P', CAST(p_partkey AS string)) FROM part) GROUP BY {_by}", "trio")(
-        on(lambda t, m=_mode: summary.infer_source(summary.trios(t.conn), t.part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string"))), m)))
+        on(lambda t, m=_mode: summary.infer_source_of(t.conn, t.part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string"))), m)))
 query("node_richness", "SELECT c.dst AS node, count(DISTINCT CASE WHEN c.db NOT LIKE 'form_%' THEN c.src END) AS externals, count(DISTINCT CASE WHEN c.db = 'form_gene' THEN c.src END) AS transcripts, coalesce(any_value(p.n), 0) AS translations FROM conn c LEFT JOIN (SELECT a.dst AS node, count(DISTINCT b.src) AS n FROM conn a JOIN conn b ON a.src = b.dst AND b.db = 'form_transcript' WHERE a.db = 'form_gene' GROUP BY 1) p ON p.node = c.dst WHERE c.db <> 'form_transcript' GROUP BY 1", "conn")(on(lambda t: summary.richness(t.conn)))
 query("version_presence", "SELECT release, bool_and(v IS NULL) AS all_missing, bool_or(v IS NULL) AS any_missing FROM (SELECT release, CASE WHEN release > 15 AND version < 3 THEN NULL ELSE version END AS v FROM ids) GROUP BY 1", "ids")(on(lambda t: prep.version_summary(t.ids.withColumn("version", F.when(~((F.col("release") > 15) & (F.col("version") < 3)), F.col("version"))))))
 for _p, _v in {"add": "1", "drop": "NULL", "keep": "version"}.items():

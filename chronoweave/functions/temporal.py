@@ -24,7 +24,7 @@ def _numbered(df: DataFrame, key: list[str]) -> DataFrame:
 def to_ranges(points: DataFrame, key: list[str], at: str = "release") -> DataFrame:
     """Runs of consecutive releases: (key, seq, start, end)."""
     w = W.partitionBy(*key).orderBy(at)
-    p = points.select(*key, at).distinct().withColumn("__g", F.col(at) - F.row_number().over(w))
+    p = points.select(*key, at).withColumn("__g", F.col(at) - F.dense_rank().over(w))  # copies are in the same run
     return _numbered(p.groupBy(*key, "__g").agg(F.min(at).alias("start"), F.max(at).alias("end")).drop("__g"), key).select(*key, "seq", "start", "end")
 
 

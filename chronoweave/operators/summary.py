@@ -14,7 +14,7 @@ from . import prep
 
 def text_set(c: str) -> Column:
     """A set as sorted text."""
-    return F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda x: x.cast("string")), ",")
+    return F.array_join(F.sort_array(F.collect_set(c)).cast("array<string>"), ",")
 
 
 def by_database(conn: DataFrame, node: str = "src") -> DataFrame:
@@ -39,10 +39,14 @@ def modal_form(conn: DataFrame, form_of: DataFrame) -> DataFrame:
     return prep.keep_first(c, ["db"], [F.desc("n"), "form"])
 
 
+def _gene_db(assembly: Column) -> Column:
+    return F.concat(F.lit("assembly_"), assembly.cast("string"), F.lit("_gene"))
+
+
 def trios(conn: DataFrame, ranges: DataFrame | None = None, last: int | None = None, main: int = 38) -> DataFrame:
     """(node, db, assembly, release): names by their databases, genes by the assemblies that connect them. With ranges
     (node, start, end) of sentinels, these have a trio for each release in which they hold, to `last` where open."""
-    gene = F.concat(F.lit("assembly_"), F.col("assembly").cast("string"), F.lit("_gene")).alias("db")
+    gene = _gene_db(F.col("assembly")).alias("db")
     out = conn.select(F.col("src").alias("node"), "db", "assembly", "release").unionByName(conn.select(F.col("dst").alias("node"), gene, "assembly", "release"))
     if ranges is not None:
         held = to_points(ranges.filter(F.col("node").rlike(SENTINEL)), ["node"], last)
@@ -80,12 +84,28 @@ def ranges_all_inclusive(conn: DataFrame, ranges: DataFrame, last: int, main: in
     return to_ranges(own.unionByName(seen.filter(F.col("assembly") != main).select("node", "release")), ["node"])
 
 
+_BY = {"complete": ["db", "assembly", "release"], "release": ["release"], "assembly": ["assembly"], "assembly_release": ["assembly", "release"]}
+
+
+def _counted(d: DataFrame, by: list[str]) -> DataFrame:
+    return d.groupBy(*by).agg(F.count("*").alias("n_ids")).orderBy(F.desc("n_ids"), *by)
+
+
 def infer_source(t: DataFrame, names: DataFrame, mode: str = "complete") -> DataFrame:
     """How many of the names each source has: by (db, assembly, release), or fewer of these, most first. Ties are
     ordered by the source itself."""
-    by = {"complete": ["db", "assembly", "release"], "release": ["release"], "assembly": ["assembly"], "assembly_release": ["assembly", "release"]}[mode]
+    by = _BY[mode]
     d = t.join(names.select(F.col(names.columns[0]).alias("node")).distinct(), "node", "left_semi").select("node", *by).distinct()
-    return d.groupBy(*by).agg(F.count("*").alias("n_ids")).orderBy(F.desc("n_ids"), *by)
+    return _counted(d, by)
+
+
+def infer_source_of(conn: DataFrame, names: DataFrame, mode: str = "complete") -> DataFrame:
+    """infer_source() of trios(conn), which are not made: either end of the connections meets the names on its own."""
+    by = _BY[mode]
+    n = names.select(F.col(names.columns[0]).alias("node")).distinct()
+    ends = (conn.select(F.col("src").alias("node"), "db", "assembly", "release"), conn.select(F.col("dst").alias("node"), _gene_db(F.col("assembly")).alias("db"), "assembly", "release"))
+    a, b = (e.select("node", *by).join(n, "node", "left_semi").distinct() for e in ends)
+    return _counted(a.unionByName(b).distinct(), by)
 
 
 def availability(conn: DataFrame) -> DataFrame:
