@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import SENTINEL
 from ..functions.temporal import to_points, to_ranges
 from ..schema import FORMS, ContractError
+from ..session import cut
 from . import prep
 
 
@@ -116,14 +117,16 @@ def richness_at(conn: DataFrame, by: tuple[str, ...] = ("release",)) -> DataFram
     """(node, *by, externals, transcripts, translations) distinct neighbours of each gene, at each release: translations
     by its transcripts, externals also by both of these."""
     form = F.when(F.col("db") == "form_gene", "transcript").when(F.col("db") == "form_transcript", "translation").when(F.col("db") == "base", "base").otherwise("external")
-    c = conn.select("src", "dst", form.alias("form"), *by).distinct().filter("form <> 'base'")
-    gene = c.filter("form = 'transcript'").select(F.col("dst").alias("gene"), F.col("src").alias("mid"), *by)
-    below = c.join(gene.withColumnRenamed("mid", "dst"), ["dst", *by]).select("gene", "src", "form", *by)
-    lower = c.filter("form = 'external'").join(below.filter("form = 'translation'").select("gene", F.col("src").alias("dst"), *by), ["dst", *by]).select("gene", "src", "form", *by)
+    c = cut(conn.select("src", "dst", form.alias("form"), *by).distinct().filter("form <> 'base'"), "richness")
+    gene = c.filter("form = 'transcript'").select(F.col("dst").alias("gene"), F.col("src").alias("dst"), *by)
+    translated = c.filter("form = 'translation'").join(gene, ["dst", *by]).select("gene", "src", "form", *by)
+    above = gene.withColumn("deep", F.lit(False)).unionByName(translated.select("gene", F.col("src").alias("dst"), *by).withColumn("deep", F.lit(True)))
+    upper = c.filter("form <> 'translation'").join(above, ["dst", *by]).filter("not deep or form = 'external'").select("gene", "src", "form", *by)
     others = c.filter("form in ('transcript', 'translation')").select(F.col("src").alias("dst")).distinct()
     direct = c.filter("form <> 'translation'").join(others, "dst", "left_anti").select(F.col("dst").alias("gene"), "src", "form", *by)
-    every = direct.unionByName(below).unionByName(lower)
-    n = lambda x: F.count_distinct(F.when(F.col("form") == x, F.col("src")))
+    # Each neighbour once, dealt by its gene: counts need no further shuffle.
+    every = direct.unionByName(translated).unionByName(upper).repartition("gene").distinct()
+    n = lambda x: F.sum((F.col("form") == x).cast("long"))
     return every.groupBy(F.col("gene").alias("node"), *by).agg(n("external").alias("externals"), n("transcript").alias("transcripts"), n("translation").alias("translations"))
 
 
