@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import SENTINEL, split_id, uppercase_count, versioned
 from ..functions.temporal import to_ranges
 from ..schema import FORMS, OPEN, assert_unique
+from ..session import cut
 from . import prep
 
 EDGE = ["src", "dst", "old_release", "new_release", "weight", "kind"]
@@ -196,10 +197,19 @@ def case_winners(conn: DataFrame) -> DataFrame:
     return prep.keep_first(many, ["lowered"], ["n", uppercase_count(F.col("src")), "src"]).select("lowered", F.col("src").alias("winner"))
 
 
+def _case(conn: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """conn dealt by its lowered names, and (lowered, winner) of all of these: counts and winners need no further shuffle."""
+    c = conn.withColumn("lowered", F.lower("src")).repartition("lowered")
+    d = c.groupBy("lowered", "src").agg(F.count("*").alias("n"))
+    return c, d.groupBy("lowered").agg(F.min(F.struct("n", uppercase_count(F.col("src")).alias("caps"), "src")).alias("w")).select("lowered", F.col("w.src").alias("winner"))
+
+
 def merge_case(conn: DataFrame) -> DataFrame:
-    w = case_winners(conn)
-    j = conn.join(w, F.lower("src") == F.col("lowered"), "left")
-    return j.select(F.coalesce("winner", "src").alias("src"), *conn.columns[1:]).distinct()
+    """Names that differ in case only are one: that of case_winners()."""
+    c, w = _case(conn)
+    j = c.join(w, "lowered", "left")
+    columns = [F.coalesce("winner", "src").alias("src"), *conn.columns[1:]]
+    return j.select("lowered", *columns).distinct().drop("lowered")
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -221,7 +231,7 @@ def full(ids: DataFrame, relation: DataFrame, xref: DataFrame, main: int = 38) -
     (src, dst, db, assembly, release): names that are genes get none, names that differ in case only are one."""
     gene = ids.select(versioned(F.col("stable_id"), F.col("version")).alias("node")).distinct()
     rel = relation if "assembly" in relation.columns else relation.withColumn("assembly", F.lit(main))
-    wrong = misplaced_external(xref, gene).withColumnRenamed("node", "id_db")
+    wrong = cut(misplaced_external(xref, gene), "misplaced").withColumnRenamed("node", "id_db")  # few, if any: their size is known
     named = xref.join(wrong, "id_db", "left_anti").select(F.col("id_db").alias("src"), F.col("graph_id").alias("dst"), F.col("name_db").alias("db"), "assembly", "release").distinct()
     form = lambda src, dst, db: rel.filter(F.col(src).isNotNull() & (F.col(src) != "")).select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(db).alias("db"), "assembly", "release").distinct()
     edges = merge_case(named).unionByName(form("transcript", "gene", "form_gene")).unionByName(form("translation", "transcript", "form_transcript")).unionByName(base_edges(ids, main))
@@ -232,7 +242,7 @@ def full(ids: DataFrame, relation: DataFrame, xref: DataFrame, main: int = 38) -
         other.select("node", F.concat(F.lit("assembly_"), F.col("assembly").cast("string"), F.lit("_gene")).alias("node_type")),
         rel.filter("transcript <> ''").select(F.col("transcript").alias("node"), F.lit("transcript").alias("node_type")).distinct(),
         rel.filter("translation <> ''").select(F.col("translation").alias("node"), F.lit("translation").alias("node_type")).distinct(),
-        merge_case(named).select(F.col("src").alias("node"), F.lit("external").alias("node_type")).distinct(),
+        _case(named)[1].select(F.col("winner").alias("node"), F.lit("external").alias("node_type")),
     ]
     out = None
     for i, df in enumerate(kinds):
