@@ -116,7 +116,8 @@ class T:
         p = F.col("l_partkey")
         name = lambda x: F.concat(F.lit("N"), x.cast("string"))
         target = F.when(p % 11 == 0, None).when(p % 5 == 0, name(F.floor(p / 10))).otherwise(name(p))
-        return self.lines.select(self._dataset, F.concat(F.lit("P"), p.cast("string")).alias("query"), target.alias("target"), F.concat(F.lit("G"), (p % 97).cast("string")).alias("gene")).distinct()
+        once = self.lines.select(self._dataset, "l_partkey").distinct()  # what all columns hang on
+        return cut(once.select("dataset", F.concat(F.lit("P"), p.cast("string")).alias("query"), target.alias("target"), F.concat(F.lit("G"), (p % 97).cast("string")).alias("gene")), "matches")
 
     @property
     def _dataset(self):
@@ -195,7 +196,7 @@ _FULL = "SELECT node, arg_min(node_type, o) AS node_type FROM (SELECT " + V + "
 def _full(t: T) -> tuple[DataFrame, DataFrame]:
     """With genes that assembly 37 only knows, and names in lower case beside their capitals."""
     p = t.part.filter("p_partkey % 10 = 0").select(F.lit(9).alias("release"), F.concat(F.lit("Z"), F.col("p_partkey").cast("string"), F.lit(".1")).alias("graph_id"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id_db"), F.lit("Old").alias("name_db"), F.lit(37).alias("assembly"))
-    return graph.full(t.ids, t.relation, t.xref.unionByName(p))
+    return graph.full(t.ids, cut(t.relation, "relation"), cut(t.xref.unionByName(p), "xref"))
 
 
 query("full_graph_nodes", _FULL, "ids", "relation", "xref")(on(lambda t: _full(t)[0]))
@@ -475,7 +476,7 @@ def _broken(t: T) -> DataFrame:
     return qa.invariants(t.ids, back, r)
 
 
-query("qa_invariants_hold", "SELECT unnest(['ids_without_range', 'range_without_ids', 'overlapping_ranges', 'empty_ranges', 'edges_back_in_time', 'unknown_nodes']) AS name, 0 AS violations")(on(lambda t: qa.invariants(t.ids, (e := t.edges), ft.backbone(graph.edge_events(e), ["node"]))))
+query("qa_invariants_hold", "SELECT unnest(['ids_without_range', 'range_without_ids', 'overlapping_ranges', 'empty_ranges', 'edges_back_in_time', 'unknown_nodes']) AS name, 0 AS violations")(on(lambda t: qa.invariants(t.ids, (e := cut(t.edges, "edges")), ft.backbone(graph.edge_events(e), ["node"]))))
 
 # -- harmonisation and sets
 query("dataset_presence", "SELECT query, count(DISTINCT dataset) AS n_datasets FROM matches GROUP BY 1", "matches")(on(lambda t: harmonize.presence(t.matches)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 
 from chronoweave import catalog
-from chronoweave.operators import summary
+from chronoweave.operators import graph, summary
 
 
 def folder(spark, path) -> str:
@@ -27,3 +27,18 @@ def test_summaries_by_name_are_not_shuffled_again(spark, tmp_path):
     t = catalog.T(spark, folder(spark, tmp_path))
     n = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
     assert n(summary.by_database(t.conn)) == n(t.conn)
+
+
+def test_names_that_differ_in_case_meet_once(spark):
+    conn = spark.createDataFrame([("ab", "A.1", "D", 38, 1), ("AB", "A.1", "D", 38, 2), ("AB", "A.1", "D", 38, 1), ("c", "A.1", "D", 38, 1)], "src string, dst string, db string, assembly int, release int")
+    merged = graph.merge_case(conn)
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+    assert {(r.src, r.release) for r in merged.collect()} == {("ab", 1), ("ab", 2), ("c", 1)} and merged.count() == 3
+
+
+def test_what_is_used_often_is_written_once(spark, tmp_path):
+    t = catalog.T(spark, folder(spark, tmp_path))
+    assert all("/matches-" in f for f in t.matches.inputFiles())
+    nodes, edges = catalog._full(t)
+    assert not any("lineitem" in f for df in (nodes, edges) for f in df.inputFiles())
+    assert not any("lineitem" in f for f in summary.richness(t.conn).inputFiles())
